@@ -10,7 +10,7 @@ ENVELOPE = (
     .add("key", "string")
     .add("value", "string")
     .add("stream", "string")
-    .add("partition", "int")
+    .add("partition", "integer")
     .add("offset", "long")
     .add("ingest_time", "timestamp")
 )
