@@ -10,7 +10,9 @@ from tidewatch.functions.clock import last_time
 from tidewatch.operators import alerts, cooldown, detect, enrich, lifecycle, reads, rollup, series
 from tidewatch.plans import oracles as O
 from tidewatch.plans import views
-from tidewatch.sources import messages
+from tidewatch.session import shared_dir
+from tidewatch.sources import archive, messages, snapshots, tables
+from tidewatch.streaming import sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -692,9 +694,9 @@ def alert_cooldown(spark, sf_dir):
     return _cooled(spark, sf_dir, "location", K.COOLDOWN_MINUTES)
 
 
-@query(SEVERE.rstrip() + cooldown_sql("source || ':' || sensor_id", 360, "alert_key, id, timestamp, severity"), recursive=True)
+@query(SEVERE.rstrip() + cooldown_sql("source || ':' || location", 360, "alert_key, id, timestamp, severity"), recursive=True)
 def alert_cooldown_6h(spark, sf_dir):
-    return _cooled(spark, sf_dir, "sensor_id", 360)
+    return _cooled(spark, sf_dir, "location", 360)
 
 
 END_TO_END = f"""{O.SENSORS.strip()},
@@ -717,3 +719,340 @@ def alerts_end_to_end(spark, sf_dir):
     sent = alerts.score_to_alerts(views.sensors(spark, sf_dir), "location", "value", ["timestamp", "id"])
     rows = sent.select("id", "alert_key", "timestamp", "anomaly_score", "severity_label", "subject", "alert_text")
     return rounded(rows, ["anomaly_score"])
+
+
+# --- messages -----------------------------------------------------------------------
+ENVELOPE = (
+    O.MIXED
+    + """,
+envelope AS (
+  SELECT 'sensor-data' AS stream, sensor_id AS key, CAST(id % 4 AS INTEGER) AS partition, id AS "offset",
+         timestamp + INTERVAL '2 seconds' AS ingest_time, * EXCLUDE (id) FROM sensors
+  UNION ALL BY NAME
+  SELECT 'social-data' AS stream, user_id AS key, CAST(id % 4 AS INTEGER) AS partition, id AS "offset",
+         timestamp + INTERVAL '2 seconds' AS ingest_time, * EXCLUDE (id) FROM posts
+  UNION ALL BY NAME
+  SELECT 'market-data' AS stream, symbol AS key, CAST((order_id * 10 + line) % 4 AS INTEGER) AS partition,
+         order_id * 10 + line AS "offset", timestamp + INTERVAL '2 seconds' AS ingest_time,
+         * EXCLUDE (order_id, line, supplier, total) FROM market)
+"""
+)
+HEAD = ["stream", "key", "partition", "offset", "ingest_time"]
+HEAD_SQL = 'stream, key, partition, "offset", ingest_time'
+
+
+@query(ENVELOPE, "SELECT * FROM envelope")
+def decode_envelope(spark, sf_dir):
+    return wall_clock(messages.decode(views.envelope(spark, sf_dir)))
+
+
+@query(
+    ENVELOPE,
+    f"""SELECT {HEAD_SQL}, symbol, company_name, sector, price, price_change, price_change_percent, volume,
+               timestamp, is_anomaly, source FROM envelope WHERE stream = 'market-data'""",
+)
+def decode_market(spark, sf_dir):
+    return wall_clock(messages.decode_one(views.envelope(spark, sf_dir), K.MARKET_STREAM))
+
+
+@query(ENVELOPE, f"SELECT {HEAD_SQL} FROM envelope WHERE stream IN ('sensor-data', 'market-data')")
+def subscribe_topics(spark, sf_dir):
+    rows = messages.subscribe(views.envelope(spark, sf_dir), [K.SENSOR_STREAM, K.MARKET_STREAM])
+    return wall_clock(rows.select(*HEAD))
+
+
+@query(
+    ENVELOPE,
+    f"SELECT {HEAD_SQL} FROM envelope ORDER BY stream, partition, \"offset\", key, ingest_time LIMIT 500",
+)
+def consume_batch(spark, sf_dir):
+    batch = messages.consume_batch(views.envelope(spark, sf_dir), 500, ["key", "ingest_time"])
+    return wall_clock(batch.select(*HEAD))
+
+
+@query(
+    ENVELOPE,
+    """SELECT stream, key, count(*) AS messages, min("offset") AS first, max("offset") AS last,
+              max(timestamp) AS newest FROM envelope GROUP BY stream, key""",
+)
+def route_by_topic(spark, sf_dir):
+    """Each stream routed and read with its own schema, summed up per key."""
+    envelope = views.envelope(spark, sf_dir)
+    parts = [messages.decode_one(enrich.route(envelope, stream), stream) for stream in K.STREAMS]
+    summed = [
+        part.groupBy("stream", "key").agg(
+            F.count(F.lit(1)).alias("messages"),
+            F.min("offset").alias("first"),
+            F.max("offset").alias("last"),
+            F.max("timestamp").alias("newest"),
+        )
+        for part in parts
+    ]
+    return wall_clock(summed[0].unionByName(summed[1]).unionByName(summed[2]))
+
+
+@query(
+    ENVELOPE,
+    f"""SELECT CASE WHEN key LIKE '%9' THEN 'other-data' ELSE stream END AS stream, key, partition, "offset",
+               ingest_time, CASE WHEN key LIKE '%9' THEN 'unknown stream' WHEN key LIKE '%3' THEN 'no value'
+                                 ELSE 'malformed value' END AS error
+        FROM envelope WHERE key LIKE '%9' OR key LIKE '%3' OR key LIKE '%7'""",
+)
+def dead_letter(spark, sf_dir):
+    """Messages damaged by key: unknown stream, no value, cut short."""
+    key, value = F.col("key"), F.col("value")
+    damaged = views.envelope(spark, sf_dir).withColumns(
+        {
+            "stream": F.when(key.endswith("9"), "other-data").otherwise(F.col("stream")),
+            "value": F.when(key.endswith("3"), None)
+            .when(key.endswith("7"), F.substring(value, F.lit(1), F.length(value) - 5))
+            .otherwise(value),
+        }
+    )
+    return wall_clock(messages.dead_letters(damaged).drop("value"))
+
+
+def sensor_json_sql(extra: str = "") -> str:
+    return f"""'{{"sensor_id":"' || sensor_id || '","sensor_type":"' || sensor_type || '","location":"' || location
+        || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '","value":' || CAST(value AS VARCHAR)
+        || ',"unit":"' || unit || '","is_anomaly":' || CAST(is_anomaly AS VARCHAR)
+        || ',"source":"' || source || '"' {extra} || '}}'"""
+
+
+@query(
+    O.SENSORS,
+    f"""SELECT 'sensor-data' AS stream, sensor_id AS key, {sensor_json_sql()} AS value FROM sensors
+        UNION ALL SELECT 'processed-data', CASE WHEN id <> 0 THEN CAST(id AS VARCHAR) END, {sensor_json_sql()}
+        FROM sensors""",
+)
+def encode_envelope(spark, sf_dir):
+    """Readings published under a text key, and again under a number key."""
+    rows = views.sensors(spark, sf_dir)
+    fields = [name for name in rows.columns if name != "id"]
+    named = messages.encode(rows, K.SENSOR_STREAM, "sensor_id", fields)
+    return named.unionByName(messages.encode(rows, K.PROCESSED_STREAM, "id", fields))
+
+
+@query(
+    O.SENSORS,
+    f"""SELECT {sensor_json_sql("|| ',\"id\":' || id || ',\"reading_category\":\"' || category || '\"'")} AS value
+        FROM (SELECT *, {O.CATEGORY} AS category FROM sensors WHERE is_anomaly)""",
+)
+def anomaly_feed_json(spark, sf_dir):
+    rows = enrich.enrich_source(reads.flagged(views.sensors(spark, sf_dir)), K.SENSOR_STREAM)
+    return messages.json_feed(rows.drop("processing_time", "processing_delay_ms"))
+
+
+# --- table lifecycle ------------------------------------------------------------------
+def _stored(spark, sf_dir):
+    """Readings as a stored table: created when they were taken."""
+    rows = views.sensors(spark, sf_dir).select("id", "sensor_id", "location", "value", "timestamp", "is_anomaly")
+    return rows.withColumn("created_at", F.col("timestamp"))
+
+
+STORED = (
+    O.SENSORS
+    + """,
+stored AS (SELECT id, sensor_id, location, value, timestamp, is_anomaly, timestamp AS created_at FROM sensors)
+"""
+)
+OLD = f"created_at < {EVENT_CLOCK} - INTERVAL '7 days'"
+
+
+@query(
+    O.SENSORS,
+    f"SELECT id, sensor_id, CASE WHEN is_anomaly THEN timestamp ELSE {EVENT_CLOCK} END AS created_at FROM sensors",
+)
+def insert_defaults(spark, sf_dir):
+    rows = views.sensors(spark, sf_dir)
+    partly = rows.withColumn("created_at", F.when(F.col("is_anomaly"), F.col("timestamp")))
+    return lifecycle.with_created(partly, event_clock(spark, sf_dir)).select("id", "sensor_id", "created_at")
+
+
+STATES = f"""{O.SENSORS.strip()},
+entities AS (SELECT sensor_id || '/' || sensor_type AS entity, value, location, timestamp, id FROM sensors),
+old AS (SELECT entity, value, location, timestamp FROM entities
+        WHERE timestamp < {EVENT_CLOCK} - INTERVAL '26 days'
+        QUALIFY row_number() OVER (PARTITION BY entity ORDER BY timestamp DESC, id DESC) = 1),
+new AS (SELECT entity, value, timestamp FROM entities WHERE timestamp >= {EVENT_CLOCK} - INTERVAL '4 days'
+        QUALIFY row_number() OVER (PARTITION BY entity ORDER BY timestamp DESC, id DESC) = 1)"""
+
+
+@query(
+    STATES,
+    f"""SELECT coalesce(o.entity, n.entity) AS entity,
+               CASE WHEN n.entity IS NULL THEN o.value ELSE n.value END AS value, o.location,
+               CASE WHEN n.entity IS NULL THEN o.timestamp ELSE n.timestamp END AS timestamp,
+               CASE WHEN n.entity IS NOT NULL THEN {EVENT_CLOCK} END AS updated_at
+        FROM old o FULL JOIN new n ON o.entity = n.entity""",
+)
+def upsert_latest(spark, sf_dir):
+    """The state of the first days, brought up to date with the last ones."""
+    rows = views.sensors(spark, sf_dir).withColumn("entity", F.concat("sensor_id", F.lit("/"), "sensor_type"))
+    clock = event_clock(spark, sf_dir)
+    first = rows.filter(F.col("timestamp") < clock - F.expr("interval 26 days"))
+    last = rows.filter(F.col("timestamp") >= clock - F.expr("interval 4 days"))
+    order = ["timestamp", "id"]
+    table = series.latest_per_key(first, ["entity"], order).select("entity", "value", "location", "timestamp")
+    changes = series.latest_per_key(last, ["entity"], order).select("entity", "value", "timestamp")
+    return lifecycle.upsert(table, changes, "entity", event_clock(spark, sf_dir))
+
+
+@query(STORED, "SELECT * FROM stored WHERE NOT (value > 100 AND location = 'warehouse')")
+def delete_where(spark, sf_dir):
+    where = (F.col("value") > 100) & (F.col("location") == "warehouse")
+    return lifecycle.delete_where(_stored(spark, sf_dir), where)
+
+
+@query(
+    STORED,
+    """SELECT * FROM stored
+       WHERE id <> (SELECT id FROM stored WHERE is_anomaly ORDER BY timestamp, id LIMIT 1)""",
+)
+def delete_one(spark, sf_dir):
+    return lifecycle.delete_one(_stored(spark, sf_dir), F.col("is_anomaly"), ["timestamp", "id"])
+
+
+@query(STORED, f"SELECT * FROM stored WHERE {OLD}")
+def archive_select(spark, sf_dir):
+    return lifecycle.older_than(_stored(spark, sf_dir), as_of=event_clock(spark, sf_dir))
+
+
+@query(
+    STORED,
+    f"""SELECT 'processed_data' AS collection, CAST(count(*) AS VARCHAR) AS record_count,
+               strftime({EVENT_CLOCK}, '%Y%m%d%H%M%S') AS archive_date,
+               {iso_sql(f"({EVENT_CLOCK} - INTERVAL '7 days')")} AS cutoff_date
+        FROM stored WHERE {OLD} HAVING count(*) > 0""",
+)
+def archive_manifest(spark, sf_dir):
+    clock = event_clock(spark, sf_dir)
+    old = lifecycle.older_than(_stored(spark, sf_dir), as_of=clock)
+    return lifecycle.archive_entry(old, "processed_data", as_of=clock)
+
+
+@query(STORED, f"SELECT * FROM stored WHERE {OLD}")
+def archive_roundtrip(spark, sf_dir):
+    """Old rows written as a gzip archive and read back."""
+    old = lifecycle.older_than(_stored(spark, sf_dir), as_of=event_clock(spark, sf_dir))
+    path = f"{shared_dir(spark, 'archive')}/archives/processed_data/all"
+    archive.write_archive(old, path)
+    return archive.read_archive(spark, path, old.schema)
+
+
+@query(STORED, f"SELECT * FROM stored WHERE NOT ({OLD} AND NOT is_anomaly)")
+def archive_reconcile(spark, sf_dir):
+    """Removal after an archive that lacks the anomalies: they stay."""
+    clock = event_clock(spark, sf_dir)
+    table = _stored(spark, sf_dir)
+    archived = lifecycle.older_than(table, as_of=clock).filter(~F.col("is_anomaly"))
+    return lifecycle.reconcile(table, archived, "id", as_of=clock)
+
+
+@query(
+    O.MARKET,
+    f"""SELECT 'processed_data' AS name, symbol AS item, timestamp AS created_at FROM market
+        WHERE timestamp >= {MARKET_CLOCK} - INTERVAL '30 days'
+        UNION ALL
+        SELECT DISTINCT 'aggregated_data', sector, timestamp FROM market
+        WHERE timestamp >= {MARKET_CLOCK} - INTERVAL '90 days'
+        UNION ALL
+        SELECT 'anomalies', symbol, timestamp FROM market
+        WHERE is_anomaly AND timestamp >= {MARKET_CLOCK} - INTERVAL '365 days'""",
+)
+def retention_keep(spark, sf_dir):
+    """What the retention of each kind of table keeps."""
+    clock = last_time(views.table(spark, sf_dir, "lineitem"), "l_shipdate")
+    rows = views.market(spark, sf_dir).withColumn("created_at", F.col("timestamp"))
+    daily = rollup.summarise(rows, K.MARKET_STREAM, "1 day").withColumn("created_at", F.col("window_start"))
+    stored = {"processed_data": (rows, "symbol"), "aggregated_data": (daily, "sector"), "anomalies": (reads.flagged(rows), "symbol")}
+    parts = [
+        lifecycle.not_older_than(df, K.RETENTION_DAYS[name], clock).select(
+            F.lit(name).alias("name"), F.col(item).alias("item"), "created_at"
+        )
+        for name, (df, item) in stored.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _snapshots(spark, sf_dir) -> str:
+    """Three versions of the sensors' state, ten days apart; the second removed."""
+    root, clock = shared_dir(spark, "snapshots"), event_clock(spark, sf_dir)
+    for days in (20, 10, 0):
+        known = _stored(spark, sf_dir).filter(F.col("timestamp") <= clock - F.expr(f"interval {days} days"))
+        snapshots.save_snapshot(series.latest_per_key(known, ["sensor_id"], ["timestamp", "id"]), root, "sensors")
+    snapshots.delete_snapshot(spark, root, "sensors", 2)
+    return root
+
+
+@query(
+    STORED,
+    f"""SELECT 'sensors_1' AS snapshot_id, 'sensors' AS name, CAST(1 AS BIGINT) AS version,
+               count(DISTINCT sensor_id) AS record_count
+        FROM stored WHERE timestamp <= {EVENT_CLOCK} - INTERVAL '20 days'
+        UNION ALL SELECT 'sensors_3', 'sensors', 3, count(DISTINCT sensor_id) FROM stored""",
+)
+def snapshot_list(spark, sf_dir):
+    listed = snapshots.list_snapshots(spark, _snapshots(spark, sf_dir), "sensors")
+    return listed.select("snapshot_id", "name", "version", "record_count")
+
+
+@query(
+    STORED,
+    """SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY timestamp DESC, id DESC) = 1""",
+)
+def snapshot_latest(spark, sf_dir):
+    return snapshots.load_snapshot(spark, _snapshots(spark, sf_dir), "sensors")
+
+
+# --- streams ----------------------------------------------------------------------------
+FILES_PER_TRIGGER = 64
+
+
+def _event_stream(spark, sf_dir):
+    """The events as a stream, files in order of arrival."""
+    schema = views.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+    events = stream.parquet(f"{sf_dir}/events.parque[t]")
+    return views.sensor_from_events(events.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _run(spark, df, time="timestamp"):
+    """Run a stream to the end of its input into a stored table and read that."""
+    root = shared_dir(spark, "stream")
+    sinks.table_sink(df, f"{root}/table", f"{root}/checkpoint", time, {"availableNow": True}).awaitTermination()
+    return wall_clock(tables.read(spark, f"{root}/table").drop(*tables.LAYOUT, "created_at"))
+
+
+@query(
+    O.SENSORS,
+    f"""SELECT * FROM ({sensor_windows_sql('1 minute')})
+        WHERE window_end <= {EVENT_CLOCK} - INTERVAL '1 minute'""",
+)
+def stream_window_agg(spark, sf_dir):
+    """One-minute summaries of the stream: the windows its watermark closed."""
+    watched = _event_stream(spark, sf_dir).withWatermark("timestamp", K.WATERMARK)
+    rows = _run(spark, rollup.summarise(watched, K.SENSOR_STREAM), "window_start")
+    return rounded(rows, ["avg_value", "stddev_value", "anomaly_rate"])
+
+
+@query(O.SENSORS, f"SELECT {ZSCORE_COLUMNS} FROM ({zscore_sql('location')})")
+def stream_zscore(spark, sf_dir):
+    scored = state.score_stream(_event_stream(spark, sf_dir), "location", "value", ["timestamp", "id"])
+    return _scored(_run(spark, scored))
+
+
+@query(O.SENSORS, f"SELECT {MA_COLUMNS} FROM ({moving_average_sql('location')})")
+def stream_moving_average(spark, sf_dir):
+    scored = state.score_stream(
+        _event_stream(spark, sf_dir), "location", "value", ["timestamp", "id"], "moving_average"
+    )
+    return _scored(_run(spark, scored))
+
+
+@query(SEVERE.rstrip() + cooldown_sql("source || ':' || location", 360, "alert_key, id, timestamp, severity"), recursive=True)
+def stream_cooldown(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).withColumn("severity", F.least(F.lit(1.0), F.col("value") / 200))
+    keyed = alerts.candidates(rows).withColumn("alert_key", cooldown.alert_key("source", "location"))
+    sent = _run(spark, state.cooldown_stream(keyed, "alert_key", ["timestamp", "id"], 360))
+    return sent.select("alert_key", "id", "timestamp", "severity")
