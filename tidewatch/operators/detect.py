@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from tidewatch import constants as K
 from tidewatch.operators.series import BLOCK, HOT_ROWS, drop_carried, in_blocks
 
+POSITION = "_position"
+
 
 def with_key(df: DataFrame, key: str) -> DataFrame:
     """Rows that name a key: not NULL and not the empty text."""
@@ -32,13 +34,69 @@ def _numbered(df, key, value, order, lookback, hot_rows, slices):
     return in_blocks(rows, [key, "_counts"], order, lookback, hot_rows, slices)
 
 
-def _series(key: str, order: Sequence[str]):
-    return Window.partitionBy(key, "_counts", BLOCK).orderBy(*order)
+def _series(key: str) -> list[str]:
+    return [key, "_counts", BLOCK]
+
+
+def with_position(df: DataFrame, series: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.withColumn(POSITION, F.row_number().over(Window.partitionBy(*series).orderBy(*order)))
+
+
+def trailing_moments(
+    df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, width: int
+) -> DataFrame:
+    """Mean and population deviation (`_mean`, `_spread`) of the last `width`
+    rows up to each row, at a cost per row that does not grow with `width`.
+
+    A sliding frame would add up `width` values for every row. Cut each series
+    into segments of `width` rows instead: a frame is then the newest part of
+    one segment and the oldest part of the next, and both come from running
+    aggregates, the former along the reversed order. Running variances are
+    combined by their means, so nothing cancels out; equal values are told by
+    their minimum and maximum and have a deviation of exactly 0.
+    """
+    cut = df.withColumn("_segment", F.floor((F.col(POSITION) - 1) / width).cast("long"))
+    whole = Window.partitionBy(*series).orderBy("_segment", *order)
+    segment = Window.partitionBy(*series, "_segment")
+    backward = segment.orderBy(*[F.desc(name) for name in order]).rowsBetween(Window.unboundedPreceding, 0)
+    forward = segment.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(window) -> Column:
+        return F.struct(
+            F.count(value).over(window).alias("n"),
+            F.avg(value).over(window).alias("mean"),
+            F.var_pop(value).over(window).alias("variance"),
+            F.min(value).over(window).alias("low"),
+            F.max(value).over(window).alias("high"),
+        )
+
+    # the last row of a segment has its whole frame in that segment
+    crosses = F.col(POSITION) % width != 0
+    parts = (
+        cut.withColumn("_rest", running(backward))
+        .withColumn("_rest", F.lag("_rest", width - 1).over(whole))
+        .withColumn("_rest", F.when(crosses, F.col("_rest")))
+        .withColumn("_part", running(forward))
+    )
+    old, new = F.col("_rest"), F.col("_part")
+    old_n, new_n = F.coalesce(old.n, F.lit(0)), new.n
+    total = old_n + new_n
+    apart = old.mean - new.mean
+    both = (old_n > 0) & (new_n > 0)
+    mean = F.when(both, new.mean + apart * old_n / total).otherwise(F.coalesce(new.mean, old.mean))
+    squares = (
+        F.coalesce(old.variance * old_n, F.lit(0.0))
+        + F.coalesce(new.variance * new_n, F.lit(0.0))
+        + F.when(both, apart * apart * old_n * new_n / total).otherwise(0.0)
+    )
+    equal = F.least(old.low, new.low) == F.greatest(old.high, new.high)
+    spread = F.when(equal, 0.0).when(total > 0, F.sqrt(squares / F.greatest(total, F.lit(1))))
+    return parts.withColumns({"_mean": mean, "_spread": spread}).drop("_segment", "_rest", "_part")
 
 
 def _finish(df: DataFrame, score: Column, flag: Column) -> DataFrame:
     scored = df.withColumns({"anomaly_score": score, "is_anomaly": flag})
-    helpers = [name for name in scored.columns if name in ("_number", "_counts", "_seen", "_mean", "_spread")]
+    helpers = ("_number", "_counts", "_mean", "_spread", "_average", "_earlier", POSITION)
     return drop_carried(scored).drop(*helpers)
 
 
@@ -54,16 +112,11 @@ def zscore(
 ) -> DataFrame:
     """Score each value against its key's last `window_size` numbers, itself
     included. Below ten numbers, and for rows without one, the score is 0."""
-    series = _series(key, order)
-    frame = series.rowsBetween(-(window_size - 1), 0)
-    rows = _numbered(df, key, value, order, window_size - 1, hot_rows, slices).withColumns(
-        {
-            "_seen": F.least(F.row_number().over(series), F.lit(window_size)),
-            "_mean": F.avg("_number").over(frame),
-            "_spread": F.stddev_pop("_number").over(frame),
-        }
-    )
-    ready = F.col("_counts") & (F.col("_seen") >= K.MIN_VALUES)
+    rows = _numbered(df, key, value, order, window_size - 1, hot_rows, slices)
+    rows = with_position(rows, _series(key), order)
+    rows = trailing_moments(rows, _series(key), order, "_number", window_size)
+    seen = F.least(F.col(POSITION), F.lit(window_size))
+    ready = F.col("_counts") & (seen >= K.MIN_VALUES)
     distance = F.when(
         F.col("_spread") != 0, F.abs((F.col("_number") - F.col("_mean")) / F.col("_spread"))
     ).otherwise(0.0)
@@ -87,23 +140,21 @@ def moving_average(
     last `window_size` numbers, or a fifth of the mean while they are few.
     The score is the deviation's share of the mean, NULL for a mean of 0.
     """
-    series = _series(key, order)
-    recent = series.rowsBetween(-(ma_window - 1), 0)
-    earlier = series.rowsBetween(-max(window_size - ma_window, 1), -1)
+    window = Window.partitionBy(*_series(key)).orderBy(*order)
+    recent = window.rowsBetween(-(ma_window - 1), 0)
     rows = _numbered(df, key, value, order, window_size - 1, hot_rows, slices)
-    position = F.row_number().over(series)
-    rows = rows.withColumns(
-        {
-            "_seen": F.least(position, F.lit(window_size)),
-            "_mean": F.when(position >= ma_window, F.avg("_number").over(recent)),
-        }
-    ).withColumn("_spread", F.stddev_pop("_mean").over(earlier))
-    deviation = F.abs(F.col("_number") - F.col("_mean"))
-    limit = F.when(
-        F.col("_seen") >= 2 * ma_window, K.MA_VOLATILITY_FACTOR * F.col("_spread")
-    ).otherwise(K.MA_WARMUP_SHARE * F.col("_mean"))
-    ready = F.col("_counts") & (F.col("_seen") >= ma_window)
-    score = F.when(ready, F.try_divide(deviation, F.col("_mean"))).otherwise(F.lit(0.0))
+    rows = with_position(rows, _series(key), order)
+    average = F.when(F.col(POSITION) >= ma_window, F.avg("_number").over(recent))
+    rows = rows.withColumn("_average", average)
+    rows = rows.withColumn("_earlier", F.lag("_average").over(window))
+    rows = trailing_moments(rows, _series(key), order, "_earlier", max(window_size - ma_window, 1))
+    seen = F.least(F.col(POSITION), F.lit(window_size))
+    deviation = F.abs(F.col("_number") - F.col("_average"))
+    limit = F.when(seen >= 2 * ma_window, K.MA_VOLATILITY_FACTOR * F.col("_spread")).otherwise(
+        K.MA_WARMUP_SHARE * F.col("_average")
+    )
+    ready = F.col("_counts") & (seen >= ma_window)
+    score = F.when(ready, F.try_divide(deviation, F.col("_average"))).otherwise(F.lit(0.0))
     return _finish(rows, score, F.when(ready, deviation > limit).otherwise(F.lit(False)))
 
 

@@ -60,7 +60,9 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event i posts document i modulo the number of documents."""
+    """Event i posts document i modulo the number of documents. Both sides grow
+    with the data and the texts are large: a merge join spreads them over the
+    tasks, however few files the documents come in."""
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     number = documents.select(F.count(F.lit(1))).scalar()
@@ -75,7 +77,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("topic"),
         sentiment.alias("sentiment"),
     )
-    return events.join(texts, F.col("_document") == F.col("doc_id")).select(
+    return events.join(texts.hint("merge"), F.col("_document") == F.col("doc_id")).select(
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("user_id"),
         F.col("ts").alias("timestamp"),
         "content",

@@ -88,23 +88,26 @@ def _payload_columns() -> dict[str, list[str]]:
     return columns
 
 
-def _parsed(stream: str) -> str:
-    return "_" + stream.replace("-", "_")
+def _part(stream: str) -> str:
+    return stream.replace("-", "_")
 
 
 def _parse(df: DataFrame) -> DataFrame:
-    """Parse each message with its own stream's schema. The others get a NULL
-    text, which costs nothing to parse."""
+    """Parse each message with its own stream's schema, once: the others get a
+    NULL text, which costs nothing to parse. A filter on the parsed fields
+    would move below a plain projection and parse every message again, so the
+    result comes out of a generator, which filters stay above."""
+    parts = []
     for stream, schema in schemas.PAYLOADS.items():
         text = F.when(F.col("stream") == stream, F.col("value"))
         full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-        df = df.withColumn(_parsed(stream), F.from_json(text, full, options))
-    return df
+        parts.append(F.from_json(text, full, options).alias(_part(stream)))
+    return df.select("*", F.explode(F.array(F.struct(*parts))).alias("_parsed"))
 
 
 def _first(streams: Sequence[str], field: str) -> Column:
-    return F.coalesce(*[F.col(f"{_parsed(stream)}.{field}") for stream in streams])
+    return F.coalesce(*[F.col(f"_parsed.{_part(stream)}.{field}") for stream in streams])
 
 
 def problem() -> Column:
