@@ -70,6 +70,23 @@ def check_requests(df: DataFrame, as_of=None) -> DataFrame:
     )
 
 
+def requested_alerts(
+    df: DataFrame,
+    order: Sequence[str],
+    as_of=None,
+    min_severity: float = K.MIN_SEVERITY,
+    minutes: float = K.COOLDOWN_MINUTES,
+) -> DataFrame:
+    """Alerts asked for by hand: the valid requests go through the threshold
+    and the cooldown like any other. A request names no entity, so all of one
+    source share a cooldown."""
+    good = check_requests(df, as_of).filter("valid").drop("error", "valid")
+    keyed = candidates(good, min_severity).withColumn(
+        "alert_key", F.concat(F.col("source"), F.lit(":unknown"))
+    )
+    return with_message(cooldown(keyed, "alert_key", ["timestamp", *order], minutes))
+
+
 def score_to_alerts(
     df: DataFrame,
     key: str,

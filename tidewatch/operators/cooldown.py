@@ -18,7 +18,8 @@ spread over its chunks; step 2 moves only the lists.
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,54 +40,63 @@ def alert_key(source="source", entity="id") -> Column:
     )
 
 
-def _starts(frame: pd.DataFrame) -> np.ndarray:
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _starts(table: pa.Table) -> np.ndarray:
     """Where a (key, chunk) group begins."""
-    key, chunk = frame["_key"].to_numpy(), frame["_chunk"].to_numpy()
-    new = np.ones(len(frame), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])
+    key, chunk = table.column("_key"), _numbers(table, "_chunk")
+    new = np.ones(len(chunk), dtype=bool)
+    other_key = pc.not_equal(key.slice(1), key.slice(0, len(chunk) - 1))
+    new[1:] = other_key.to_numpy() | (chunk[1:] != chunk[:-1])
     return new
 
 
-def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted frames so that no (key, chunk) group crosses two frames."""
+def _name(table: pa.Table, row: int) -> tuple:
+    return table.column("_key")[row].as_py(), table.column("_chunk")[row].as_py()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup sorted batches so that no (key, chunk) group crosses two tables."""
     held, name = [], None
-    for frame in frames:
-        if not len(frame):
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        cut = int(np.flatnonzero(_starts(frame))[-1])
-        first, last = frame.iloc[0], frame.iloc[-1]
-        if held and (cut or (first["_key"], first["_chunk"]) != name):
-            yield pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
+        table = pa.Table.from_batches([batch])
+        cut = int(np.flatnonzero(_starts(table))[-1])
+        if held and (cut or _name(table, 0) != name):
+            yield pa.concat_tables([*held, table.slice(0, cut)])
             held = []
         elif cut:
-            yield frame.iloc[:cut].reset_index(drop=True)
-        held.append(frame.iloc[cut:])
-        name = (last["_key"], last["_chunk"])
+            yield table.slice(0, cut)
+        held.append(table.slice(cut))
+        name = _name(table, -1)
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.concat_tables(held)
 
 
-def _layout(frame: pd.DataFrame, length: int, gap: int):
+def _layout(table: pa.Table, length: int, gap: int):
     """Group starts and numbers, offsets in the chunk, and each row's next send.
 
     Offsets of different groups lie more than a chunk and a gap apart on one
     axis, so one search over the axis finds every row's successor. A row
     without one in its chunk is its own.
     """
-    new = _starts(frame)
+    new = _starts(table)
     group = np.cumsum(new) - 1
-    offset = frame["_time"].to_numpy() - frame["_chunk"].to_numpy() * length
+    offset = _numbers(table, "_time") - _numbers(table, "_chunk") * length
     axis = group * (2 * length + gap) + offset
     following = np.searchsorted(axis, axis + gap, side="left")
-    inside = following < len(frame)
+    inside = following < len(axis)
     inside[inside] = group[following[inside]] == group[inside]
-    return new, group, offset, axis, np.where(inside, following, np.arange(len(frame)))
+    return new, group, offset, axis, np.where(inside, following, np.arange(len(axis)))
 
 
 def _chain_ends(length: int, gap: int):
-    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_groups(frames):
-            _, group, offset, _, following = _layout(frame, length, gap)
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            _, group, offset, _, following = _layout(table, length, gap)
             end = following
             while not np.array_equal(end, end[end]):
                 end = end[end]
@@ -98,57 +108,55 @@ def _chain_ends(length: int, gap: int):
             same = np.zeros(len(starts), dtype=bool)
             same[:-1] = (end[starts[:-1]] == end[starts[1:]]) & (group[starts[:-1]] == group[starts[1:]])
             starts = starts[~same]
-            time = frame["_time"].to_numpy()
-            yield pd.DataFrame(
-                {
-                    "_key": frame["_key"].to_numpy()[starts],
-                    "_chunk": frame["_chunk"].to_numpy()[starts],
-                    "_time": time[starts],
-                    "_end": time[end[starts]],
-                }
-            )
+            kept = table.select(["_key", "_chunk", "_time"]).take(pa.array(starts))
+            last = pa.array(_numbers(table, "_time")[end[starts]])
+            yield from kept.append_column("_end", last).to_batches()
 
     return ends
 
 
 def _open_times(gap: int):
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = chunk = None
         free_from, entered = NEVER, False
-        for frame in frames:
-            out = []
-            rows = zip(*(frame[c].tolist() for c in ("_key", "_chunk", "_time", "_end")))
-            for row_key, row_chunk, start, end in rows:
+        for batch in batches:
+            keys, chunks, opens = [], [], []
+            for row_key, row_chunk, start, end in zip(*(column.to_pylist() for column in batch.columns)):
                 if row_key != key:
                     key, chunk, free_from = row_key, None, NEVER
                 if row_chunk != chunk:
                     chunk, entered = row_chunk, False
-                    out.append((key, chunk, free_from))
+                    keys.append(key)
+                    chunks.append(chunk)
+                    opens.append(free_from)
                 if not entered and start >= free_from:
                     entered, free_from = True, end + gap
-            yield pd.DataFrame(out, columns=["_key", "_chunk", "_free_from"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(chunks, pa.int64()), pa.array(opens, pa.int64())],
+                names=["_key", "_chunk", "_free_from"],
+            )
 
     return walk
 
 
 def _follow_chains(length: int, gap: int, columns: Sequence[str]):
-    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_groups(frames):
-            marker = frame["_free_from"].notna().to_numpy()
-            numbered = np.cumsum(_starts(frame)) - 1
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            marker = table.column("_free_from").is_valid().to_numpy()
+            numbered = np.cumsum(_starts(table)) - 1
             free = np.full(numbered[-1] + 1, NEVER, dtype=np.int64)
-            free[numbered[marker]] = frame.loc[marker, "_free_from"].to_numpy(dtype=np.int64)
-            alerts = frame.loc[~marker].reset_index(drop=True)
+            free[numbered[marker]] = table.column("_free_from").drop_null().to_numpy()
+            alerts = table.take(pa.array(np.flatnonzero(~marker)))
             new, group, offset, axis, following = _layout(alerts, length, gap)
-            free = np.clip(free - alerts["_chunk"].to_numpy()[new] * length, 0, length + gap)
+            free = np.clip(free - _numbers(alerts, "_chunk")[new] * length, 0, length + gap)
             at = np.searchsorted(axis, axis[new] - offset[new] + free, side="left")
-            inside = at < len(alerts)
+            inside = at < len(axis)
             inside[inside] = group[at[inside]] == np.arange(len(at))[inside]
-            at, sent = at[inside], np.zeros(len(alerts), dtype=bool)
+            at, sent = at[inside], np.zeros(len(axis), dtype=bool)
             while len(at):
                 sent[at] = True
                 at = following[at][following[at] != at]
-            yield alerts.loc[sent, list(columns)]
+            yield from alerts.select(list(columns)).take(pa.array(np.flatnonzero(sent))).to_batches()
 
     return follow
 
@@ -181,12 +189,12 @@ def cooldown(
         narrow.select("_key", "_chunk", "_time")
         .repartition("_key", "_chunk")
         .sortWithinPartitions("_key", "_chunk", "_time")
-        .mapInPandas(_chain_ends(length, gap), "_key string, _chunk long, _time long, _end long")
+        .mapInArrow(_chain_ends(length, gap), "_key string, _chunk long, _time long, _end long")
     )
     opens = (
         ends.repartition("_key")
         .sortWithinPartitions("_key", "_chunk", "_time")
-        .mapInPandas(_open_times(gap), "_key string, _chunk long, _free_from long")
+        .mapInArrow(_open_times(gap), "_key string, _chunk long, _free_from long")
     )
     # The opening time travels as a row ahead of its chunk: one shuffle, no join.
     columns = ["_key", "_chunk", "_time", *ranks]
@@ -196,7 +204,7 @@ def cooldown(
         narrow.unionByName(markers, allowMissingColumns=True)
         .repartition("_key", "_chunk")
         .sortWithinPartitions(*columns)
-        .mapInPandas(_follow_chains(length, gap, ["_key", "_time", *ranks]), sent_schema)
+        .mapInArrow(_follow_chains(length, gap, ["_key", "_time", *ranks]), sent_schema)
     )
     match = [
         F.coalesce(F.col(key).cast("string"), F.lit("unknown")) == F.col("_key"),

@@ -45,28 +45,34 @@ def upsert(
 ) -> DataFrame:
     """Set the columns of `changes` in the rows with the same key and stamp
     `updated_at`; keys the table lacks become new rows. A NULL change clears
-    the column. `changes` holds each key once."""
+    the column. Table and changes hold each key once.
+
+    The table is only ever the left side of a join, so few changes are sent
+    to its rows instead of shuffling it; a full outer join could not do that.
+    """
     now = moment(as_of)
     columns = table.columns + [c for c in changes.columns if c not in table.columns]
     if "updated_at" not in columns:
         columns.append("updated_at")
-    old = table.select(*[F.col(c).alias(f"_old_{c}") for c in table.columns], F.lit(True).alias("_in_table"))
+    kinds = {**dict(changes.dtypes), **dict(table.dtypes)}
+    kinds.setdefault("updated_at", "timestamp")
+
     new = changes.select(*[F.col(c).alias(f"_new_{c}") for c in changes.columns], F.lit(True).alias("_changed"))
-    joined = old.join(
-        new, F.col(f"_old_{key}") == F.col(f"_new_{key}"), "full" if insert_missing else "left"
-    )
+    joined = table.join(new, F.col(key) == F.col(f"_new_{key}"), "left")
     changed = F.coalesce(F.col("_changed"), F.lit(False))
-    out = []
-    for name in columns:
-        before_change = F.col(f"_old_{name}") if name in table.columns else F.lit(None)
+
+    def current(name: str) -> Column:
+        old = F.col(name) if name in table.columns else F.lit(None).cast(kinds[name])
         if name == "updated_at":
-            column = F.when(changed, now).otherwise(before_change)
-        elif name in changes.columns:
-            column = F.when(changed, F.col(f"_new_{name}")).otherwise(before_change)
-        else:
-            column = before_change
-        out.append(column.alias(name))
-    return joined.select(*out)
+            return F.when(changed, now).otherwise(old)
+        return F.when(changed, F.col(f"_new_{name}")).otherwise(old) if name in changes.columns else old
+
+    updated = joined.select(*[current(name).alias(name) for name in columns])
+    if not insert_missing:
+        return updated
+    found = table.select(key).join(changes.select(key), key, "left_semi")
+    inserted = changes.join(found, key, "left_anti").withColumn("updated_at", now)
+    return updated.unionByName(inserted, allowMissingColumns=True)
 
 
 def archive_entry(archived: DataFrame, table: str, days: float = K.ARCHIVE_DAYS, as_of=None) -> DataFrame:

@@ -48,7 +48,7 @@ def in_blocks(
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > size)
-        .orderBy(F.desc("_rows"))
+        .orderBy(F.desc("_rows"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(*keys)
     )

@@ -12,7 +12,7 @@ from tidewatch.plans import oracles as O
 from tidewatch.plans import views
 from tidewatch.session import shared_dir
 from tidewatch.sources import archive, messages, snapshots, tables
-from tidewatch.streaming import sinks, state
+from tidewatch.streaming import alerting, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,8 +640,7 @@ def alert_payload(spark, sf_dir):
     )
 
 
-@query(
-    """requests AS (
+REQUESTS = """requests AS (
       SELECT event_id AS id, CASE WHEN event_type <> 'error' THEN event_type || ' alert' END AS message,
              CASE WHEN value <= 200 THEN 'user-' || user_id END AS source,
              CASE WHEN event_type = 'view' THEN 'n/a' WHEN value >= 1 THEN CAST(value AS VARCHAR) END AS severity
@@ -652,21 +651,45 @@ def alert_payload(spark, sf_dir):
                   WHEN source IS NULL THEN 'Missing required field: source'
                   WHEN severity IS NULL THEN 'Missing required field: severity'
                   WHEN try_cast(severity AS DOUBLE) IS NULL THEN 'Severity is not a number' END AS error FROM requests)
-    """,
+    """
+
+
+@query(
+    REQUESTS,
     f"""SELECT id, message, source, severity, error, error IS NULL AS valid,
                CASE WHEN error IS NULL THEN true END AS manual,
                CASE WHEN error IS NULL THEN {EVENT_CLOCK} END AS timestamp FROM checked""",
 )
 def alert_validate(spark, sf_dir):
+    return alerts.check_requests(_requests(spark, sf_dir), event_clock(spark, sf_dir))
+
+
+def _requests(spark, sf_dir):
+    """Alert requests made of events, some without a message, a source, or a
+    usable severity."""
     events = views.table(spark, sf_dir, "events")
     kind, value = F.col("event_type"), F.col("value")
-    requests = events.select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.when(kind != "error", F.concat(kind, F.lit(" alert"))).alias("message"),
         F.when(value <= 200, F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("source"),
         F.when(kind == "view", "n/a").when(value >= 1, value.cast("string")).alias("severity"),
     )
-    return alerts.check_requests(requests, event_clock(spark, sf_dir))
+
+
+@query(
+    REQUESTS,
+    f"""SELECT id, source, message, severity, true AS manual, {EVENT_CLOCK} AS timestamp,
+               '[' || CASE WHEN severity > 0.9 THEN 'HIGH' WHEN severity > 0.7 THEN 'MEDIUM' ELSE 'LOW' END
+               || ' SEVERITY] Anomaly Detected' AS heading
+        FROM checked WHERE error IS NULL AND severity >= 0.7
+        QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) = 1""",
+)
+def alert_requests(spark, sf_dir):
+    """All requests are made at one time, so each source gets one through."""
+    sent = alerts.requested_alerts(_requests(spark, sf_dir), ["id"], event_clock(spark, sf_dir))
+    heading = F.split("alert_text", "\n")[0].alias("heading")
+    return sent.select("id", "source", "message", "severity", "manual", "timestamp", heading)
 
 
 def cooldown_sql(key: str, minutes: int, columns: str, source: str = "severe") -> str:
@@ -1056,3 +1079,27 @@ def stream_cooldown(spark, sf_dir):
     keyed = alerts.candidates(rows).withColumn("alert_key", cooldown.alert_key("source", "location"))
     sent = _run(spark, state.cooldown_stream(keyed, "alert_key", ["timestamp", "id"], 360))
     return sent.select("alert_key", "id", "timestamp", "severity")
+
+
+@query(
+    END_TO_END
+    + cooldown_sql(
+        "source || ':' || location", 15,
+        f"id, alert_key, timestamp, round(score, 6) AS anomaly_score, severity_label, {SUBJECT} AS subject,"
+        f" {sensor_message_sql('score')} AS alert_text",
+    ),
+    recursive=True,
+)
+def stream_alerts(spark, sf_dir):
+    """Scored, cooled down and written as alerts by two streaming queries."""
+    root, now, order = shared_dir(spark, "alerting"), {"availableNow": True}, ["timestamp", "id"]
+    rows = alerting.severe(_event_stream(spark, sf_dir), "location", "value", order)
+    scoring, schema = alerting.start_scoring(rows, f"{root}/severe", f"{root}/scoring", now)
+    scoring.awaitTermination()
+    sent = alerting.start_alerts(
+        spark, f"{root}/severe", schema, order, f"{root}/alerts", f"{root}/checkpoint", trigger=now
+    )
+    sent.awaitTermination()
+    kept = wall_clock(tables.read(spark, f"{root}/alerts"))
+    columns = ["id", "alert_key", "timestamp", "anomaly_score", "severity_label", "subject", "alert_text"]
+    return rounded(kept.select(*columns), ["anomaly_score"])

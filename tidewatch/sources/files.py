@@ -24,3 +24,8 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     system, target = _open(spark, path)
     system.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, target = _open(spark, path)
+    system.mkdirs(target)

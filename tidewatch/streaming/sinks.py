@@ -66,3 +66,9 @@ def feed_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None =
     """The same JSON messages as text files, for sites without a broker."""
     writer = messages.json_feed(df).writeStream.format("text").option("path", path)
     return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
+
+
+def file_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Rows as Parquet files that another stream can follow, each row once."""
+    writer = df.writeStream.format("parquet").option("path", path)
+    return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
