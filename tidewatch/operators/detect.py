@@ -72,12 +72,8 @@ def trailing_moments(
 
     # the last row of a segment has its whole frame in that segment
     crosses = F.col(POSITION) % width != 0
-    parts = (
-        cut.withColumn("_rest", running(backward))
-        .withColumn("_rest", F.lag("_rest", width - 1).over(whole))
-        .withColumn("_rest", F.when(crosses, F.col("_rest")))
-        .withColumn("_part", running(forward))
-    )
+    rest = F.when(crosses, F.lag("_rest", width - 1).over(whole))
+    parts = cut.withColumn("_rest", running(backward)).withColumns({"_rest": rest, "_part": running(forward)})
     old, new = F.col("_rest"), F.col("_part")
     old_n, new_n = F.coalesce(old.n, F.lit(0)), new.n
     total = old_n + new_n

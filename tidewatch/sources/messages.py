@@ -14,6 +14,7 @@ JSON_TIMES = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 CORRUPT = "_corrupt_record"
+HEAD = ("stream", "key", "partition", "offset", "ingest_time")
 
 
 # --- readers ---------------------------------------------------------------
@@ -119,11 +120,32 @@ def problem() -> Column:
     )
 
 
-def decode(df: DataFrame) -> DataFrame:
-    """Good messages as one wide typed table; fields of other streams are NULL."""
+def parse(df: DataFrame) -> DataFrame:
+    """All messages as one wide typed table; fields of other streams are NULL.
+    `error` says what is wrong with a message, and `raw` is its text if so."""
     wide = [_first(streams, field).alias(field) for field, streams in _payload_columns().items()]
-    good = _parse(df).filter(problem().isNull())
-    return good.select("stream", "key", "partition", "offset", "ingest_time", *wide)
+    error = problem()
+    raw = F.when(error.isNotNull(), F.col("value")).alias("raw")
+    return _parse(df).select(*HEAD, *wide, error.alias("error"), raw)
+
+
+def good(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("error").isNull()).drop("error", "raw")
+
+
+def bad(parsed: DataFrame) -> DataFrame:
+    kept = [name for name in parsed.columns if name in (*HEAD, "created_at")]
+    return parsed.filter(F.col("error").isNotNull()).select(*kept, F.col("raw").alias("value"), "error")
+
+
+def decode(df: DataFrame) -> DataFrame:
+    """The messages that can be decoded."""
+    return good(parse(df))
+
+
+def dead_letters(df: DataFrame) -> DataFrame:
+    """The messages that cannot, whole, with the reason."""
+    return bad(parse(df))
 
 
 def decode_one(df: DataFrame, stream: str) -> DataFrame:
@@ -132,14 +154,7 @@ def decode_one(df: DataFrame, stream: str) -> DataFrame:
     schema = schemas.PAYLOADS[stream]
     parsed = F.from_json("value", schema)
     rows = df.filter(F.col("stream") == stream).withColumn("_payload", parsed)
-    return rows.select("stream", "key", "partition", "offset", "ingest_time", "_payload.*")
-
-
-def dead_letters(df: DataFrame) -> DataFrame:
-    """Messages that cannot be decoded, whole, with the reason."""
-    kept = ["stream", "key", "partition", "offset", "ingest_time", "value"]
-    bad = _parse(df).withColumn("error", problem()).filter(F.col("error").isNotNull())
-    return bad.select(*kept, "error")
+    return rows.select(*HEAD, "_payload.*")
 
 
 # --- encoding --------------------------------------------------------------

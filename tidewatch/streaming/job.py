@@ -1,13 +1,14 @@
 """The streaming job: decode, enrich, summarise, and feed the sinks."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch import constants as K
 from tidewatch.operators.enrich import enrich_all
 from tidewatch.operators.reads import flagged
 from tidewatch.operators.rollup import summarise_all
-from tidewatch.sources import messages
+from tidewatch.sources import messages, tables
 from tidewatch.streaming import sinks
 
 
@@ -20,42 +21,33 @@ def start_job(
 ) -> dict[str, StreamingQuery]:
     """Start the job over a message stream and return its queries by name.
 
-    - processed: enriched rows, and the flagged ones as the anomalies table;
-    - aggregated: one-minute summaries, emitted when the watermark closes them;
-    - feed: flagged rows as JSON messages;
-    - errors: messages that cannot be decoded.
+    - events: reads and parses each message once and writes the enriched rows,
+      the flagged ones, these again as JSON messages, and the messages that
+      cannot be decoded;
+    - aggregated: one-minute summaries, emitted when the watermark closes them.
 
     Each query has its own checkpoint and continues from it after a restart.
     """
-    enriched = enrich_all(messages.decode(envelope))
+
+    def write_parts(batch: DataFrame, batch_id: int) -> None:
+        created = F.col("created_at")
+        enriched = enrich_all(messages.good(batch), created)
+        tables.write_batch(enriched, batch_id, f"{root}/processed_data")
+        anomalies = flagged(enriched)
+        tables.write_batch(anomalies, batch_id, f"{root}/anomalies")
+        tables.write_batch(messages.bad(batch), batch_id, f"{root}/{K.ERROR_STREAM}", "ingest_time")
+        feed = anomalies.drop("created_at")
+        if kafka_servers:
+            sinks.send_feed(feed, kafka_servers, K.ANOMALY_STREAM)
+        else:
+            sinks.write_feed(feed, batch_id, f"{root}/{K.ANOMALY_STREAM}")
+
     summaries = summarise_all(messages.decode(envelope), watermark=K.WATERMARK)
-    if kafka_servers:
-        feed = sinks.kafka_sink(
-            flagged(enriched), kafka_servers, K.ANOMALY_STREAM, f"{checkpoints}/feed", trigger
-        )
-    else:
-        feed = sinks.feed_sink(
-            flagged(enriched), f"{root}/{K.ANOMALY_STREAM}", f"{checkpoints}/feed", trigger
-        )
     return {
-        "processed": sinks.split_sink(
-            enriched,
-            {"processed_data": lambda batch: batch, "anomalies": flagged},
-            root,
-            f"{checkpoints}/processed",
-            trigger,
-        ),
+        "events": sinks.fan_out_sink(messages.parse(envelope), write_parts, f"{checkpoints}/events", trigger),
         "aggregated": sinks.table_sink(
             summaries, f"{root}/aggregated_data", f"{checkpoints}/aggregated", "window_start", trigger
         ),
-        "feed": feed,
-        "errors": sinks.table_sink(
-            messages.dead_letters(envelope),
-            f"{root}/{K.ERROR_STREAM}",
-            f"{checkpoints}/errors",
-            "ingest_time",
-            trigger,
-        ),
     }
 
 

@@ -26,21 +26,19 @@ def table_sink(
     return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
 
 
-def split_sink(
+def fan_out_sink(
     df: DataFrame,
-    parts: dict[str, Callable[[DataFrame], DataFrame]],
-    root: str,
+    write_parts: Callable[[DataFrame, int], None],
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Feed several stored tables from one read of the stream: each micro-batch
-    is kept while every part of it is written."""
+    """Feed several sinks from one read of the stream: each micro-batch is kept
+    while `write_parts` writes what it takes from it."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            for name, part in parts.items():
-                tables.write_batch(part(batch), batch_id, f"{root}/{name}")
+            write_parts(batch, batch_id)
         finally:
             batch.unpersist()
 
@@ -48,6 +46,17 @@ def split_sink(
     return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
 
 
+def write_feed(df: DataFrame, batch_id: int, path: str) -> None:
+    """JSON messages of a micro-batch as text files, for sites without a broker."""
+    messages.json_feed(df).write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+
+
+def send_feed(df: DataFrame, servers: str, topic: str) -> None:
+    """JSON messages of a micro-batch to a topic; a repeated batch sends again."""
+    feed = messages.json_feed(df).write.format("kafka")
+    feed.option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def kafka_sink(
     df: DataFrame, servers: str, topic: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -62,12 +71,6 @@ def kafka_sink(
     return triggered(writer, trigger).start()
 
 
-def feed_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """The same JSON messages as text files, for sites without a broker."""
-    writer = messages.json_feed(df).writeStream.format("text").option("path", path)
-    return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
-
-
 def file_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Rows as Parquet files that another stream can follow, each row once."""
     writer = df.writeStream.format("parquet").option("path", path)
