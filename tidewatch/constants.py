@@ -60,6 +60,57 @@ MEDIUM_SEVERITY = 0.7
 COOLDOWN_MINUTES = 15
 ALERT_FIELDS = ("message", "source", "severity")
 
+# --- fixed values: alert texts, line by line; {names} are fields -----------
+ALERT_TEXTS = {
+    SENSOR_SOURCE: [
+        "[{severity_label} SEVERITY] Sensor Anomaly Detected",
+        "Sensor: {sensor_id} ({sensor_type})",
+        "Location: {location}",
+        "Value: {value}{unit}",
+        "Anomaly Score: {anomaly_score}",
+        "Timestamp: {timestamp}",
+    ],
+    SOCIAL_SOURCE: [
+        "[{severity_label} SEVERITY] Social Media Anomaly Detected",
+        "User: {user_id}",
+        "Topic: {topic}",
+        "Sentiment: {sentiment}",
+        "Anomaly Score: {anomaly_score}",
+        "Timestamp: {timestamp}",
+    ],
+    MARKET_SOURCE: [
+        "[{severity_label} SEVERITY] Market Anomaly Detected",
+        "Symbol: {symbol}",
+        "Price: {price}",
+        "Price Change: {price_change}",
+        "Anomaly Score: {anomaly_score}",
+        "Timestamp: {timestamp}",
+    ],
+}
+OTHER_ALERT_TEXT = [
+    "[{severity_label} SEVERITY] Anomaly Detected",
+    "Source: {source}",
+    "Details: {details}",
+    "Anomaly Score: {anomaly_score}",
+    "Timestamp: {timestamp}",
+]
+SUBJECT_TEXT = "Alert: {source} Anomaly Detected"
+SCORE_FORMAT = "%.2f"
+MISSING_TEXT = "unknown"
+MISSING_SOURCE_IN_SUBJECT = "Unknown"
+MISSING_FIELD_TEXT = "Missing required field: {field}"
+
+# --- fixed values: cells of the anomaly table, details and value ----------
+TABLE_CELLS = {
+    SENSOR_SOURCE: ("{sensor_type} sensor in {location}", "{value} {unit}"),
+    SOCIAL_SOURCE: (
+        "User post with {sentiment} sentiment about {topic}",
+        "Engagement: {engagement_count}",
+    ),
+    MARKET_SOURCE: ("{symbol} ({sector})", "{price_change_percent}% ({price})"),
+}
+SOURCE_SUFFIX = "_simulator"
+
 # --- fixed values: reads and table lifecycle -----------------------------
 RECENT_HOURS = 24
 READ_LIMIT = 100

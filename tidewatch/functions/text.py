@@ -1,5 +1,8 @@
 """Alert and table texts, and the naming rules of stored tables."""
 
+from collections.abc import Callable
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,69 +18,47 @@ def present(columns, name: str, default: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(default))
 
 
-def lines(*parts: Column) -> Column:
-    return F.concat_ws("\n", *parts)
+def filled(template: str, field: Callable[[str], Column]) -> Column:
+    """A template with each {name} replaced by the text of `field(name)`."""
+    pieces = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            pieces.append(F.lit(literal))
+        if name:
+            pieces.append(field(name))
+    return F.concat(*pieces)
 
 
-def labelled(label: str, *parts: Column) -> Column:
-    return F.concat(F.lit(f"{label}: "), *parts)
+def by_source(source: Column, texts: dict[str, Column], other: Column) -> Column:
+    chosen = F
+    for name, text in texts.items():
+        chosen = chosen.when(source == name, text)
+    return chosen.otherwise(other)
 
 
 def alert_text(columns, severity: Column | str = "severity") -> Column:
     """The message of an alert; `columns` are the columns the anomaly row has."""
-    severity = F.col(severity) if isinstance(severity, str) else severity
+    score = F.col("anomaly_score").cast("double") if "anomaly_score" in columns else F.lit(None)
+    made = {
+        "severity_label": severity_label(severity),
+        "anomaly_score": F.format_string(K.SCORE_FORMAT, F.coalesce(score, F.lit(0.0))),
+        "timestamp": F.coalesce(iso_text(F.col("timestamp")), F.lit(K.MISSING_TEXT)),
+        "unit": present(columns, "unit", ""),
+        "details": F.to_json(F.struct(*columns)),
+    }
 
-    def heading(kind: str) -> Column:
-        return F.concat(F.lit("["), severity_label(severity), F.lit(f" SEVERITY] {kind}Anomaly Detected"))
+    def field(name: str) -> Column:
+        return made[name] if name in made else present(columns, name, K.MISSING_TEXT)
 
-    score = F.coalesce(F.col("anomaly_score"), F.lit(0.0)) if "anomaly_score" in columns else F.lit(0.0)
-    time = F.coalesce(iso_text(F.col("timestamp")), F.lit("unknown"))
-    tail = [
-        labelled("Anomaly Score", F.format_string("%.2f", score.cast("double"))),
-        labelled("Timestamp", time),
-    ]
+    def message(lines: list[str]) -> Column:
+        return F.concat_ws("\n", *[filled(line, field) for line in lines])
 
-    def field(name: str) -> Column:
-        return present(columns, name, "unknown")
-
-    source = field("source")
-    sensor = lines(
-        heading("Sensor "),
-        labelled("Sensor", field("sensor_id"), F.lit(" ("), field("sensor_type"), F.lit(")")),
-        labelled("Location", field("location")),
-        labelled("Value", field("value"), present(columns, "unit", "")),
-        *tail,
-    )
-    social = lines(
-        heading("Social Media "),
-        labelled("User", field("user_id")),
-        labelled("Topic", field("topic")),
-        labelled("Sentiment", field("sentiment")),
-        *tail,
-    )
-    market = lines(
-        heading("Market "),
-        labelled("Symbol", field("symbol")),
-        labelled("Price", field("price")),
-        labelled("Price Change", field("price_change")),
-        *tail,
-    )
-    other = lines(
-        heading(""),
-        labelled("Source", source),
-        labelled("Details", F.to_json(F.struct(*[F.col(c) for c in columns]))),
-        *tail,
-    )
-    return (
-        F.when(source == K.SENSOR_SOURCE, sensor)
-        .when(source == K.SOCIAL_SOURCE, social)
-        .when(source == K.MARKET_SOURCE, market)
-        .otherwise(other)
-    )
+    texts = {source: message(lines) for source, lines in K.ALERT_TEXTS.items()}
+    return by_source(field("source"), texts, message(K.OTHER_ALERT_TEXT))
 
 
 def subject_line(columns) -> Column:
-    return F.concat(F.lit("Alert: "), present(columns, "source", "Unknown"), F.lit(" Anomaly Detected"))
+    return filled(K.SUBJECT_TEXT, lambda name: present(columns, name, K.MISSING_SOURCE_IN_SUBJECT))
 
 
 def number_text(value: Column) -> Column:
@@ -85,55 +66,26 @@ def number_text(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"\.0$", "")
 
 
-def anomaly_details() -> Column:
-    """Details cell of the anomaly table, by source."""
-    source = F.col("source")
-    return (
-        F.when(
-            source == K.SENSOR_SOURCE,
-            F.concat(F.col("sensor_type"), F.lit(" sensor in "), F.col("location")),
-        )
-        .when(
-            source == K.SOCIAL_SOURCE,
-            F.concat(
-                F.lit("User post with "), F.col("sentiment"), F.lit(" sentiment about "), F.col("topic")
-            ),
-        )
-        .when(
-            source == K.MARKET_SOURCE,
-            F.concat(F.col("symbol"), F.lit(" ("), F.col("sector"), F.lit(")")),
-        )
-        .otherwise(F.lit(""))
-    )
+def table_cells() -> tuple[Column, Column]:
+    """Details and value cells of the anomaly table, by source."""
+    numbers = ("value", "engagement_count", "price", "price_change_percent")
 
+    def field(name: str) -> Column:
+        return number_text(F.col(name)) if name in numbers else F.col(name)
 
-def anomaly_value() -> Column:
-    """Value cell of the anomaly table, by source."""
-    source = F.col("source")
-    return (
-        F.when(
-            source == K.SENSOR_SOURCE,
-            F.concat(number_text(F.col("value")), F.lit(" "), F.col("unit")),
-        )
-        .when(
-            source == K.SOCIAL_SOURCE,
-            F.concat(F.lit("Engagement: "), F.col("engagement_count").cast("string")),
+    cells = [
+        by_source(
+            F.col("source"),
+            {source: filled(pair[at], field) for source, pair in K.TABLE_CELLS.items()},
+            F.lit(""),
         )
-        .when(
-            source == K.MARKET_SOURCE,
-            F.concat(
-                number_text(F.col("price_change_percent")),
-                F.lit("% ("),
-                number_text(F.col("price")),
-                F.lit(")"),
-            ),
-        )
-        .otherwise(F.lit(""))
-    )
+        for at in (0, 1)
+    ]
+    return cells[0], cells[1]
 
 
 def short_source(source="source") -> Column:
-    return F.regexp_replace(F.col(source), "_simulator", "")
+    return F.regexp_replace(F.col(source), K.SOURCE_SUFFIX, "")
 
 
 def stored_name(name: str, prefix: str = "tidewatch_") -> str:

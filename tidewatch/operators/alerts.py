@@ -39,7 +39,7 @@ def payload(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     score = F.coalesce(F.col("anomaly_score"), F.lit(0.0))
     body = df.select(
         F.col("alert_text").alias("text"),
-        text.present(df.columns, "source", "unknown").alias("source"),
+        text.present(df.columns, "source", K.MISSING_TEXT).alias("source"),
         F.col("timestamp"),
         F.struct(*fields).alias("anomaly"),
         score.alias("severity"),
@@ -56,7 +56,7 @@ def check_requests(df: DataFrame, as_of=None) -> DataFrame:
     severity a number. Good rows gain `manual` and a timestamp; bad ones say why."""
     missing = F
     for name in K.ALERT_FIELDS:
-        missing = missing.when(F.col(name).isNull(), F.lit(f"Missing required field: {name}"))
+        missing = missing.when(F.col(name).isNull(), F.lit(K.MISSING_FIELD_TEXT.format(field=name)))
     parsed = F.col("severity").try_cast("double")
     error = missing.when(parsed.isNull(), F.lit("Severity is not a number"))
     checked = df.withColumns({"error": error, "severity": parsed})
@@ -82,7 +82,7 @@ def requested_alerts(
     source share a cooldown."""
     good = check_requests(df, as_of).filter("valid").drop("error", "valid")
     keyed = candidates(good, min_severity).withColumn(
-        "alert_key", F.concat(F.col("source"), F.lit(":unknown"))
+        "alert_key", F.concat(F.col("source"), F.lit(f":{K.MISSING_TEXT}"))
     )
     return with_message(cooldown(keyed, "alert_key", ["timestamp", *order], minutes))
 

@@ -32,7 +32,7 @@ NEVER = -(2**62)
 
 def alert_key(source="source", entity="id") -> Column:
     """Alerts share a cooldown by source and entity."""
-    unknown = F.lit("unknown")
+    unknown = F.lit(K.MISSING_TEXT)
     return F.concat(
         F.coalesce(F.col(source).cast("string"), unknown),
         F.lit(":"),
@@ -179,7 +179,7 @@ def cooldown(
     time = F.unix_micros(F.col(order[0]).cast("timestamp"))
     ranks = [f"_rank{i}" for i in range(1, len(order))]
     narrow = timed.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("_key"),
+        F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)).alias("_key"),
         F.floor(time / F.lit(length)).cast("long").alias("_chunk"),
         time.alias("_time"),
         *[F.col(name).alias(rank) for name, rank in zip(order[1:], ranks)],
@@ -207,7 +207,7 @@ def cooldown(
         .mapInArrow(_follow_chains(length, gap, ["_key", "_time", *ranks]), sent_schema)
     )
     match = [
-        F.coalesce(F.col(key).cast("string"), F.lit("unknown")) == F.col("_key"),
+        F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)) == F.col("_key"),
         F.unix_micros(F.col(order[0]).cast("timestamp")) == F.col("_time"),
         *[F.col(name).eqNullSafe(F.col(rank)) for name, rank in zip(order[1:], ranks)],
     ]

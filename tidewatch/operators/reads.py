@@ -120,12 +120,13 @@ def chart_series(
 
 def anomaly_table(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Display columns of anomalies: time of day, source, details, value."""
+    details, value = text.table_cells()
     return df.select(
         *keep,
         clock_label(F.col("timestamp")).alias("time"),
         text.short_source().alias("source"),
-        text.anomaly_details().alias("details"),
-        text.anomaly_value().alias("value"),
+        details.alias("details"),
+        value.alias("value"),
     )
 
 

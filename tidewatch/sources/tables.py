@@ -8,6 +8,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import constants as K
 from tidewatch.operators.lifecycle import not_older_than, with_created
@@ -40,8 +41,10 @@ def write_batch(df: DataFrame, batch_id: int, path: str, time: str = "timestamp"
     writer.partitionBy(*LAYOUT).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stored table; with its schema named, also one nothing was written to."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
