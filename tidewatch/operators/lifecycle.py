@@ -54,15 +54,13 @@ def upsert(
     columns = table.columns + [c for c in changes.columns if c not in table.columns]
     if "updated_at" not in columns:
         columns.append("updated_at")
-    kinds = {**dict(changes.dtypes), **dict(table.dtypes)}
-    kinds.setdefault("updated_at", "timestamp")
 
     new = changes.select(*[F.col(c).alias(f"_new_{c}") for c in changes.columns], F.lit(True).alias("_changed"))
     joined = table.join(new, F.col(key) == F.col(f"_new_{key}"), "left")
     changed = F.coalesce(F.col("_changed"), F.lit(False))
 
     def current(name: str) -> Column:
-        old = F.col(name) if name in table.columns else F.lit(None).cast(kinds[name])
+        old = F.col(name) if name in table.columns else F.lit(None)
         if name == "updated_at":
             return F.when(changed, now).otherwise(old)
         return F.when(changed, F.col(f"_new_{name}")).otherwise(old) if name in changes.columns else old
