@@ -12,11 +12,11 @@ from tidewatch.operators.rollup import anomalies
 
 
 def recent(df: DataFrame, as_of=None, hours: float = K.RECENT_HOURS) -> DataFrame:
-    """Rows of the last hours. A table partitioned by event date reads only
+    """Rows of the last hours. A table partitioned by event month reads only
     the partitions that can hold them."""
     since = before(as_of, hours=hours)
-    if "event_date" in df.columns:
-        df = df.filter(F.col("event_date") >= F.to_date(since))
+    if "event_month" in df.columns:
+        df = df.filter(F.col("event_month") >= F.trunc(since, "month"))
     return df.filter(F.col("timestamp") >= since)
 
 

@@ -12,7 +12,7 @@ from tidewatch.plans import oracles as O
 from tidewatch.plans import views
 from tidewatch.session import shared_dir
 from tidewatch.sources import archive, messages, snapshots, tables
-from tidewatch.streaming import alerting, sinks, state
+from tidewatch.streaming import alerting, job, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,6 +256,19 @@ def moving_average_by_place(spark, sf_dir):
     return _scored(detect.moving_average(rows, "location", "value", ["timestamp", "id"]))
 
 
+@query(O.SENSORS, f"SELECT {ZSCORE_COLUMNS} FROM ({zscore_sql('location')})")
+def zscore_split(spark, sf_dir):
+    """Places as hot keys: each is cut into blocks of 500 rows."""
+    rows = views.sensors(spark, sf_dir)
+    return _scored(detect.zscore(rows, "location", "value", ["timestamp", "id"], hot_rows=500))
+
+
+@query(O.SENSORS, f"SELECT {MA_COLUMNS} FROM ({moving_average_sql('location')})")
+def moving_average_split(spark, sf_dir):
+    rows = views.sensors(spark, sf_dir)
+    return _scored(detect.moving_average(rows, "location", "value", ["timestamp", "id"], hot_rows=500))
+
+
 DIRTY = (
     O.SENSORS
     + """,
@@ -316,6 +329,21 @@ def price_change(spark, sf_dir):
     )
 
 
+@query(
+    O.MARKET,
+    "SELECT symbol, timestamp, order_id, line, supplier, price, price_change, price_change_percent FROM market",
+)
+def price_change_split(spark, sf_dir):
+    """Every symbol with more than ten ticks as a hot key."""
+    ticks = views.ticks(spark, sf_dir)
+    rows = series.price_change(
+        ticks, "symbol", "price", views.MARKET_ORDER, hot_rows=10, slices=views.market_slices()
+    )
+    return rows.select(
+        "symbol", "timestamp", "order_id", "line", "supplier", "price", "price_change", "price_change_percent"
+    )
+
+
 @query(
     O.TICKS,
     """SELECT symbol, timestamp, price, volume, order_id FROM ticks
@@ -1103,3 +1131,53 @@ def stream_alerts(spark, sf_dir):
     kept = wall_clock(tables.read(spark, f"{root}/alerts"))
     columns = ["id", "alert_key", "timestamp", "anomaly_score", "severity_label", "subject", "alert_text"]
     return rounded(kept.select(*columns), ["anomaly_score"])
+
+
+def _job(spark, sf_dir) -> str:
+    """The whole streaming job over the message log, written out as files."""
+    root = shared_dir(spark, "job")
+    log = views.envelope(spark, sf_dir)
+    log.withColumn("ingest_time", F.col("ingest_time").cast("timestamp")).write.parquet(f"{root}/log")
+    stream = messages.stream_files(spark, f"{root}/log")
+    running = job.start_job(
+        stream, f"{root}/tables", f"{root}/checkpoints", {"availableNow": True}, backfill=True
+    )
+    for part in running.values():
+        part.awaitTermination()
+    return f"{root}/tables"
+
+
+@query(
+    ENVELOPE,
+    f"""SELECT {HEAD_SQL}, timestamp, is_anomaly, sensor_id, value, user_id, symbol, price,
+               CASE WHEN stream = 'sensor-data' THEN {O.CATEGORY} END AS reading_category,
+               CAST(length(content) AS INTEGER) AS content_length,
+               CASE WHEN stream = 'social-data' THEN {O.ENGAGEMENT} END AS engagement_level,
+               CASE WHEN stream = 'market-data' THEN {O.MOVEMENT} END AS price_movement,
+               CASE WHEN stream = 'market-data' THEN {O.ACTIVITY} END AS trading_activity
+        FROM envelope""",
+)
+def stream_job_processed(spark, sf_dir):
+    """The job's table of enriched rows."""
+    rows = tables.read(spark, f"{_job(spark, sf_dir)}/processed_data")
+    columns = [*HEAD, "timestamp", "is_anomaly", "sensor_id", "value", "user_id", "symbol", "price"]
+    derived = ["reading_category", "content_length", "engagement_level", "price_movement", "trading_activity"]
+    return wall_clock(rows.select(*columns, *derived))
+
+
+@query(
+    O.MIXED,
+    f"""SELECT * FROM (
+          SELECT 'sensor-data' AS stream, * FROM ({sensor_windows_sql('1 minute')})
+          UNION ALL BY NAME SELECT 'social-data' AS stream, * FROM ({social_windows_sql('1 minute')})
+          UNION ALL BY NAME SELECT 'market-data' AS stream, * FROM ({market_windows_sql('1 minute')}))
+        WHERE window_end <= {EVENT_CLOCK} - INTERVAL '1 minute'""",
+)
+def stream_job_summaries(spark, sf_dir):
+    """The job's table of one-minute summaries."""
+    rows = tables.read(spark, f"{_job(spark, sf_dir)}/aggregated_data")
+    kept = wall_clock(rows.drop(*tables.LAYOUT, "created_at"))
+    return rounded(
+        kept,
+        ["avg_value", "stddev_value", "avg_engagement", "avg_price", "avg_price_change_pct", "anomaly_rate"],
+    )

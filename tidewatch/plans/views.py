@@ -1,8 +1,8 @@
 """The three event tables and their message stream, derived from the given tables.
 
 Each view is a plan over whole tables: every event is a sensor reading, every
-event posts a document and every order line is a price update. `event_date`
-and message columns are derived too, so all operators have real input.
+event posts a document and every order line is a price update. Message
+columns are derived too, so all operators have real input.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,7 @@ SENSOR_TYPE_OF = {
     "error": "motion",
 }
 
+ORDERS_PER_SLICE = 1 << 26
 MARKET_ORDER = ["timestamp", "order_id", "line", "supplier", "volume", "total"]
 
 
@@ -109,10 +110,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_slices() -> list[Column]:
-    """Ticks of one day share a time: slices go on to blocks of orders."""
+    """Ticks of one day share a time: slices go on to blocks of orders, wide
+    enough that a key has millions of slices at most and a slice stays small."""
     return [
         F.unix_seconds(F.col("timestamp").cast("timestamp")),
-        F.floor(F.col("order_id") / 65536).cast("long"),
+        F.floor(F.col("order_id") / ORDERS_PER_SLICE).cast("long"),
     ]
 
 

@@ -1,7 +1,8 @@
-"""Stored tables: Parquet folders by creation day and event day.
+"""Stored tables: Parquet folders by creation day and event month.
 
 Age rules go by `created_at` and drop whole `created_date` folders; reads go
-by `timestamp` and skip `event_date` folders.
+by `timestamp` and skip `event_month` folders. Months, as a batch that reaches
+far back would otherwise write a folder for every day.
 """
 
 import datetime as dt
@@ -15,15 +16,15 @@ from tidewatch.operators.lifecycle import not_older_than, with_created
 from tidewatch.session import written_once
 from tidewatch.sources import files
 
-LAYOUT = ("created_date", "event_date", "batch_id")
+LAYOUT = ("created_date", "event_month", "batch_id")
 NO_BATCH = -1
 
 
 def dated(df: DataFrame, time: str, as_of=None) -> DataFrame:
-    """Rows with their creation time and the days they are stored under."""
+    """Rows with their creation time and what they are stored under."""
     created = with_created(df, as_of)
     return created.withColumns(
-        {"created_date": F.to_date("created_at"), "event_date": F.to_date(F.col(time))}
+        {"created_date": F.to_date("created_at"), "event_month": F.trunc(F.col(time), "month")}
     )
 
 
@@ -32,13 +33,22 @@ def insert(df: DataFrame, path: str, time: str = "timestamp", as_of=None) -> Non
     rows.write.mode("append").partitionBy(*LAYOUT).parquet(path)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str, time: str = "timestamp") -> None:
+def write_batch(
+    df: DataFrame, batch_id: int, path: str, time: str = "timestamp", backfill: bool = False
+) -> None:
     """Write a micro-batch under its number. A batch that runs again after a
     failure replaces what it wrote before, so no row is stored twice. For that
-    the stream itself sets `created_at`: its clock repeats with the batch."""
-    rows = dated(df, time).withColumn("batch_id", F.lit(batch_id))
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*LAYOUT).parquet(path)
+    the stream itself sets `created_at`: its clock repeats with the batch.
+
+    A live batch covers a month or two and is written as it lies. A backfill
+    covers many: it is first brought into time order over the tasks, or every
+    task would write a file for every month. The hash splits rows of one time.
+    """
+    rows = dated(df, time)
+    if backfill:
+        rows = rows.repartitionByRange("event_month", time, F.xxhash64(*df.columns))
+    writer = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ def start_job(
     checkpoints: str,
     trigger: dict | None = None,
     kafka_servers: str | None = None,
+    backfill: bool = False,
 ) -> dict[str, StreamingQuery]:
     """Start the job over a message stream and return its queries by name.
 
@@ -27,14 +28,15 @@ def start_job(
     - aggregated: one-minute summaries, emitted when the watermark closes them.
 
     Each query has its own checkpoint and continues from it after a restart.
+    `backfill` is for batches that cover many months.
     """
 
     def write_parts(batch: DataFrame, batch_id: int) -> None:
         created = F.col("created_at")
         enriched = enrich_all(messages.good(batch), created)
-        tables.write_batch(enriched, batch_id, f"{root}/processed_data")
+        tables.write_batch(enriched, batch_id, f"{root}/processed_data", backfill=backfill)
         anomalies = flagged(enriched)
-        tables.write_batch(anomalies, batch_id, f"{root}/anomalies")
+        tables.write_batch(anomalies, batch_id, f"{root}/anomalies", backfill=backfill)
         tables.write_batch(messages.bad(batch), batch_id, f"{root}/{K.ERROR_STREAM}", "ingest_time")
         feed = anomalies.drop("created_at")
         if kafka_servers:
@@ -46,7 +48,7 @@ def start_job(
     return {
         "events": sinks.fan_out_sink(messages.parse(envelope), write_parts, f"{checkpoints}/events", trigger),
         "aggregated": sinks.table_sink(
-            summaries, f"{root}/aggregated_data", f"{checkpoints}/aggregated", "window_start", trigger
+            summaries, f"{root}/aggregated_data", f"{checkpoints}/aggregated", "window_start", trigger, backfill
         ),
     }
 

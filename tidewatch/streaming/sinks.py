@@ -15,12 +15,17 @@ def triggered(writer: DataStreamWriter, trigger: dict | None) -> DataStreamWrite
 
 
 def table_sink(
-    df: DataFrame, path: str, checkpoint: str, time: str = "timestamp", trigger: dict | None = None
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    time: str = "timestamp",
+    trigger: dict | None = None,
+    backfill: bool = False,
 ) -> StreamingQuery:
     """Append each micro-batch to a stored table, once even after a restart."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        tables.write_batch(batch, batch_id, path, time)
+        tables.write_batch(batch, batch_id, path, time, backfill)
 
     writer = with_created(df).writeStream.outputMode("append").foreachBatch(store)
     return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
