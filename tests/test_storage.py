@@ -128,6 +128,19 @@ def test_snapshots(spark, tmp_path):
     assert counts == [2, 1]
 
 
+def test_changes_make_a_new_version(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(ValueError):
+        snapshots.change_snapshot(spark, root, "a", lambda df: df)
+    snapshots.save_snapshot(aged(spark, [0, 1]), root, "a")
+    changes = spark.createDataFrame([(1, 7.5), (9, 9.5)], "id long, value double")
+    assert snapshots.change_snapshot(spark, root, "a", lambda df: lifecycle.upsert(df, changes, "id", NOW)) == 2
+    assert snapshots.change_snapshot(spark, root, "a", lambda df: lifecycle.delete_where(df, F.col("id") == 0)) == 3
+    latest = {row["id"]: row["value"] for row in snapshots.load_snapshot(spark, root, "a").collect()}
+    assert latest == {1: 7.5, 9: 9.5}
+    assert ids(snapshots.load_snapshot(spark, root, "a", 1)) == [0, 1]
+
+
 def test_snapshot_without_entry_is_not_seen(spark, tmp_path):
     root = str(tmp_path)
     snapshots.save_snapshot(aged(spark, [0]), root, "a")

@@ -3,6 +3,7 @@ entry after, so a version that failed halfway is never seen; the latest version
 is the highest one listed."""
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,17 @@ def load_snapshot(
     return spark.read.parquet(f"{root}/{name}/version={version}")
 
 
+def change_snapshot(
+    spark: SparkSession, root: str, name: str, change: Callable[[DataFrame], DataFrame]
+) -> int:
+    """Save what `change` makes of the latest version (an upsert, a delete) as
+    the next one. Readers of the old version are not disturbed."""
+    latest = load_snapshot(spark, root, name)
+    if latest is None:
+        raise ValueError(f"no snapshot named {name}")
+    return save_snapshot(change(latest), root, name)
+
+
 def delete_snapshot(spark: SparkSession, root: str, name: str, version: int) -> bool:
     """Remove a version; the next highest becomes the latest."""
     if version not in _versions(spark, root, name):
