@@ -2,10 +2,15 @@
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf):
     """A session with the settings the jobs rely on; `conf` adds or overrides."""
     builder = SparkSession.builder.appName("tidewatch")
@@ -26,6 +31,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: Python functions
+    in its modules are found there wherever the job was started from."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidewatch-")) / "tidewatch.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(package.rglob("*.py")):
+            packed.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one run below the cluster's shared checkpoint folder.
 
@@ -45,6 +65,7 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once
     however often it is used, and lost executors do not take it along."""
     spark = df.sparkSession
+    ship_package(spark)
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
