@@ -3,9 +3,10 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, simhash
-from tidewatch.llm.tables import table
+from tidewatch.llm import chat, langid, quality, simhash, toxicity
+from tidewatch.llm.tables import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,7 +51,37 @@ FROM marked GROUP BY conv_id
 """
 
 
+def judged(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+@query
+def op6_quality_classifier(spark, sf_dir):
+    """The quality score of every document; a quarter of the ids is never learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = quality.score(docs, labels, remainder("key", 4) != 2)
+    return judged(scores, remainder("doc_id", 4) == 2)
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    """The toxicity score of every document; a third of the ids is never learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = toxicity.score(docs, labels, remainder("key", 3) != 1)
+    return judged(scores, remainder("doc_id", 3) == 1)
+
+
 @query
 def op9_simhash_near_dedup(spark, sf_dir):
     """The fingerprint and component of every document: 3-word shingles, 2 bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    """The language of every document; a fifth of the ids is never learned from."""
+    held_out = remainder("doc_id", 5) == 0
+    found = langid.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
