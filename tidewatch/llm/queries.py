@@ -5,8 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, langid, quality, simhash, toxicity
+import public_tokenizers
+from tidewatch.llm import chat, langid, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
+from tidewatch.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +53,24 @@ FROM marked GROUP BY conv_id
 """
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 ids, each document ended by id 1."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
+
+
+@query
+def op7_token_files(spark, sf_dir):
+    """Digests of all documents, written as token files and read back, each ended by id 2."""
+    folder = shared_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer(), end_id=2)
+    return token_files.digests(token_files.read(spark, folder))
+
+
 def judged(scores: DataFrame, held_out) -> DataFrame:
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
