@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm import chat, langid, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import chat, decontaminate, langid, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
 from tidewatch.session import shared_dir
 
@@ -20,6 +20,41 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    """What of the benchmark occurs in every document, by windows of 13 words."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+ORACLES["op1_decontamination"] = r"""
+WITH plain AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+item_words AS (SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, least(13, len(words)) AS size, array_to_string(words[p : p + least(13, len(words)) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS p FROM item_words WHERE len(words) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM phrases),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM plain),
+found AS (
+  SELECT doc_id, p, x.size, item_id FROM places
+  JOIN sizes s ON p + s.size - 1 <= len(words)
+  JOIN phrases x ON x.size = s.size AND x.phrase = array_to_string(words[p : p + s.size - 1], ' ')
+),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (
+  SELECT doc_id, unnest(range(p, p + size)) AS w FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+  SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM plain LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @query
 def op2_chat_format(spark, sf_dir):
     """Digests of all conversations, formatted and read back, with conversation -1."""

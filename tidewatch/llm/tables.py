@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from tidewatch.session import ship_package
 
@@ -49,7 +49,7 @@ def with_columns(
     """The table with columns that `function` computes from each Arrow batch; `added` has their types."""
     schema = StructType(list(df.schema.fields))
     for name, kind in added.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, *function(batch)], [*batch.schema.names, *added])
