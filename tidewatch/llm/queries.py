@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm import chat, decontaminate, langid, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import chat, decontaminate, langid, licenses, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
 from tidewatch.session import shared_dir
 
@@ -88,6 +88,37 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op3_license_scan(spark, sf_dir):
+    """The license notices in every document: at least 0.8 of a notice's five-word shingles in a window."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLES["op3_license_scan"] = (
+    "WITH templates(template_id, license, text) AS (VALUES "
+    + ", ".join(f"({quoted(k)}, {quoted(a)}, {quoted(t)})" for k, (a, t) in licenses.NOTICES.items())
+    + r"""),
+template_words AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM templates),
+wanted AS (SELECT DISTINCT template_id, license, array_to_string(words[p : p + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, len(words) - 3)) AS p FROM template_words)),
+sizes AS (SELECT template_id, count(*) AS size, (2 ** ceil(log2(count(*))))::INT AS step FROM wanted GROUP BY template_id),
+doc_words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+places AS (SELECT doc_id, p - 1 AS place, array_to_string(words[p : p + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, len(words) - 3)) AS p FROM doc_words)),
+found AS (SELECT doc_id, place, template_id, license, shingle, size, step FROM places JOIN wanted USING (shingle) JOIN sizes USING (template_id)),
+windows AS (SELECT *, (place // step) * step AS start FROM found UNION ALL SELECT *, (place // step - 1) * step FROM found WHERE place >= step),
+shares AS (SELECT doc_id, template_id, license, start, count(DISTINCT shingle)::DOUBLE / any_value(size) AS containment
+  FROM windows GROUP BY ALL)
+SELECT doc_id, template_id, license, max(containment) AS containment, min(start)::INTEGER AS first_word
+FROM shares WHERE containment >= 0.8 GROUP BY ALL
+"""
+)
+
+
 def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
