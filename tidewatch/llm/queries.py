@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm import chat, decontaminate, langid, licenses, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import chat, decontaminate, langid, licenses, neighbours, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
 from tidewatch.session import shared_dir
 
@@ -137,6 +137,12 @@ def op7_token_files(spark, sf_dir):
     return token_files.digests(token_files.read(spark, folder))
 
 
+@query
+def op5_nearest_neighbours(spark, sf_dir):
+    """For every twentieth vector the 20 others with the largest inner product."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, nearest=20)
+
+
 def judged(scores: DataFrame, held_out) -> DataFrame:
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
