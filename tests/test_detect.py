@@ -8,6 +8,7 @@ import sequential
 from pyspark.sql import functions as F
 
 from tidewatch.operators import detect, series
+from tidewatch.streaming import state
 
 START = dt.datetime(2024, 1, 1)
 
@@ -63,46 +64,45 @@ def example():
     }
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 100, 130, 257])
-def test_zscore(spark, hot_rows):
+@pytest.mark.parametrize("block_rows", [1_000_000, 1, 100, 130, 257])
+def test_zscore(spark, block_rows):
     data = example()
-    rows = detect.zscore(make(spark, data), "key", "value", ["ts", "id"], hot_rows=hot_rows)
+    rows = detect.zscore(make(spark, data), "key", "value", ["ts", "id"], block_rows=block_rows)
     same(scored(rows), {key: sequential.zscore(values) for key, values in data.items()})
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 100, 130, 257])
-def test_moving_average(spark, hot_rows):
+@pytest.mark.parametrize("block_rows", [1_000_000, 1, 100, 130, 257])
+def test_moving_average(spark, block_rows):
     data = example()
-    rows = detect.moving_average(make(spark, data), "key", "value", ["ts", "id"], hot_rows=hot_rows)
+    rows = detect.moving_average(make(spark, data), "key", "value", ["ts", "id"], block_rows=block_rows)
     same(scored(rows), {key: sequential.moving_average(values) for key, values in data.items()})
 
 
 @pytest.mark.parametrize("window_size", [5, 12, 30])
-@pytest.mark.parametrize("hot_rows", [None, 40])
-def test_other_window_sizes(spark, window_size, hot_rows):
+@pytest.mark.parametrize("block_rows", [1_000_000, 40])
+def test_other_window_sizes(spark, window_size, block_rows):
     data = {key: values for key, values in example().items() if key in ("hot", "walk", "dirty", "zero_mean")}
     df = make(spark, data)
-    rows = detect.zscore(df, "key", "value", ["ts", "id"], window_size, hot_rows=hot_rows)
+    rows = detect.zscore(df, "key", "value", ["ts", "id"], window_size, block_rows=block_rows)
     same(scored(rows), {key: sequential.zscore(values, window_size) for key, values in data.items()})
     rows = detect.moving_average(
-        df, "key", "value", ["ts", "id"], ma_window=4, window_size=window_size, hot_rows=hot_rows
+        df, "key", "value", ["ts", "id"], ma_window=4, window_size=window_size, block_rows=block_rows
     )
     want = {key: sequential.moving_average(values, 4, window_size) for key, values in data.items()}
     same(scored(rows), want)
 
 
 def test_split_key_with_equal_times(spark):
-    """All rows of a hot key at one time: the second slice column cuts it."""
+    """All rows of a long key at one time: the id orders and cuts them."""
     values = np.random.default_rng(3).normal(0, 1, 500).tolist()
     df = make(spark, {"k": values, "small": values[:30]}, step=0)
-    slices = [F.unix_seconds("ts"), F.floor(F.col("id") / 16).cast("long")]
-    rows = detect.zscore(df, "key", "value", ["ts", "id"], hot_rows=120, slices=slices)
+    rows = detect.zscore(df, "key", "value", ["ts", "id"], block_rows=120)
     same(scored(rows), {"k": sequential.zscore(values), "small": sequential.zscore(values[:30])})
 
 
 def test_split_keeps_every_row_once_and_bounds_blocks(spark):
     df = make(spark, {"hot": [float(i) for i in range(1000)], "small": [1.0] * 50})
-    blocks = series.in_blocks(df, ["key"], ["ts", "id"], 9, hot_rows=100)
+    blocks = series.in_blocks(df, ["key"], ["ts", "id"], 9, block_rows=100)
     kept = blocks.filter(~F.col(series.CARRIED))
     assert kept.count() == 1050 and kept.select("id").distinct().count() == 1050
     sizes = [row["n"] for row in blocks.groupBy("key", series.BLOCK).agg(F.count("*").alias("n")).collect()]
@@ -131,11 +131,11 @@ def test_zero_is_a_key(spark):
     assert detect.zscore(df, "key", "value", ["ts", "id"]).count() == 1
 
 
-@pytest.mark.parametrize("hot_rows", [None, 7])
-def test_price_change(spark, hot_rows):
+@pytest.mark.parametrize("block_rows", [1_000_000, 7])
+def test_price_change(spark, block_rows):
     prices = [10.0, 11.0, 11.0, 5.5, 0.0, 3.0] * 6
     df = make(spark, {"a": prices, "b": [4.0]}).withColumnRenamed("value", "price")
-    out = series.price_change(df, "key", "price", ["ts", "id"], hot_rows=hot_rows).orderBy("key", "id").collect()
+    out = series.price_change(df, "key", "price", ["ts", "id"], block_rows=block_rows).orderBy("key", "id").collect()
     assert len(out) == len(prices) + 1
     for i, row in enumerate(out[:-1]):
         last = prices[i - 1] if i else None
@@ -161,3 +161,31 @@ def test_range_check_flags_outside_and_bounds_belong_inside(spark):
     assert out["temperature", 14.99]["out_of_range"] and out["humidity", 70.01]["out_of_range"]
     assert out["motion", 0.6]["reading"] == 1.0 and not out["light", 0.0]["out_of_range"]
     assert out["other", 1.0]["out_of_range"] is None
+
+
+def test_a_score_at_the_threshold_is_no_anomaly(spark):
+    """Nine equal values and another: the score is 3, whatever rounding makes of it, on tables and streams."""
+    draw = np.random.default_rng(9)
+    data = {f"k{i}": [float(a)] * 9 + [float(b)] for i, (a, b) in enumerate(draw.normal(0, 50, (100, 2)))}
+    flags = scored(detect.zscore(make(spark, data), "key", "value", ["ts", "id"]))
+    assert not any(flag for rows in flags.values() for _, flag in rows)
+    assert not any(state.zscores(np.array(values), 100, 3.0)[1].any() for values in data.values())
+
+
+def test_scores_are_equal_to_the_last_bit_however_rows_are_spread(spark):
+    df = make(spark, {"k": draw_values(700), "l": draw_values(90)})
+    whole = scored(detect.zscore(df, "key", "value", ["ts", "id"]))
+    for rows in (df.repartition(3), df.coalesce(1), df.repartition(13)):
+        for block_rows in (1_000_000, 100, 300):
+            assert scored(detect.zscore(rows, "key", "value", ["ts", "id"], block_rows=block_rows)) == whole
+
+
+def draw_values(n):
+    return np.random.default_rng(n).normal(10, 3, n).tolist()
+
+
+def test_rows_without_a_time_or_key_keep_their_change(spark):
+    rows = [(None if i % 3 == 0 else "a", None if i % 2 else START, i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long, price double")
+    out = series.price_change(df, "key", "price", ["ts", "id"], block_rows=10)
+    assert sorted(row["id"] for row in out.collect()) == list(range(40))

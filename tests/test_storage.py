@@ -165,3 +165,60 @@ def test_objects(spark, tmp_path):
     assert objects.list_objects(spark, str(tmp_path), 2).count() == 2
     assert objects.list_objects(spark, str(tmp_path), None).count() == 3
     assert bytes(objects.object_bytes(spark, f"{tmp_path}/a/2.bin").collect()[0]["content"]) == b"second"
+
+
+def test_rows_stored_after_the_archive_was_written_stay(spark, tmp_path):
+    root = f"{tmp_path}/tables"
+    tables.insert(aged(spark, [0, 7.2, 9]), f"{root}/t")
+    late = aged(spark, [9.5, 7.1]).withColumn("id", F.col("id") + 10)
+    archive.archive_old(
+        spark, root, "t", f"{tmp_path}/s", NOW, before_removal=lambda: tables.insert(late, f"{root}/t")
+    )
+    assert ids(tables.read(spark, f"{root}/t")) == [0, 10, 11]
+
+
+def test_a_failing_replacement_loses_nothing(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    tables.insert(aged(spark, [6.9, 7.1]), path)
+    names = files.data_files(spark, path)
+    broken = tables.read_files(spark, path, names).withColumn(
+        "value", F.when(F.col("id") == 1, F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("value"))
+    )
+    with pytest.raises(Exception, match="stop"):
+        tables.replace_files(spark, path, names, broken)
+    assert ids(tables.read(spark, path)) == [0, 1]
+    assert files.data_files(spark, path) == names
+
+
+def test_upsert_takes_the_last_of_repeated_changes_and_null_keys(spark):
+    table = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
+    changes = spark.createDataFrame([("a", 5, 2), ("a", 9, 1), (None, 7, 1), ("b", 3, 1), ("b", 4, 1)], "k string, n int, at int")
+    out = lifecycle.upsert(table, changes, "k", NOW, order=["at"]).collect()
+    assert sorted(((row["k"], row["n"]) for row in out), key=str) == [("a", 5), ("b", 4), (None, 7)]
+
+
+def test_update_of_the_first_match(spark):
+    table = spark.createDataFrame([(1, 5), (2, 5), (3, None)], "id long, v int")
+    out = lifecycle.update_first(table, F.col("v") == 5, {"v": F.lit(6)}, ["id"], NOW)
+    assert [(r["id"], r["v"], r["updated_at"]) for r in out.orderBy("id").collect()] == [(1, 6, NOW), (2, 5, None), (3, None, None)]
+    for insert, count in ((None, 3), ({"id": F.lit(9).cast("long")}, 4)):
+        out = lifecycle.update_first(table, F.col("v") == 8, {"v": F.lit(6)}, ["id"], NOW, insert)
+        assert out.count() == count
+    assert out.filter("id = 9").first()["v"] == 6
+    assert lifecycle.update_first(table, F.col("v") == 5, {"v": F.lit(6)}, ["id"], NOW, {"id": F.lit(9)}).count() == 3
+
+
+def test_objects_by_key_prefix(spark, tmp_path):
+    for name in ("a/1.bin", "ab/2.bin", "b/1.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    listed = objects.list_objects(spark, f"{tmp_path}/a").collect()
+    assert [row["key"].rsplit("/", 2)[1:] for row in listed] == [["a", "1.bin"], ["ab", "2.bin"]]
+    assert objects.list_objects(spark, f"{tmp_path}/a/1").count() == 1
+    assert objects.list_objects(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_table_by_name(spark, tmp_path):
+    tables.insert(aged(spark, [0, 1]), f"{tmp_path}/tidewatch_x")
+    for name in ("x", "tidewatch_x"):
+        assert ids(tables.read_named(spark, str(tmp_path), name)) == [0, 1]

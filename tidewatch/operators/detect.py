@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch import constants as K
-from tidewatch.operators.series import BLOCK, HOT_ROWS, drop_carried, in_blocks
+from tidewatch.operators.series import BLOCK, BLOCK_ROWS, POSITION, drop_carried, in_blocks
 
-POSITION = "_position"
+# Rounding may put a score that equals its limit on either side of it; what lies
+# within this share of the limit counts as equal to it, on tables and on streams.
+ROUNDING = 1e-9
 
 
 def with_key(df: DataFrame, key: str) -> DataFrame:
@@ -26,22 +28,23 @@ def number(value: str) -> Column:
     return F.when(~F.isnan(parsed), parsed)
 
 
-def _numbered(df, key, value, order, lookback, hot_rows, slices):
+def exceeds(value, limit):
+    """Whether a value is beyond its limit by more than rounding; columns and arrays alike."""
+    return value - limit > ROUNDING * (F.abs(limit) if isinstance(limit, Column) else abs(limit))
+
+
+def _numbered(df, key, value, order, lookback, align, block_rows):
     """Blocks in which rows without a number form a series of their own, so
     they take no place in the frames of the others and need no second scan."""
     rows = with_key(df, key).withColumn("_number", number(value))
     rows = rows.withColumn("_counts", F.col("_number").isNotNull())
-    return in_blocks(rows, [key, "_counts"], order, lookback, hot_rows, slices)
+    return in_blocks(rows, [key, "_counts"], order, lookback, align, block_rows)
 
 
 def _series(key: str) -> list[str]:
     return [key, "_counts", BLOCK]
 
 
-def with_position(df: DataFrame, series: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df.withColumn(POSITION, F.row_number().over(Window.partitionBy(*series).orderBy(*order)))
-
-
 def trailing_moments(
     df: DataFrame, series: Sequence[str], order: Sequence[str], value: str, width: int
 ) -> DataFrame:
@@ -103,13 +106,11 @@ def zscore(
     order: Sequence[str],
     window_size: int = K.DETECTOR_WINDOW,
     threshold: float = K.Z_THRESHOLD,
-    hot_rows: int | None = HOT_ROWS,
-    slices: Sequence[Column] | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Score each value against its key's last `window_size` numbers, itself
     included. Below ten numbers, and for rows without one, the score is 0."""
-    rows = _numbered(df, key, value, order, window_size - 1, hot_rows, slices)
-    rows = with_position(rows, _series(key), order)
+    rows = _numbered(df, key, value, order, window_size - 1, window_size, block_rows)
     rows = trailing_moments(rows, _series(key), order, "_number", window_size)
     seen = F.least(F.col(POSITION), F.lit(window_size))
     ready = F.col("_counts") & (seen >= K.MIN_VALUES)
@@ -117,7 +118,7 @@ def zscore(
         F.col("_spread") != 0, F.abs((F.col("_number") - F.col("_mean")) / F.col("_spread"))
     ).otherwise(0.0)
     score = F.when(ready, distance).otherwise(F.lit(0.0))
-    return _finish(rows, score, score > threshold)
+    return _finish(rows, score, exceeds(score, threshold))
 
 
 def moving_average(
@@ -127,8 +128,7 @@ def moving_average(
     order: Sequence[str],
     ma_window: int = K.MA_WINDOW,
     window_size: int = K.DETECTOR_WINDOW,
-    hot_rows: int | None = HOT_ROWS,
-    slices: Sequence[Column] | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Compare each value with the mean of its key's last `ma_window` numbers.
 
@@ -138,12 +138,12 @@ def moving_average(
     """
     window = Window.partitionBy(*_series(key)).orderBy(*order)
     recent = window.rowsBetween(-(ma_window - 1), 0)
-    rows = _numbered(df, key, value, order, window_size - 1, hot_rows, slices)
-    rows = with_position(rows, _series(key), order)
+    width = max(window_size - ma_window, 1)
+    rows = _numbered(df, key, value, order, window_size - 1, width, block_rows)
     average = F.when(F.col(POSITION) >= ma_window, F.avg("_number").over(recent))
     rows = rows.withColumn("_average", average)
     rows = rows.withColumn("_earlier", F.lag("_average").over(window))
-    rows = trailing_moments(rows, _series(key), order, "_earlier", max(window_size - ma_window, 1))
+    rows = trailing_moments(rows, _series(key), order, "_earlier", width)
     seen = F.least(F.col(POSITION), F.lit(window_size))
     deviation = F.abs(F.col("_number") - F.col("_average"))
     limit = F.when(seen >= 2 * ma_window, K.MA_VOLATILITY_FACTOR * F.col("_spread")).otherwise(
@@ -151,7 +151,7 @@ def moving_average(
     )
     ready = F.col("_counts") & (seen >= ma_window)
     score = F.when(ready, F.try_divide(deviation, F.col("_average"))).otherwise(F.lit(0.0))
-    return _finish(rows, score, F.when(ready, deviation > limit).otherwise(F.lit(False)))
+    return _finish(rows, score, F.when(ready, exceeds(deviation, limit)).otherwise(F.lit(False)))
 
 
 def range_check(df: DataFrame, sensor_type: str = "sensor_type", value: str = "value") -> DataFrame:

@@ -8,12 +8,14 @@ from tidewatch.functions import ladders
 from tidewatch.functions.clock import delay_ms, moment
 
 
-def derived_columns() -> dict:
-    """The columns each stream gains, as expressions over its own fields."""
+def derived_columns(df: DataFrame) -> dict:
+    """The columns each stream gains, as expressions over its own fields; a
+    length that the table has already is kept."""
+    length = F.col("content_length") if "content_length" in df.columns else F.length("content")
     return {
         K.SENSOR_STREAM: {"reading_category": ladders.reading_category()},
         K.SOCIAL_STREAM: {
-            "content_length": F.length("content"),
+            "content_length": length,
             "engagement_level": ladders.engagement_level(),
         },
         K.MARKET_STREAM: {
@@ -33,7 +35,7 @@ def stamp(df: DataFrame, as_of=None, exact: bool = False) -> DataFrame:
 
 def enrich_source(df: DataFrame, stream: str, as_of=None) -> DataFrame:
     """Enrich a table that holds one kind of record."""
-    return stamp(df, as_of).withColumns(derived_columns()[stream])
+    return stamp(df, as_of).withColumns(derived_columns(df)[stream])
 
 
 def route(df: DataFrame, stream: str) -> DataFrame:
@@ -46,7 +48,7 @@ def enrich_all(df: DataFrame, as_of=None) -> DataFrame:
     known = stamp(df.filter(F.col("stream").isin(*K.STREAMS)), as_of)
     added = {
         name: F.when(F.col("stream") == stream, column)
-        for stream, columns in derived_columns().items()
+        for stream, columns in derived_columns(df).items()
         for name, column in columns.items()
     }
     return known.withColumns(added)

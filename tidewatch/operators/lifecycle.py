@@ -40,23 +40,62 @@ def delete_one(df: DataFrame, where: Column, order: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(match), same, "left_anti")
 
 
+def update_first(
+    table: DataFrame, where: Column, values: dict[str, Column], order: Sequence[str], as_of=None, insert: dict[str, Column] | None = None
+) -> DataFrame:
+    """Set columns in the first match along `order`, which must tell rows apart,
+    and stamp `updated_at`. Without a match nothing changes, or a row of
+    `insert` and `values` is added. The match is one row, sent to every task."""
+    now = moment(as_of)
+    match = table.filter(where).orderBy(*order).limit(1)
+    chosen = match.select(*[F.col(c).alias(f"_{c}") for c in order], F.lit(True).alias("_chosen"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
+    joined = table.join(F.broadcast(chosen), same, "left")
+    changed = F.coalesce(F.col("_chosen"), F.lit(False))
+    stamped = {**values, "updated_at": now}
+    columns = table.columns + [c for c in stamped if c not in table.columns]
+
+    def current(name: str) -> Column:
+        old = F.col(name) if name in table.columns else F.lit(None)
+        return F.when(changed, stamped[name]).otherwise(old) if name in stamped else old
+
+    updated = joined.select(*[current(name).alias(name) for name in columns])
+    if insert is None:
+        return updated
+    added = table.sparkSession.range(1).select(
+        F.lit(True).alias("_new"), *[column.alias(name) for name, column in {**insert, **stamped}.items()]
+    )
+    found = chosen.select(F.col("_chosen").alias("_any"))
+    missing = added.join(F.broadcast(found), F.col("_new") == F.col("_any"), "left_anti").drop("_new")
+    return updated.unionByName(missing, allowMissingColumns=True)
+
+
 def upsert(
-    table: DataFrame, changes: DataFrame, key: str, as_of=None, insert_missing: bool = True
+    table: DataFrame,
+    changes: DataFrame,
+    key: str,
+    as_of=None,
+    insert_missing: bool = True,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Set the columns of `changes` in the rows with the same key and stamp
     `updated_at`; keys the table lacks become new rows. A NULL change clears
-    the column. Table and changes hold each key once.
+    the column. Of several changes of a key the last along `order`, then along
+    all columns, counts. A NULL key is a key. The table holds each key once.
 
     The table is only ever the left side of a join, so few changes are sent
     to its rows instead of shuffling it; a full outer join could not do that.
     """
     now = moment(as_of)
+    whole = F.struct(*changes.columns)
+    last = F.max_by(whole, F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*order, *changes.columns])]))
+    changes = changes.groupBy(F.col(key).alias("_key")).agg(last.alias("_last")).select("_last.*")
     columns = table.columns + [c for c in changes.columns if c not in table.columns]
     if "updated_at" not in columns:
         columns.append("updated_at")
 
     new = changes.select(*[F.col(c).alias(f"_new_{c}") for c in changes.columns], F.lit(True).alias("_changed"))
-    joined = table.join(new, F.col(key) == F.col(f"_new_{key}"), "left")
+    joined = table.join(new, F.col(key).eqNullSafe(F.col(f"_new_{key}")), "left")
     changed = F.coalesce(F.col("_changed"), F.lit(False))
 
     def current(name: str) -> Column:
@@ -68,8 +107,9 @@ def upsert(
     updated = joined.select(*[current(name).alias(name) for name in columns])
     if not insert_missing:
         return updated
-    found = table.select(key).join(changes.select(key), key, "left_semi")
-    inserted = changes.join(found, key, "left_anti").withColumn("updated_at", now)
+    wanted = changes.select(F.col(key).alias("_wanted"))
+    found = table.select(F.col(key).alias("_found")).join(wanted, F.col("_found").eqNullSafe(F.col("_wanted")), "left_semi")
+    inserted = changes.join(found, F.col(key).eqNullSafe(F.col("_found")), "left_anti").withColumn("updated_at", now)
     return updated.unionByName(inserted, allowMissingColumns=True)
 
 

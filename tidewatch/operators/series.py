@@ -2,19 +2,15 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidewatch.session import written_once
 
 BLOCK = "_block"
 CARRIED = "_carried"
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
-
-
-def minute_slice(time: str) -> Column:
-    minutes = F.unix_seconds(F.date_trunc("minute", F.col(time)).cast("timestamp"))
-    return F.coalesce(minutes, F.lit(-(2**62)))
+POSITION = "_position"
+BLOCK_ROWS = 1_000_000
 
 
 def in_blocks(
@@ -22,72 +18,52 @@ def in_blocks(
     keys: Sequence[str],
     order: Sequence[str],
     lookback: int,
-    hot_rows: int | None = HOT_ROWS,
-    slices: Sequence[Column] | None = None,
+    align: int = 1,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Split long series so that a window of `lookback` earlier rows stays exact.
-
-    Keys up to `hot_rows` rows stay whole in block 0. A longer key is numbered
-    along `order` and cut every `hot_rows` rows; the last `lookback` rows of a
-    block also travel, marked `_carried`, into the next one. A window over
-    (keys, `_block`) then sees what it would see over the whole key. Run it,
-    then drop the carried rows with `drop_carried`.
-
-    Positions come from row counts per slice (`slices`: coarse versions of the
-    leading `order` columns, minutes by default), so no task sorts or holds a
-    whole hot key. With `hot_rows=None` no key is split.
+    """Cut every series into blocks so that a window of `lookback` earlier rows stays exact.
+
+    Rows are numbered from 1 along `order` within their key (`_position`) and cut
+    every `block_rows` rows, rounded up to a multiple of `align`; the last
+    `lookback` rows of a block also travel, marked `_carried`, into the next
+    one. A window over (keys, `_block`) then sees what it would see over the
+    whole key, and cuts lie at the same positions of a key however the rows are
+    spread. Run it, then drop the carried rows with `drop_carried`.
+
+    The numbers come from one range partitioning by key and order, written once:
+    a partition's rows are numbered as they lie, and one row for each key and
+    partition says how many rows of the key lie before. No task holds a whole
+    key, and NULL keys and order values are values like others.
     """
-    if hot_rows is None:
-        return df.withColumns({BLOCK: F.lit(0).cast("long"), CARRIED: F.lit(False)})
-
     keys, order = list(keys), list(order)
-    size = max(hot_rows, lookback + 1)
-    # Whether a key counts as hot decides how it runs, never its result, so
-    # the list may stop at the largest MAX_HOT_KEYS; that bounds the broadcast.
-    hot = F.broadcast(
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > size)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys)
-    )
-    whole = df.join(hot, keys, "left_anti").withColumns(
-        {BLOCK: F.lit(0).cast("long"), CARRIED: F.lit(False)}
+    size = -(-max(block_rows, lookback + 1) // align) * align
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    numbered = written_once(ranged.withColumn("_row", F.monotonically_increasing_id()), "series")
+    part = F.shiftright("_row", 33)  # the partition is the upper part of such a number
+    names = {key: f"_key{i}" for i, key in enumerate(keys)}
+    runs = numbered.groupBy(*[F.col(key).alias(name) for key, name in names.items()], part.alias("_run")).agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-
-    if slices is None:
-        if not isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
-            raise ValueError("name the slices when the first order column is not a time")
-        slices = [minute_slice(order[0])]
-    names = [f"_slice{i}" for i in range(len(slices))]
-    sliced = df.join(hot, keys, "left_semi").withColumns(dict(zip(names, slices)))
-    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        sliced.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, *names, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    before = Window.partitionBy(*names.values()).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(
+        *names.values(), "_run", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    within = Window.partitionBy(*keys, *names).orderBy(*order)
-    numbered = sliced.join(starts, [*keys, *names]).withColumn(
-        "_position", F.col("_start") + F.row_number().over(within) - 1
-    )
-    own = F.floor(F.col("_position") / size).cast("long")
-    last_rows = F.col("_position") >= (own + 1) * size - lookback
-    split = (
-        numbered.withColumn("_own", own)
-        .withColumn(
-            BLOCK,
-            F.explode(F.when(last_rows, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))),
-        )
-        .withColumn(CARRIED, F.col(BLOCK) != F.col("_own"))
-        .drop("_own", "_position", "_start", *names)
+    same = part == F.col("_run")
+    for key, name in names.items():
+        same = same & numbered[key].eqNullSafe(starts[name])
+    placed = numbered.join(starts, same).withColumn(POSITION, F.col("_row") + F.col("_shift") + 1)
+    own = F.floor((F.col(POSITION) - 1) / size).cast("long")
+    travels = F.col(POSITION) > (own + 1) * size - lookback
+    blocks = F.explode(F.when(travels, F.array(own, own + 1)).otherwise(F.array(own)))
+    return (
+        placed.withColumn(BLOCK, blocks)
+        .withColumn(CARRIED, F.col(BLOCK) != own)
+        .drop("_row", "_run", "_shift", *names.values())
     )
-    return whole.unionByName(split)
 
 
 def drop_carried(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col(CARRIED)).drop(BLOCK, CARRIED)
+    return df.filter(~F.col(CARRIED)).drop(BLOCK, CARRIED, POSITION)
 
 
 def price_change(
@@ -96,15 +72,14 @@ def price_change(
     price: str,
     order: Sequence[str],
     digits: int = 2,
-    hot_rows: int | None = HOT_ROWS,
-    slices: Sequence[Column] | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Change against the key's previous price, absolute and in percent.
 
     The first price of a key has no previous one: both are 0.
     """
     last = F.lag(price).over(Window.partitionBy(key, BLOCK).orderBy(*order))
-    blocks = in_blocks(df, [key], order, 1, hot_rows, slices).withColumn("_last", last)
+    blocks = in_blocks(df, [key], order, 1, block_rows=block_rows).withColumn("_last", last)
     moved = F.col(price) - F.col("_last")
     percent = F.try_divide(100 * moved, F.col("_last"))
     return drop_carried(

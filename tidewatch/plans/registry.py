@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
@@ -19,7 +19,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WEEK = 24 * 7
-ALL_TIME = 24 * 366 * 40
 
 
 def query(views_sql: str | None = None, body: str = "", recursive: bool = False):
@@ -258,15 +257,15 @@ def moving_average_by_place(spark, sf_dir):
 
 @query(O.SENSORS, f"SELECT {ZSCORE_COLUMNS} FROM ({zscore_sql('location')})")
 def zscore_split(spark, sf_dir):
-    """Places as hot keys: each is cut into blocks of 500 rows."""
+    """Each place cut into blocks of 500 rows."""
     rows = views.sensors(spark, sf_dir)
-    return _scored(detect.zscore(rows, "location", "value", ["timestamp", "id"], hot_rows=500))
+    return _scored(detect.zscore(rows, "location", "value", ["timestamp", "id"], block_rows=500))
 
 
 @query(O.SENSORS, f"SELECT {MA_COLUMNS} FROM ({moving_average_sql('location')})")
 def moving_average_split(spark, sf_dir):
     rows = views.sensors(spark, sf_dir)
-    return _scored(detect.moving_average(rows, "location", "value", ["timestamp", "id"], hot_rows=500))
+    return _scored(detect.moving_average(rows, "location", "value", ["timestamp", "id"], block_rows=500))
 
 
 DIRTY = (
@@ -323,7 +322,7 @@ def range_check(spark, sf_dir):
 )
 def price_change(spark, sf_dir):
     ticks = views.ticks(spark, sf_dir)
-    rows = series.price_change(ticks, "symbol", "price", views.MARKET_ORDER, slices=views.market_slices())
+    rows = series.price_change(ticks, "symbol", "price", views.MARKET_ORDER)
     return rows.select(
         "symbol", "timestamp", "order_id", "line", "supplier", "price", "price_change", "price_change_percent"
     )
@@ -334,16 +333,64 @@ def price_change(spark, sf_dir):
     "SELECT symbol, timestamp, order_id, line, supplier, price, price_change, price_change_percent FROM market",
 )
 def price_change_split(spark, sf_dir):
-    """Every symbol with more than ten ticks as a hot key."""
+    """Each symbol cut into blocks of ten ticks."""
     ticks = views.ticks(spark, sf_dir)
     rows = series.price_change(
-        ticks, "symbol", "price", views.MARKET_ORDER, hot_rows=10, slices=views.market_slices()
+        ticks, "symbol", "price", views.MARKET_ORDER, block_rows=10
     )
     return rows.select(
         "symbol", "timestamp", "order_id", "line", "supplier", "price", "price_change", "price_change_percent"
     )
 
 
+GAPS = (
+    O.TICKS
+    + """,
+gaps AS (
+  SELECT CASE order_id % 6 WHEN 0 THEN NULL WHEN 1 THEN symbol WHEN 2 THEN symbol ELSE 'HOT' END AS symbol,
+         CASE WHEN (order_id + line) % 3 <> 0 THEN timestamp END AS timestamp, order_id, line, supplier, total, price, symbol AS own
+  FROM ticks)"""
+)
+
+
+@query(
+    GAPS,
+    """SELECT symbol, own, timestamp, order_id, line, supplier, price, round(coalesce(price - last, 0.0), 2) AS price_change
+       FROM (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY timestamp NULLS FIRST, order_id, line, supplier, total, own) AS last
+             FROM gaps)""",
+)
+def price_change_gaps(spark, sf_dir):
+    """Ticks of which a third have no time and a sixth no symbol, and half are of one symbol."""
+    lot = F.col("order_id") % 6
+    symbol = F.when(lot == 0, None).when(lot <= 2, F.col("symbol")).otherwise("HOT")
+    ticks = views.ticks(spark, sf_dir).withColumn("own", F.col("symbol")).withColumn("symbol", symbol)
+    ticks = ticks.withColumn("timestamp", F.when((F.col("order_id") + F.col("line")) % 3 != 0, F.col("timestamp")))
+    order = ["timestamp", "order_id", "line", "supplier", "total", "own"]
+    rows = series.price_change(ticks, "symbol", "price", order, block_rows=1000)
+    return rows.select("symbol", "own", "timestamp", "order_id", "line", "supplier", "price", "price_change")
+
+
+@query(
+    O.SENSORS,
+    """SELECT id, id // 11 AS series, CASE id % 11 WHEN 9 THEN value + 1000 WHEN 10 THEN value + 50000 ELSE 0.0 END AS value,
+              id % 11 = 10 AND lead_count = 11 AS is_anomaly
+       FROM (SELECT *, count(*) OVER (PARTITION BY id // 11) AS lead_count FROM sensors) WHERE lead_count = 11 AND id % 11 <> 9
+       UNION ALL
+       SELECT id, id // 11, value + 1000, false FROM (SELECT *, count(*) OVER (PARTITION BY id // 11) AS n FROM sensors)
+       WHERE n = 11 AND id % 11 = 9""",
+)
+def zscore_at_threshold(spark, sf_dir):
+    """Series of nine zeros and a tenth value, whose score is exactly 3 and no anomaly; the eleventh lies far beyond."""
+    rows = views.sensors(spark, sf_dir)
+    place = F.col("id") % 11
+    value = F.when(place == 9, F.col("value") + 1000).when(place == 10, F.col("value") + 50000).otherwise(0.0)
+    whole = Window.partitionBy("series")
+    cut = rows.select("id", "timestamp", F.floor(F.col("id") / 11).alias("series"), value.alias("value"))
+    cut = cut.withColumn("n", F.count("*").over(whole)).filter("n = 11")
+    scored = detect.zscore(cut, "series", "value", ["timestamp", "id"])
+    return scored.select("id", "series", "value", "is_anomaly")
+
+
 @query(
     O.TICKS,
     """SELECT symbol, timestamp, price, volume, order_id FROM ticks
@@ -434,12 +481,12 @@ def _records(spark, sf_dir):
 @query(
     RECORDS,
     f"""SELECT record, source, timestamp, sensor_id, value, user_id, engagement_count, symbol, price FROM records
-        WHERE is_anomaly AND timestamp >= {EVENT_CLOCK} - INTERVAL '{ALL_TIME} hours'
+        WHERE is_anomaly AND timestamp IS NOT NULL
         ORDER BY timestamp DESC, record DESC LIMIT 1000""",
 )
 def anomalies_all_sources(spark, sf_dir):
     rows = reads.latest_anomalies_of(
-        _records(spark, sf_dir), event_clock(spark, sf_dir), ALL_TIME, 1000, ["record"]
+        _records(spark, sf_dir), event_clock(spark, sf_dir), None, 1000, ["record"]
     )
     return rows.select(
         "record", "source", "timestamp", "sensor_id", "value", "user_id", "engagement_count", "symbol", "price"
@@ -457,12 +504,12 @@ def anomalies_all_sources(spark, sf_dir):
             WHEN 'social_feed_simulator' THEN 'Engagement: ' || engagement_count
             ELSE regexp_replace(CAST(price_change_percent AS VARCHAR), '\\.0$', '') || '% ('
                  || regexp_replace(CAST(price AS VARCHAR), '\\.0$', '') || ')' END AS value
-        FROM records WHERE is_anomaly AND timestamp >= {EVENT_CLOCK} - INTERVAL '{ALL_TIME} hours'
+        FROM records WHERE is_anomaly AND timestamp IS NOT NULL
         ORDER BY timestamp DESC, record DESC LIMIT 1000""",
 )
 def anomaly_table(spark, sf_dir):
     rows = reads.latest_anomalies_of(
-        _records(spark, sf_dir), event_clock(spark, sf_dir), ALL_TIME, 1000, ["record"]
+        _records(spark, sf_dir), event_clock(spark, sf_dir), None, 1000, ["record"]
     )
     return reads.anomaly_table(rows, ["record"])
 
@@ -470,10 +517,10 @@ def anomaly_table(spark, sf_dir):
 @query(
     O.MIXED,
     f"""SELECT stream AS source, count(*) AS count, count(*) FILTER (is_anomaly) AS anomalies FROM mixed
-        WHERE timestamp >= {EVENT_CLOCK} - INTERVAL '{ALL_TIME} hours' GROUP BY stream""",
+        WHERE timestamp IS NOT NULL GROUP BY stream""",
 )
 def metrics_by_topic(spark, sf_dir):
-    return reads.stream_metrics(views.mixed(spark, sf_dir), event_clock(spark, sf_dir), ALL_TIME)
+    return reads.stream_metrics(views.mixed(spark, sf_dir), event_clock(spark, sf_dir), None)
 
 
 @query(
@@ -949,6 +996,57 @@ def upsert_latest(spark, sf_dir):
     return lifecycle.upsert(table, changes, "entity", event_clock(spark, sf_dir))
 
 
+@query(
+    STORED,
+    f"""SELECT id, location, CASE WHEN first THEN 0.0 ELSE value END AS value, timestamp,
+               CASE WHEN first THEN {EVENT_CLOCK} END AS updated_at
+        FROM (SELECT *, coalesce(id = (SELECT id FROM stored WHERE value > 100 AND location = 'warehouse'
+                                       ORDER BY timestamp, id LIMIT 1), false) AS first FROM stored)""",
+)
+def update_first(spark, sf_dir):
+    """The first warehouse reading above 100, set to 0."""
+    rows = _stored(spark, sf_dir).select("id", "location", "value", "timestamp")
+    where = (F.col("value") > 100) & (F.col("location") == "warehouse")
+    return lifecycle.update_first(rows, where, {"value": F.lit(0.0)}, ["timestamp", "id"], event_clock(spark, sf_dir))
+
+
+@query(STORED, "SELECT * FROM stored")
+def data_by_name(spark, sf_dir):
+    """A stored table, read by its name without the prefix."""
+    root = shared_dir(spark, "tables")
+    rows = _stored(spark, sf_dir)
+    tables.insert(rows.withColumns({c: F.col(c).cast("timestamp") for c in ("timestamp", "created_at")}), f"{root}/tidewatch_processed_data")
+    return wall_clock(tables.read_named(spark, root, "processed_data").select(*rows.columns))
+
+
+@query(STORED, f"SELECT * FROM stored WHERE NOT ({OLD}) OR id % 7 = 3")
+def archive_old_table(spark, sf_dir):
+    """The table after its old rows were archived; one in seven was stored after the archive had listed them."""
+    day = views.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    root = shared_dir(spark, "tables")
+    rows = _stored(spark, sf_dir)
+    moments = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("timestamp", "created_at")})
+    late = F.col("id") % 7 == 3
+    tables.insert(moments.filter(~late), f"{root}/processed_data")
+    archive.archive_old(
+        spark, root, "processed_data", f"{root}/store", day,
+        before_removal=lambda: tables.insert(moments.filter(late), f"{root}/processed_data"),
+    )
+    return wall_clock(tables.read(spark, f"{root}/processed_data").select(*rows.columns))
+
+
+@query(STORED, f"SELECT * FROM stored WHERE NOT ({OLD})")
+def retention_table(spark, sf_dir):
+    """The table after rows of more than a week were removed from its files."""
+    root = shared_dir(spark, "tables")
+    rows = _stored(spark, sf_dir)
+    moments = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("timestamp", "created_at")})
+    tables.insert(moments, f"{root}/processed_data")
+    day = views.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    tables.remove_older(spark, f"{root}/processed_data", K.ARCHIVE_DAYS, day)
+    return wall_clock(tables.read(spark, f"{root}/processed_data").select(*rows.columns))
+
+
 @query(STORED, "SELECT * FROM stored WHERE NOT (value > 100 AND location = 'warehouse')")
 def delete_where(spark, sf_dir):
     where = (F.col("value") > 100) & (F.col("location") == "warehouse")

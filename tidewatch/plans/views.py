@@ -21,7 +21,6 @@ SENSOR_TYPE_OF = {
     "error": "motion",
 }
 
-ORDERS_PER_SLICE = 1 << 26
 MARKET_ORDER = ["timestamp", "order_id", "line", "supplier", "volume", "total"]
 
 
@@ -63,7 +62,8 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event i posts document i modulo the number of documents. Both sides grow
     with the data and the texts are large: a merge join spreads them over the
-    tasks, however few files the documents come in."""
+    tasks, however few files the documents come in. Texts are measured before
+    it, so a read of their length does not carry them along."""
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     number = documents.select(F.count(F.lit(1))).scalar()
@@ -75,6 +75,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents.join(labels, "doc_id", "left").select(
         "doc_id",
         F.col("text").alias("content"),
+        F.length("text").alias("content_length"),
         F.col("source").alias("topic"),
         sentiment.alias("sentiment"),
     )
@@ -82,6 +83,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("user_id"),
         F.col("ts").alias("timestamp"),
         "content",
+        "content_length",
         "topic",
         "sentiment",
         (15 * k).alias("engagement_count"),
@@ -109,19 +111,10 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def market_slices() -> list[Column]:
-    """Ticks of one day share a time: slices go on to blocks of orders, wide
-    enough that a key has millions of slices at most and a slice stays small."""
-    return [
-        F.unix_seconds(F.col("timestamp").cast("timestamp")),
-        F.floor(F.col("order_id") / ORDERS_PER_SLICE).cast("long"),
-    ]
-
-
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price updates: ticks with their change and their part's sector."""
     moved = series.price_change(
-        ticks(spark, sf_dir), "symbol", "price", MARKET_ORDER, slices=market_slices()
+        ticks(spark, sf_dir), "symbol", "price", MARKET_ORDER
     )
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_type").alias("sector")

@@ -1,6 +1,7 @@
 """Archives: gzip JSON lines of old rows, a manifest, and restoring them."""
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -8,8 +9,7 @@ from pyspark.sql import types as T
 
 from tidewatch import constants as K
 from tidewatch.functions.text import restore_target
-from tidewatch.operators.lifecycle import older_than, reconcile
-from tidewatch.session import written_once
+from tidewatch.operators.lifecycle import not_older_than, older_than, reconcile
 from tidewatch.sources import files, tables
 from tidewatch.sources.messages import JSON_TIMES
 
@@ -44,20 +44,27 @@ def archive_old(
     as_of: dt.datetime,
     days: float = K.ARCHIVE_DAYS,
     key: str | None = None,
+    before_removal: Callable[[], None] | None = None,
 ) -> DataFrame | None:
     """Archive a table's rows older than `days`, then remove them.
 
-    Removal waits until the archive reads back with every row written. Whole
-    days leave by folder; on the day of the cutoff a row leaves only when the
-    archive holds its `key`. Returns the manifest entry, None if nothing is old.
+    The files that can hold such rows are listed once. Exactly their old rows
+    are archived, and exactly these files are removed or, on the day of the
+    cutoff, replaced by their younger rows; rows stored meanwhile lie in other
+    files and stay. Removal waits until the archive reads back with every row
+    written; with a `key`, rows whose key the archive lacks stay as well.
+    `before_removal` is called between the two steps. Returns the manifest
+    entry, None if nothing is old.
     """
     path = f"{root}/{name}"
     cutoff = as_of - dt.timedelta(days=days)
-    table = tables.read(spark, path)
-    old = older_than(table.filter(F.col("created_date") <= F.lit(cutoff.date())), days, as_of)
+    whole, partly = tables.files_until(spark, path, cutoff.date())
+    if not whole and not partly:
+        return None
+    listed = tables.read_files(spark, path, [*whole, *partly])
     stamp = as_of.strftime("%Y%m%d%H%M%S")
     target = f"{archive_root}/archives/{name}/{stamp}"
-    rows = old.drop(*tables.LAYOUT)
+    rows = older_than(listed, days, as_of).drop(*tables.LAYOUT)
     written = write_archive(rows, target)
     if not written:
         files.remove(spark, target)
@@ -69,16 +76,15 @@ def archive_old(
         [(name, str(written), stamp, cutoff.isoformat(), target)], MANIFEST
     )
     entry.write.mode("append").json(f"{archive_root}/manifest")
-    boundary = f"{path}/created_date={cutoff.date()}"
-    if key and files.exists(spark, boundary):
-        day = spark.read.parquet(boundary)
-        kept = written_once(reconcile(day, stored, key, days, as_of), "unarchived")
-        kept.write.mode("overwrite").partitionBy(*tables.LAYOUT[1:]).parquet(boundary)
-    for day in tables.day_folders(spark, path):
-        if day < cutoff.date():
-            files.remove(spark, f"{path}/created_date={day}")
-    if not key:
-        tables.remove_older(spark, path, days, as_of)
+    if before_removal:
+        before_removal()
+    if key:
+        tables.replace_files(spark, path, [*whole, *partly], reconcile(listed, stored, key, days, as_of))
+        return entry
+    if partly:
+        tables.replace_files(spark, path, partly, not_older_than(tables.read_files(spark, path, partly), days, as_of))
+    for old in whole:
+        files.remove(spark, old)
     return entry
 
 

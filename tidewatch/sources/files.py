@@ -13,6 +13,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches a pattern."""
+    system, target = _open(spark, pattern)
+    return bool(system.globStatus(target))
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """Files at any depth below a path; names with _ or . before them are hidden."""
+    system, target = _open(spark, path)
+    found: list[str] = []
+    waiting = [target] if system.exists(target) else []
+    while waiting:
+        for entry in system.listStatus(waiting.pop()):
+            if entry.getPath().getName()[:1] in "_.":
+                continue
+            if entry.isDirectory():
+                waiting.append(entry.getPath())
+            else:
+                found.append(entry.getPath().toString())
+    return sorted(found)
+
+
+def move_below(spark: SparkSession, source: str, target: str) -> None:
+    """Move the data files of one folder to the same places below another."""
+    system, top = _open(spark, source)
+    start = len(system.makeQualified(top).toString()) + 1
+    for name in data_files(spark, source):
+        place = f"{target}/{system.makeQualified(_open(spark, name)[1]).toString()[start:]}"
+        make_folder(spark, place.rsplit("/", 1)[0])
+        if not system.rename(_open(spark, name)[1], _open(spark, place)[1]):
+            raise OSError(f"cannot move {name} to {place}")
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below a path."""
     system, target = _open(spark, path)

@@ -149,12 +149,18 @@ def dead_letters(df: DataFrame) -> DataFrame:
 
 
 def decode_one(df: DataFrame, stream: str) -> DataFrame:
-    """One stream's messages with exactly its own fields; filtering the stream
-    first keeps the others' text from being read into the parser."""
+    """One stream's good messages with exactly its own fields; filtering the
+    stream first keeps the others' text from being read into the parser. Those
+    that `decode` leaves to the dead letters are left out here too."""
     schema = schemas.PAYLOADS[stream]
-    parsed = F.from_json("value", schema)
-    rows = df.filter(F.col("stream") == stream).withColumn("_payload", parsed)
-    return rows.select(*HEAD, "_payload.*")
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = df.filter((F.col("stream") == stream) & F.col("value").isNotNull())
+    # out of a generator, for the same reason as above
+    rows = rows.select(*HEAD, F.explode(F.array(parsed)).alias("_payload"))
+    return rows.filter(F.col(f"_payload.{CORRUPT}").isNull()).select(
+        *HEAD, *[F.col(f"_payload.{name}").alias(name) for name in schema.fieldNames()]
+    )
 
 
 # --- encoding --------------------------------------------------------------

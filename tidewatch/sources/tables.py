@@ -6,14 +6,15 @@ far back would otherwise write a folder for every day.
 """
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch import constants as K
+from tidewatch.functions.text import stored_name
 from tidewatch.operators.lifecycle import not_older_than, with_created
-from tidewatch.session import written_once
 from tidewatch.sources import files
 
 LAYOUT = ("created_date", "event_month", "batch_id")
@@ -57,6 +58,41 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return reader.parquet(path)
 
 
+def read_named(spark: SparkSession, root: str, name: str, prefix: str = "tidewatch_") -> DataFrame:
+    """A stored table by its name, with or without the prefix that tables carry."""
+    return read(spark, f"{root}/{stored_name(name, prefix)}")
+
+
+def files_until(spark: SparkSession, path: str, day: dt.date) -> tuple[list[str], list[str]]:
+    """Files of the days before a day, and of that day itself, as they are now.
+
+    Days are folders, so only those up to the day are listed."""
+    days = [found for found in day_folders(spark, path) if found <= day]
+    listed = {found: files.data_files(spark, f"{path}/created_date={found}") for found in days}
+    return [name for found in days if found < day for name in listed[found]], listed.get(day, [])
+
+
+def read_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Certain files of a table, with the columns their folders stand for."""
+    return spark.read.option("basePath", path).parquet(*names)
+
+
+def replace_files(spark: SparkSession, path: str, names: list[str], kept: DataFrame) -> None:
+    """Put the rows of `kept` in the place of certain files.
+
+    They are written beside the table, out of readers' sight, then moved into
+    it, and only then do the files go: a failure on the way loses nothing, and
+    files that come meanwhile are not touched."""
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    try:
+        kept.write.partitionBy(*LAYOUT).parquet(staged)
+        files.move_below(spark, staged, path)
+    finally:
+        files.remove(spark, staged)
+    for name in names:
+        files.remove(spark, name)
+
+
 def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
     names = [name for name in files.folders(spark, path) if name.startswith("created_date=")]
     return [dt.date.fromisoformat(name.split("=", 1)[1]) for name in names]
@@ -64,16 +100,14 @@ def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
 
 def remove_older(spark: SparkSession, path: str, days: float, as_of: dt.datetime) -> None:
     """Remove rows created more than `days` before `as_of`: whole days by their
-    folder, and the day of the cutoff by rewriting that day alone."""
-    cutoff = as_of - dt.timedelta(days=days)
-    for day in day_folders(spark, path):
-        folder = f"{path}/created_date={day}"
-        if day < cutoff.date():
-            files.remove(spark, folder)
-        elif day == cutoff.date():
-            rows = spark.read.parquet(folder)
-            kept = written_once(not_older_than(rows, days, as_of), "retained")
-            kept.write.mode("overwrite").partitionBy(*LAYOUT[1:]).parquet(folder)
+    folder, and of the day of the cutoff the files that hold such rows now."""
+    day = (as_of - dt.timedelta(days=days)).date()
+    _, partly = files_until(spark, path, day)
+    if partly:
+        replace_files(spark, path, partly, not_older_than(read_files(spark, path, partly), days, as_of))
+    for whole in day_folders(spark, path):
+        if whole < day:
+            files.remove(spark, f"{path}/created_date={whole}")
 
 
 def enforce_retention(

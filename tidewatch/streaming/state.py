@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidewatch import constants as K
-from tidewatch.operators.detect import number, with_key
+from tidewatch.operators.detect import exceeds, number, with_key
 
 ROWS_AT_ONCE = 8192
 
@@ -42,7 +42,7 @@ def zscores(values: np.ndarray, window_size: int, threshold: float):
     ready = (seen >= K.MIN_VALUES) & (spread != 0)
     score = np.zeros(len(values))
     score[ready] = np.abs((values[ready] - mean[ready]) / spread[ready])
-    return score, score > threshold
+    return score, exceeds(score, threshold)
 
 
 def deviations(values: np.ndarray, window_size: int, ma_window: int):
@@ -57,7 +57,7 @@ def deviations(values: np.ndarray, window_size: int, ma_window: int):
         limit = np.where(seen >= 2 * ma_window, K.MA_VOLATILITY_FACTOR * spread, K.MA_WARMUP_SHARE * mean)
         ready = seen >= ma_window
         score = np.where(ready, np.where(mean == 0, np.nan, deviation / mean), 0.0)
-        return score, ready & (deviation > limit)
+        return score, ready & exceeds(deviation, limit)
 
 
 def score_stream(
@@ -133,7 +133,8 @@ def cooldown_stream(
             state.setTimeoutTimestamp(expiry)
         else:
             state.remove()
-        yield batch.loc[sent, columns]
+        if sent:
+            yield batch.loc[sent, columns]
 
     return rows.groupBy(key).applyInPandasWithState(
         update, alerts.schema, last, "append", GroupStateTimeout.EventTimeTimeout
