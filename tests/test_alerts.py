@@ -172,3 +172,12 @@ def test_scores_to_alerts(spark):
     out = alerts.score_to_alerts(df, "sensor_id", "value", ["timestamp", "id"]).orderBy("id").collect()
     assert [row["id"] for row in out] == [60, 121]
     assert all(row["severity"] == 1.0 and "Sensor: s" in row["alert_text"] for row in out)
+
+
+def test_alerts_without_a_time_are_sent_and_hold_up_none(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", None, 1), ("a", at, 2), ("a", None, 3), ("a", at + dt.timedelta(minutes=5), 4), ("a", at + dt.timedelta(minutes=15), 5)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long")
+    out = cooldown(df, "key", ["ts", "id"])
+    assert out.columns == df.columns
+    assert sorted(row["id"] for row in out.collect()) == [1, 2, 3, 5]

@@ -22,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch import constants as K
 
@@ -140,6 +139,7 @@ def _open_times(gap: int):
 
 
 def _follow_chains(length: int, gap: int, columns: Sequence[str]):
+    """The rows, kept whole in `_row`, that are sent."""
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
             marker = table.column("_free_from").is_valid().to_numpy()
@@ -156,7 +156,9 @@ def _follow_chains(length: int, gap: int, columns: Sequence[str]):
             while len(at):
                 sent[at] = True
                 at = following[at][following[at] != at]
-            yield from alerts.select(list(columns)).take(pa.array(np.flatnonzero(sent))).to_batches()
+            rows = alerts.column("_row").take(pa.array(np.flatnonzero(sent)))
+            for chunk in rows.chunks:
+                yield pa.RecordBatch.from_arrays(chunk.flatten(), names=list(columns))
 
     return follow
 
@@ -169,24 +171,24 @@ def cooldown(
     chunk_cooldowns: int = CHUNK_COOLDOWNS,
 ) -> DataFrame:
     """The alerts that are sent. `order` starts with the event time and tells
-    all alerts of a key apart; alerts without an event time have no place in
-    the chain and are not sent."""
+    all alerts of a key apart. An alert without an event time has no place in
+    the chain: it is sent, and holds up no other."""
     gap = int(minutes * 60_000_000)
-    timed = alerts.filter(F.col(order[0]).isNotNull())
     if gap <= 0:
-        return timed
+        return alerts
+    timed = alerts.filter(F.col(order[0]).isNotNull())
     length = gap * chunk_cooldowns
     time = F.unix_micros(F.col(order[0]).cast("timestamp"))
     ranks = [f"_rank{i}" for i in range(1, len(order))]
-    narrow = timed.select(
+    narrow_columns = [
         F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)).alias("_key"),
         F.floor(time / F.lit(length)).cast("long").alias("_chunk"),
         time.alias("_time"),
         *[F.col(name).alias(rank) for name, rank in zip(order[1:], ranks)],
-    )
+    ]
 
     ends = (
-        narrow.select("_key", "_chunk", "_time")
+        timed.select(*narrow_columns[:3])
         .repartition("_key", "_chunk")
         .sortWithinPartitions("_key", "_chunk", "_time")
         .mapInArrow(_chain_ends(length, gap), "_key string, _chunk long, _time long, _end long")
@@ -196,19 +198,16 @@ def cooldown(
         .sortWithinPartitions("_key", "_chunk", "_time")
         .mapInArrow(_open_times(gap), "_key string, _chunk long, _free_from long")
     )
-    # The opening time travels as a row ahead of its chunk: one shuffle, no join.
-    columns = ["_key", "_chunk", "_time", *ranks]
+    # The opening time travels as a row ahead of its chunk, and the alerts travel
+    # whole: one shuffle, no join.
+    wide = timed.select(
+        *narrow_columns, F.struct(*[F.col(f"`{name}`") for name in alerts.columns]).alias("_row")
+    )
     markers = opens.filter(F.col("_free_from") > NEVER).withColumn("_time", F.lit(NEVER))
-    sent_schema = T.StructType([narrow.schema[name] for name in ("_key", "_time", *ranks)])
     sent = (
-        narrow.unionByName(markers, allowMissingColumns=True)
+        wide.unionByName(markers, allowMissingColumns=True)
         .repartition("_key", "_chunk")
-        .sortWithinPartitions(*columns)
-        .mapInArrow(_follow_chains(length, gap, ["_key", "_time", *ranks]), sent_schema)
+        .sortWithinPartitions("_key", "_chunk", "_time", *ranks)
+        .mapInArrow(_follow_chains(length, gap, alerts.columns), alerts.schema)
     )
-    match = [
-        F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)) == F.col("_key"),
-        F.unix_micros(F.col(order[0]).cast("timestamp")) == F.col("_time"),
-        *[F.col(name).eqNullSafe(F.col(rank)) for name, rank in zip(order[1:], ranks)],
-    ]
-    return timed.join(sent, match, "left_semi")
+    return sent.unionByName(alerts.filter(F.col(order[0]).isNull()))
