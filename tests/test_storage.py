@@ -222,3 +222,15 @@ def test_table_by_name(spark, tmp_path):
     tables.insert(aged(spark, [0, 1]), f"{tmp_path}/tidewatch_x")
     for name in ("x", "tidewatch_x"):
         assert ids(tables.read_named(spark, str(tmp_path), name)) == [0, 1]
+
+
+def test_compaction_keeps_rows_and_spares_open_batches(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for batch in range(4):
+        tables.write_batch(aged(spark, [0.1]).withColumn("id", F.lit(batch).cast("long")), batch, path)
+    day = (NOW - dt.timedelta(days=0.1)).date()
+    tables.compact(spark, path, day, before_batch=3)
+    assert ids(tables.read(spark, path)) == [0, 1, 2, 3]
+    assert len(files.data_files(spark, path)) == 2
+    tables.write_batch(aged(spark, [0.1, 0.2]), 3, path)
+    assert ids(tables.read(spark, path)) == [0, 0, 1, 1, 2]

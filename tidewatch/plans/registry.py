@@ -1,5 +1,6 @@
 """Named queries over the given tables, each with its DuckDB oracle."""
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1166,6 +1167,20 @@ def _event_stream(spark, sf_dir):
     return views.sensor_from_events(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
+def _event_batches(spark, sf_dir, late=None, parts=4):
+    """The events as a stream of one micro-batch for each quarter of the time; the rows of `late` come last."""
+    events = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.lit(False) if late is None else late
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    quarter = F.floor((F.col("ts").cast("double") - first.timestamp()) / ((last - first).total_seconds() / parts + 1))
+    folder = shared_dir(spark, "events")
+    for part in range(parts):
+        events.filter(~late & (quarter == part)).coalesce(1).write.mode("append").parquet(folder)
+    events.filter(late).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return views.sensor_from_events(stream)
+
+
 def _run(spark, df, time="timestamp"):
     """Run a stream to the end of its input into a stored table and read that."""
     root = shared_dir(spark, "stream")
@@ -1191,6 +1206,39 @@ def stream_zscore(spark, sf_dir):
     return _scored(_run(spark, scored))
 
 
+@query(
+    O.SENSORS,
+    f"""SELECT * FROM ({sensor_windows_sql('1 minute')})
+        WHERE window_end <= {EVENT_CLOCK} - INTERVAL '1 minute'""",
+)
+def stream_window_agg_batches(spark, sf_dir):
+    """Summaries over several micro-batches: windows that a batch begins and the next one ends."""
+    watched = _event_batches(spark, sf_dir).withWatermark("timestamp", K.WATERMARK)
+    rows = _run(spark, rollup.summarise(watched, K.SENSOR_STREAM), "window_start")
+    return rounded(rows, ["avg_value", "stddev_value", "anomaly_rate"])
+
+
+@query(
+    O.SENSORS + ", on_time AS (SELECT * FROM sensors WHERE NOT (id % 50 = 0 AND timestamp < (SELECT max(ts) FROM events) - INTERVAL '20 days'))",
+    f"""SELECT * FROM ({sensor_windows_sql('1 minute').replace('FROM sensors', 'FROM on_time')})
+        WHERE window_end <= {EVENT_CLOCK} - INTERVAL '1 minute'""",
+)
+def stream_late(spark, sf_dir):
+    """Rows that come days after their windows have closed change nothing."""
+    clock = views.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    late = (F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit(clock - dt.timedelta(days=20)))
+    watched = _event_batches(spark, sf_dir, late).withWatermark("timestamp", K.WATERMARK)
+    rows = _run(spark, rollup.summarise(watched, K.SENSOR_STREAM), "window_start")
+    return rounded(rows, ["avg_value", "stddev_value", "anomaly_rate"])
+
+
+@query(O.SENSORS, f"SELECT {ZSCORE_COLUMNS} FROM ({zscore_sql('location')})")
+def stream_zscore_batches(spark, sf_dir):
+    """Scores over several micro-batches: each goes on from the numbers that the one before kept."""
+    scored = state.score_stream(_event_batches(spark, sf_dir), "location", "value", ["timestamp", "id"])
+    return _scored(_run(spark, scored))
+
+
 @query(O.SENSORS, f"SELECT {MA_COLUMNS} FROM ({moving_average_sql('location')})")
 def stream_moving_average(spark, sf_dir):
     scored = state.score_stream(

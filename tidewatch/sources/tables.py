@@ -45,11 +45,16 @@ def write_batch(
     covers many: it is first brought into time order over the tasks, or every
     task would write a file for every month. The hash splits rows of one time.
     """
-    rows = dated(df, time)
-    if backfill:
-        rows = rows.repartitionByRange("event_month", time, F.xxhash64(*df.columns))
-    writer = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
+    rows = dated(df, time).withColumn("batch_id", F.lit(batch_id))
+    kept = rows.persist() if backfill else None  # finding the ranges reads the rows once more
+    try:
+        if backfill:
+            rows = rows.repartitionByRange("event_month", time, F.xxhash64(*df.columns))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*LAYOUT).parquet(path)
+    finally:
+        if kept is not None:
+            kept.unpersist()
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -93,6 +98,20 @@ def replace_files(spark: SparkSession, path: str, names: list[str], kept: DataFr
         files.remove(spark, name)
 
 
+def compact(spark: SparkSession, path: str, day: dt.date, before_batch: int) -> None:
+    """Put the files that the batches before `before_batch` wrote for a day into
+    few. Batches that may still run again must not be among them: name the
+    first one that the stream has not yet committed."""
+    names = [
+        name
+        for name in files.data_files(spark, f"{path}/created_date={day}")
+        if int(name.split("/batch_id=", 1)[1].split("/", 1)[0]) < before_batch
+    ]
+    if len(names) > 1:
+        rows = read_files(spark, path, names).withColumn("batch_id", F.lit(NO_BATCH))
+        replace_files(spark, path, names, rows.hint("rebalance", "event_month"))
+
+
 def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
     names = [name for name in files.folders(spark, path) if name.startswith("created_date=")]
     return [dt.date.fromisoformat(name.split("=", 1)[1]) for name in names]
