@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import texts_of
 from tidewatch.llm.tokens import behind, encoder, in_order, steps
 from tidewatch.session import ship_package, written_once
 
@@ -32,16 +31,17 @@ SENTENCE, ANYWHERE, SEQUENCE = 4, 16, 8  # what a cut in a document costs, and e
 def cuts_of(ids: np.ndarray, ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places where a sequence may end, rising, and what each costs; the first is 0."""
     total = len(ids)
-    sentences = np.flatnonzero(sentence_ends[np.minimum(ids, len(sentence_ends) - 1)]) + 1
-    natural = np.unique(np.concatenate([[0], ends, sentences]))
-    gaps = np.diff(natural)
-    more = np.maximum(0, -(-gaps // GRID) - 1)
+    cost = np.full(total + 1, -1, np.int8)
+    cost[1:][sentence_ends[np.minimum(ids, len(sentence_ends) - 1)]] = SENTENCE
+    cost[0] = cost[ends] = 0
+    natural = np.flatnonzero(cost >= 0)
+    more = np.maximum(0, -(-np.diff(natural) // GRID) - 1)
     inner = np.repeat(natural[:-1], more) + GRID * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
     tail = np.arange(total - LENGTH, total, GRID)
-    places = np.unique(np.concatenate([natural, inner, tail[tail > 0]]))
-    costs = np.full(len(places), ANYWHERE, np.int64)
-    costs[np.isin(places, sentences)] = SENTENCE
-    costs[np.isin(places, ends) | (places == 0)] = 0
+    extra = np.concatenate([inner, tail[tail > 0]])
+    cost[extra[cost[extra] < 0]] = ANYWHERE
+    places = np.flatnonzero(cost >= 0)
+    costs = cost[places].astype(np.int64)
     return places, costs
 
 
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
 
     `doc_id`, `start`, `length`, `ids_crc32`, `doc_tokens`, `sequence_id`, `offset`.
     Documents are taken in order of the key and cut into stretches of a few
-    million characters, a longer document alone; each stretch is packed at best,
+    MB of text, a longer document alone; each stretch is packed at best,
     and sequences are numbered through all of them. A null or empty text has the
     end id only. Null keys come first, repeated rows are documents of their own,
     an empty table has no pieces; other columns are ignored.
@@ -106,9 +106,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
         encode = encoder(tokenizer)
         sentence_ends = encode.sentence_ends()
         for batch in batches:
-            texts = texts_of(batch, "text")
-            for step in steps(texts):
-                ids, counts = encode.encode(texts[step])
+            for rows, texts in steps(batch):
+                ids, counts = encode.encode(texts)
                 ends = np.cumsum(counts + 1)
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 cuts = best_cuts(*cuts_of(ids, ends, sentence_ends))
@@ -120,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text
                 checks = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(step.start, step.stop - step.start).take(pa.array(doc)),
+                        rows.column("doc_id").take(pa.array(doc)),
                         pa.array(starts - (ends - counts - 1)[doc]),
                         pa.array(lengths),
                         pa.array(checks, pa.int64()),

@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import map_batches, texts_of
+from tidewatch.llm.tables import map_batches
 from tidewatch.llm.sampling import at_most
 from tidewatch.llm.tokens import behind, encoder, in_order, steps
 from tidewatch.session import ship_package
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 PIECE_BYTES = 4096
 PIECES = 8
 BLOCKS = (
@@ -51,9 +51,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = []
-        texts = texts_of(batch, "text")
-        for step in steps(texts):
-            for ids in with_end(*encoder(tokenizer).encode(texts[step]), end_id):
+        for _, texts in steps(batch):
+            for ids in with_end(*encoder(tokenizer).encode(texts), end_id):
                 data = serialized(ids, width)
                 starts = range(0, len(data), PIECE_BYTES)
                 pieces += [data[start : start + PIECE_BYTES] for start in starts[:: -(-len(starts) // PIECES)]]
@@ -120,10 +119,9 @@ def write(
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            keys, texts = batch.column("doc_id").to_pylist(), texts_of(batch, "text")
-            for step in steps(texts):
-                parts = with_end(*encoder(tokenizer).encode(texts[step]), end_id)
-                for doc_id, doc in zip(keys[step], parts, strict=True):
+            for part_rows, texts in steps(batch):
+                parts = with_end(*encoder(tokenizer).encode(texts), end_id)
+                for doc_id, doc in zip(part_rows.column("doc_id").to_pylist(), parts, strict=True):
                     ids.append(doc_id)
                     tokens.append(len(doc))
                     frames.append(compress(serialized(doc, width)))
@@ -161,7 +159,9 @@ def read(spark: SparkSession, folder: str, keys: list | None = None) -> DataFram
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names if name != "frames"}
+                frames = memoryview(batch.column("frames")[at].as_buffer())
                 if row["dictionary"] != digest:
                     raise ValueError(f"{folder}: a block of another dictionary")
                 order = "<u2" if row["width"] == 2 else "<u4"
@@ -170,7 +170,7 @@ def read(spark: SparkSession, folder: str, keys: list | None = None) -> DataFram
                 chosen = [i for i, doc_id in enumerate(row["doc_ids"]) if wanted is None or doc_id in wanted]
                 for first in range(0, len(chosen), 1024):
                     some = chosen[first : first + 1024]
-                    docs = [np.frombuffer(decompress(row["frames"][ends[i] : ends[i + 1]]), order) for i in some]
+                    docs = [np.frombuffer(decompress(frames[ends[i] : ends[i + 1]]), order) for i in some]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([row["doc_ids"][i] for i in some], batch.schema.field("doc_ids").type.value_type),

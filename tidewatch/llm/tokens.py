@@ -3,37 +3,30 @@
 Byte-level BPE of this kind first cuts a text into words with the blank before
 them, numbers, runs of marks and white space, and never joins across a cut. A
 single blank between two other characters is always such a cut. Texts are parted
-there, and each different part is encoded once per Python worker; a new part is
-cut into its words, of which again only new ones reach the tokenizer. Texts with
-other white space beside a blank, or with a special token, are encoded whole.
+there; of many texts at once each different part is encoded once, and the parts
+met first are kept for the texts to come. Texts with other white space beside a
+blank, or with a special token, are encoded whole.
 """
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-LINE_BREAK = "Ċ"  # a line break in the vocabulary's spelling
+from tidewatch.llm.tables import texts_of
 
-WHITE_AT_EDGE = re.compile(r"^\s|\s$|\s{2}|\0")
-RARE_WHITE = re.compile("[\0\t\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-PARTS_KEPT, WORDS_KEPT = 1 << 20, 1 << 19
+LINE_BREAK, BLANK = "Ċ", "Ġ"  # in the vocabulary's spelling
+PARTS_KEPT = 250_000
 PARTS_AT_ONCE = 1 << 18
-CHARACTERS_AT_ONCE = 1 << 21
-
-
-def cut_at_blanks(text: str) -> list[str] | None:
-    """The text's parts, all but the first with the blank before them; None if a blank is beside other white space."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace():
-        return None
-    if RARE_WHITE.search(text) and WHITE_AT_EDGE.search(text):
-        return None
-    return text.replace(" ", "\0 ").split("\0")
+BYTES_AT_ONCE = 1 << 21
+# White space beside a blank, at an end, or of a rare kind, which is taken for such wherever it stands.
+UNCERTAIN = r"^\s|\s$|  | [\t-\r]|[\t-\r] |[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
@@ -42,54 +35,39 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cutter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.words: dict[str, list[int]] = {}
-        self.forget()
-
-    def forget(self) -> None:
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words come once here; looking them up first only costs time
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens, self.closes = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        for token, number in vocabulary.items():
+            self.opens[number] = token.startswith(BLANK)
+            self.closes[number] = token[-1:] in (".", "!", "?", LINE_BREAK)
         self.place: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def sentence_ends(self) -> np.ndarray:
+        """For every id whether a sentence or line can end with it."""
+        return self.closes
 
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            ids = self.words[word] = [token.id for token in self.model.tokenize(word)]
-        return ids
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, parts: list[str]) -> None:
-        """Keep the ids of new parts; those that begin with a blank are cut into words together."""
-        parts.sort(key=lambda part: part.startswith(" "))
-        alone = next((i for i, part in enumerate(parts) if part.startswith(" ")), len(parts))
-        found: list[int] = []
-        counts = np.zeros(len(parts), np.int64)
-        for i, part in enumerate(parts[:alone]):
-            found += self.whole(part)
-            counts[i] = len(found)
-        bounds = np.cumsum([len(part) for part in parts[alone:]])
-        pieces = self.cutter.pre_tokenize_str("".join(parts[alone:])) if alone < len(parts) else []
-        owner = np.searchsorted(bounds, [span[0] for _, span in pieces], side="right") + alone
-        sizes = np.zeros(len(pieces), np.int64)
-        for k, (word, _) in enumerate(pieces):
-            ids = self.word(word)
-            found += ids
-            sizes[k] = len(ids)
-        if alone:
-            counts[1:alone] = np.diff(counts[:alone])
-        counts += np.bincount(owner, sizes, len(parts)).astype(np.int64) if len(pieces) else 0
-        start = int(self.ends[len(self.place) - 1]) if self.place else 0
-        known, size = len(self.place), start + len(found)
-        while size > len(self.flat):
+        """Place new parts' ids, each with a blank before it, behind the known ones: one text of all is encoded."""
+        ids = self.whole(" " + " ".join(parts))
+        ends = np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
+        if len(ends) != len(parts):  # a vocabulary whose words are not told apart by their blanks
+            alone = [self.whole(" " + part) for part in parts]
+            ids, ends = np.concatenate(alone), np.cumsum([len(one) for one in alone])
+        known = len(self.place)
+        start = int(self.ends[known - 1]) if known else 0
+        while start + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while known + len(parts) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[start:size] = found
-        self.ends[known : known + len(parts)] = start + np.cumsum(counts)
+        self.flat[start : start + len(ids)] = ids
+        self.ends[known : known + len(parts)] = start + ends
         self.place.update(zip(parts, range(known, known + len(parts)), strict=True))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,48 +79,57 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
+        given = pa.array(texts, pa.large_string())
+        cut = ~np.asarray(pc.match_substring_regex(given, UNCERTAIN))
+        for token in self.special:
+            cut &= ~np.asarray(pc.match_substring(given, token))
+        # A text's first part has no blank before it and is encoded alone; an uncertain text is all first part.
+        split = pc.split_pattern(given.filter(pa.array(cut)), " ")
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[cut] = np.diff(np.asarray(split.offsets))
+        first = np.cumsum(sizes) - sizes
+        parts = split.flatten()
+        heads = [self.whole(text if not sure else parts[at].as_py()) for text, sure, at in zip(texts, cut.tolist(), first.tolist(), strict=True)]
+        others = np.ones(len(parts), bool)
+        others[first[cut]] = False
+        coded = parts.filter(pa.array(others)).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
+        new = [different[i] for i in np.flatnonzero(at < 0).tolist()]
+        if new:
+            at[at < 0] = len(self.place) + np.arange(len(new))
+            self.learn(new)
+        at = at[np.asarray(coded.indices)]
+        rest, lengths = [], []
+        for k in range(0, len(at), PARTS_AT_ONCE):
+            ids, counts = self.gather(at[k : k + PARTS_AT_ONCE])
+            rest.append(ids)
+            lengths.append(counts)
         if len(self.place) > PARTS_KEPT:
-            self.forget()
-        cut = [None if any(token in text for token in self.special) else cut_at_blanks(text) for text in texts]
-        parts = list(chain.from_iterable(one or () for one in cut))
-        found = list(map(self.place.get, parts))
-        if None in found:
-            self.learn(list({part: None for part, at in zip(parts, found, strict=True) if at is None}))
-            found = list(map(self.place.__getitem__, parts))
-        at = np.array(found, np.int64)
-        gathered = [self.gather(at[k : k + PARTS_AT_ONCE]) for k in range(0, max(1, len(at)), PARTS_AT_ONCE)]
-        ids = np.concatenate([ids for ids, _ in gathered])
-        upto = np.concatenate([[0], np.cumsum(np.concatenate([lengths for _, lengths in gathered]))])
-        counts = np.diff(upto[np.cumsum([0, *(len(one or ()) for one in cut)])])
-        if None not in cut:
-            return ids, counts
-        pieces = np.split(ids, np.cumsum(counts)[:-1])
-        for i, one in enumerate(cut):
-            if one is None:
-                pieces[i] = np.array(self.whole(texts[i]), np.uint32)
-        return np.concatenate(pieces), np.array([len(piece) for piece in pieces])
-
-
-    def sentence_ends(self) -> np.ndarray:
-        """For every id whether a sentence or line can end with it."""
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, number in vocabulary.items():
-            ends[number] = token[-1:] in (".", "!", "?", LINE_BREAK)
-        return ends
-
-
-def steps(texts: list[str]) -> Iterator[slice]:
-    """Slices of consecutive texts of a few million characters, a longer text alone."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > CHARACTERS_AT_ONCE:
-            yield slice(start, i)
-            start = i
-            size = 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+            for part in new:
+                del self.place[part]
+        # Each text's head goes before the ids of its other parts.
+        behind = np.concatenate([[0], np.cumsum(np.concatenate([*lengths, np.zeros(0, np.int64)]))]).astype(np.int64)
+        bounds = behind[np.concatenate([[0], np.cumsum(np.maximum(sizes - 1, 0))])]
+        rest = np.concatenate([*rest, np.zeros(0, np.uint32)])
+        pieces = [x for i, head in enumerate(heads) for x in (head, rest[bounds[i] : bounds[i + 1]])]
+        counts = np.diff(bounds) + np.array([len(head) for head in heads], np.int64)
+        return np.concatenate([*pieces, np.zeros(0, np.uint32)]), counts
+
+
+def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows of a batch with a few MB of text, a longer text alone, and their texts; null is empty."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > BYTES_AT_ONCE:
+            part = batch.slice(start, i - start)
+            yield part, texts_of(part, column)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        part = batch.slice(start)
+        yield part, texts_of(part, column)
 
 
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
