@@ -1,5 +1,7 @@
 """Session defaults and the shared folder that jobs may write to."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -7,7 +9,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _SHIPPED: set[str] = set()
 
 
@@ -50,13 +51,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one run below the cluster's shared checkpoint folder.
 
     Only a local session without `spark.checkpoint.dir` falls back to a
-    temporary folder; a cluster without the setting is an error.
+    temporary folder, which goes when the process ends; a cluster without the
+    setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidewatch/{purpose}-{uuid.uuid4().hex}"
 
