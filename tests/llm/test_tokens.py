@@ -47,7 +47,7 @@ def test_file_set_gives_every_document_back(spark, sf_dir, plain, tmp_path):
         ids = [*plain(texts[key]), 2]
         want[key] = (start, len(ids), crc(ids))
         start += len(ids)
-    out = token_files.digests(token_files.read(spark, folder)).collect()
+    out = token_files.read_digests(spark, folder).collect()
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in out} == want and len(out) == len(want)
     some = token_files.read(spark, folder, keys=[3, 1_000_002, 77_777_777]).collect()
     assert {r.doc_id: r.ids for r in some} == {k: [*plain(texts[k]), 2] for k in (3, 1_000_002)}
@@ -59,7 +59,7 @@ def test_file_set_of_awkward_rows_and_of_none(spark, plain, tmp_path):
     assert [r.doc_id for r in out] == sorted((k for k, *_ in rows.DOCS), key=lambda k: -1 if k is None else k)
     assert sorted(r.ids for r in out) == sorted([*plain(t), 2] for _, t, _ in rows.DOCS)
     token_files.write(rows.empty(spark), str(tmp_path / "b"), PATH, end_id=2)
-    assert token_files.digests(token_files.read(spark, str(tmp_path / "b"))).count() == 0
+    assert token_files.read_digests(spark, str(tmp_path / "b")).count() == 0
 
 
 def check_pieces(pieces, texts, plain):

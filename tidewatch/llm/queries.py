@@ -134,7 +134,7 @@ def op7_token_files(spark, sf_dir):
     """Digests of all documents, written as token files and read back, each ended by id 2."""
     folder = shared_dir(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer(), end_id=2)
-    return token_files.digests(token_files.read(spark, folder))
+    return token_files.read_digests(spark, folder)
 
 
 @query

@@ -9,7 +9,7 @@ by cutting its frame out of its block; no other frame is touched.
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,12 +138,10 @@ def write(
     )
 
 
-def read(spark: SparkSession, folder: str, keys: list | None = None) -> DataFrame:
-    """`doc_id`, `start`, `ids` from a file set: all documents, or those with certain ids.
-
-    `start` is the number of ids of all documents before. Only blocks that hold
-    an asked id are read further, and only its frames are decompressed.
-    """
+def decoded(
+    spark: SparkSession, folder: str, keys: list | None, columns: str, of_documents: Callable[[list[np.ndarray]], list[pa.Array]]
+) -> DataFrame:
+    """`doc_id`, `start` and what `of_documents` makes of the ids, from a file set's frames."""
     ship_package(spark)
     blocks = spark.read.parquet(f"{folder}/blocks")
     stored = spark.read.parquet(f"{folder}/dictionary").first()
@@ -155,10 +153,12 @@ def read(spark: SparkSession, folder: str, keys: list | None = None) -> DataFram
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     if keys is not None:
         blocks = blocks.where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, keys)).cast(f"array<{kind}>")))
+    names = ["doc_id", "start", *(column.split(" ")[0] for column in columns.split(", "))]
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompress = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
         for batch in batches:
+            key_type = batch.schema.field("doc_ids").type.value_type
             for at in range(batch.num_rows):
                 row = {name: batch.column(name)[at].as_py() for name in batch.schema.names if name != "frames"}
                 frames = memoryview(batch.column("frames")[at].as_buffer())
@@ -168,31 +168,33 @@ def read(spark: SparkSession, folder: str, keys: list | None = None) -> DataFram
                 starts = row["before"] + row["start"] + np.cumsum([0, *row["tokens"]])
                 ends = [0, *row["ends"]]
                 chosen = [i for i, doc_id in enumerate(row["doc_ids"]) if wanted is None or doc_id in wanted]
-                for first in range(0, len(chosen), 1024):
-                    some = chosen[first : first + 1024]
+                for first in range(0, len(chosen), 256):
+                    some = chosen[first : first + 256]
                     docs = [np.frombuffer(decompress(frames[ends[i] : ends[i + 1]]), order) for i in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["doc_ids"][i] for i in some], batch.schema.field("doc_ids").type.value_type),
-                            pa.array(starts[some]),
-                            pa.array([doc.astype(np.int32) for doc in docs], pa.list_(pa.int32())),
-                        ],
-                        ["doc_id", "start", "ids"],
-                    )
-
-    return blocks.join(F.broadcast(before), "part").mapInArrow(unpack, f"doc_id {kind}, start long, ids array<int>")
-
-
-def digests(read_back: DataFrame) -> DataFrame:
-    """`doc_id`, `start`, `n_tokens`, `ids_crc32` of documents read from a file set."""
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("ids")
-        flat = np.asarray(lists.flatten(), np.int64).astype("<u4")
-        bounds = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
-        checks = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
-        columns = [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(bounds)), pa.array(checks, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    kind = read_back.schema["doc_id"].dataType.simpleString()
-    return map_batches(read_back, digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+                    keys_of = pa.array([row["doc_ids"][i] for i in some], key_type)
+                    yield pa.RecordBatch.from_arrays([keys_of, pa.array(starts[some]), *of_documents(docs)], names)
+
+    return blocks.join(F.broadcast(before), "part").mapInArrow(unpack, f"doc_id {kind}, start long, {columns}")
+
+
+def read(spark: SparkSession, folder: str, keys: list | None = None) -> DataFrame:
+    """`doc_id`, `start`, `ids` from a file set: all documents, or those with certain ids.
+
+    `start` is the number of ids of all documents before. Only blocks that hold
+    an asked id are read further, and only its frames are decompressed.
+    """
+
+    def ids(docs: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([doc.astype(np.int32) for doc in docs], pa.list_(pa.int32()))]
+
+    return decoded(spark, folder, keys, "ids array<int>", ids)
+
+
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """`doc_id`, `start`, `n_tokens`, `ids_crc32` of all documents, taken where their frames are read."""
+
+    def digest(docs: list[np.ndarray]) -> list[pa.Array]:
+        checks = [zlib.crc32(doc.astype("<u4").tobytes()) for doc in docs]
+        return [pa.array([len(doc) for doc in docs], pa.int64()), pa.array(checks, pa.int64())]
+
+    return decoded(spark, folder, None, "n_tokens long, ids_crc32 long", digest)
