@@ -95,8 +95,8 @@ def price_change(
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key along `order`.
 
-    An aggregate, not a window: each task reduces its rows to one per key
-    before the shuffle, whatever the size of the key.
+    An aggregate, not a window: each task sorts its rows by key and reduces them
+    to one per key before the shuffle, whatever the size of the key.
     """
     keys = list(keys)
     rest = [name for name in df.columns if name not in keys]
