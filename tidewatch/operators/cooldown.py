@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
+from tidewatch.session import ship_package
 
 CHUNK_COOLDOWNS = 32
 NEVER = -(2**62)
@@ -176,6 +177,7 @@ def cooldown(
     gap = int(minutes * 60_000_000)
     if gap <= 0:
         return alerts
+    ship_package(alerts.sparkSession)
     timed = alerts.filter(F.col(order[0]).isNotNull())
     length = gap * chunk_cooldowns
     time = F.unix_micros(F.col(order[0]).cast("timestamp"))

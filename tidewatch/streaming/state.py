@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidewatch import constants as K
 from tidewatch.operators.detect import exceeds, number, with_key
+from tidewatch.session import ship_package
 
 ROWS_AT_ONCE = 8192
 
@@ -72,6 +73,7 @@ def score_stream(
 ) -> DataFrame:
     """Score a stream with `zscore` or `moving_average`. Rows of a micro-batch
     are taken in `order`; rows that come in a later one are scored on arrival."""
+    ship_package(df.sparkSession)
     rows = with_key(df, key).withColumn("_number", number(value))
     columns = [name for name in df.columns if name not in ("anomaly_score", "is_anomaly")]
     schema = T.StructType([df.schema[name] for name in columns])
@@ -107,6 +109,7 @@ def cooldown_stream(
     """The alerts of a stream that are sent: the first of a key, and then those
     at least the cooldown after the last sent one. State of a key is dropped
     when the watermark passes the end of its cooldown."""
+    ship_package(alerts.sparkSession)
     gap = int(minutes * 60_000_000)
     time = order[0]
     last = T.StructType().add("last_sent", "long")
