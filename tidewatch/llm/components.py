@@ -16,17 +16,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     gathered. Rounds are cut by tables in the shared folder. Null ends are no
     nodes; self links and repeated links change nothing.
     """
-    links = links.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    given = links.select(a, b).dropna().select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = written_once(given.distinct(), "components-links")
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = links.where("a <> b")
     names = None
-    while True:
-        links = written_once(
-            links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-            "components-links",
-        )
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         joined = written_once(
             links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a"), F.struct(F.col("b").alias("node"), "a"))).alias("x"))
             .groupBy(F.col("x.node").alias("node"))
@@ -37,8 +32,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             links.join(joined.select(F.col("node").alias("a"), F.col("next").alias("next_a")), "a")
             .join(joined.select(F.col("node").alias("b"), F.col("next").alias("next_b")), "b")
             .where("next_a <> next_b")
-            .select(F.col("next_a").alias("a"), F.col("next_b").alias("b"))
+            .select(F.least("next_a", "next_b").alias("a"), F.greatest("next_a", "next_b").alias("b"))
+            .distinct()
         )
+        links = written_once(links, "components-links")
         if names is None:
             names = joined.select("node", F.col("next").alias("root"))
         else:
@@ -49,5 +46,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 "components-names",
             )
     if names is None:
-        return ends.select("node", F.col("node").alias("root"))
-    return ends.join(names, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        return nodes.select("node", F.col("node").alias("root"))
+    return nodes.join(names, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
