@@ -1,6 +1,8 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tidewatch.llm import neighbours
@@ -66,3 +68,49 @@ def test_few_and_no_rows(spark):
     assert searched(spark, table) == {20: [(0.0, 21), (1.0, 22)]}
     assert searched(spark, table[:1]) == {}
     assert searched(spark, []) == {}
+
+
+def recall(spark, tmp_path, vectors, nearest=20):
+    """Of the true nearest the share found, and the share of pairs that the search met."""
+    ids = np.arange(len(vectors))
+    path = str(tmp_path / "vectors")
+    columns = [pa.array(ids), pa.array(list(vectors.astype(np.float32)), pa.list_(pa.float32()))]
+    pq.write_table(pa.table(columns, ["vec_id", "embedding"]), path)
+    found = {}
+    for r in neighbours.search(spark.read.parquet(path), F.col("vec_id") % 200 == 0, nearest=nearest).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(x) == nearest for x in found.values())
+    exact = vectors.astype(np.float32).astype(float)
+    recalls = []
+    for i in ids[ids % 200 == 0]:
+        scores = exact @ exact[i]
+        scores[i] = -np.inf
+        recalls.append(len(set(np.argsort(-scores)[:nearest].tolist()) & found[i]) / nearest)
+    return np.mean(recalls)
+
+
+def clustered(draw, n, dimensions=32, clusters=200):
+    middles = draw.normal(size=(clusters, dimensions)) * 3
+    return middles[draw.integers(0, clusters, n)] + draw.normal(size=(n, dimensions)) * 0.5
+
+
+@pytest.mark.parametrize("kind", ["plain", "clustered", "long vector", "off centre", "hot cluster", "uneven lengths"])
+def test_recall_over_all_ranges(spark, tmp_path, kind, monkeypatch):
+    draw = np.random.default_rng(5)
+    n = 24_000
+    vectors = draw.normal(size=(n, 32)) if kind == "plain" else clustered(draw, n)
+    if kind == "long vector":
+        vectors[7] *= 1000
+    elif kind == "off centre":
+        vectors += 10
+    elif kind == "hot cluster":
+        vectors[: n // 2] = draw.normal(size=32) + draw.normal(size=(n // 2, 32)) * 1e-3
+        draw.shuffle(vectors)
+    elif kind == "uneven lengths":
+        vectors *= draw.lognormal(0, 1.5, n)[:, None]
+    reaches, reach_of = [], neighbours.reach_of
+    monkeypatch.setattr(neighbours, "reach_of", lambda *given: reaches.append(reach_of(*given)) or reaches[-1])
+    share = recall(spark, tmp_path, vectors)
+    print(kind, "recall", share, "reach", reaches)
+    assert neighbours.RANGES == 20 and share >= 0.9
+    assert kind != "clustered" or 2 * reaches[0] + 1 < neighbours.RANGES

@@ -1,11 +1,17 @@
 """Nearest neighbours by largest inner product, along shifted space-filling curves.
 
-Vectors are scaled to equal length by one more component, so that the largest
-inner product is the nearest. Several times, each time turned another way and
-shifted, a few of the turned components give every vector a place on a Hilbert
-curve. Places are cut into ranges of equal numbers of vectors. A query visits its
-own range and the neighbouring ones of each curve; what it meets there in any of
-them is merged and ranked by exact inner products.
+Vectors are put in levels by length, each up to twice as long as the next, so that
+in a level the direction says most about the inner product and a few long vectors
+change nothing for the others. Rows and queries are scaled to length one. Several
+times, each time turned another way and shifted, a few of the turned components,
+less their mean, give every vector a place on a Hilbert curve. The places of a
+level are cut into ranges of equal numbers of vectors. A query visits, in every
+level and on each curve, its own range and the neighbouring ones; what it meets in
+any of them is merged and ranked by exact inner products.
+
+How far a query reaches is set by the data: some queries are compared with all
+rows, and the reach is the least that finds `FOUND` of their nearest. Where vectors
+have no structure that is most of the rows.
 
 Equal vectors are one to the index. A range is dealt out to tasks in portions of
 bounded size, and the queries that visit it stream past them.
@@ -22,9 +28,11 @@ from tidewatch.llm.tables import map_batches
 from tidewatch.session import ship_package, written_once
 
 CURVES, COMPONENTS, BITS = 8, 8, 6
-RANGES, REACH = 20, 2  # a query visits 2 * REACH + 1 of RANGES ranges of each curve
+RANGES = 20  # of each curve and level, whatever the number of vectors
+LEVELS = 16  # by length; the last one has all that are shorter
+LEAST = 256  # vectors to either side that a query reaches at least
+FOUND, TRIED = 0.95, 256  # the share of the nearest that the reach finds, and the queries it is set by
 PORTION = 16_384  # vectors in a task's hands at once
-SMALLEST = 1024  # vectors in a range at least
 FIT = 4096  # vectors that the scale of the curves is fitted on
 
 
@@ -57,36 +65,70 @@ def hilbert_keys(places: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Random turns and shifts, the same for the same numbers, and the scale of the components."""
+    """Random turns and shifts, the same for the same numbers, and the middle and scale of the components."""
 
-    def __init__(self, dimensions: int, longest: float, spread: np.ndarray):
+    def __init__(self, fit: np.ndarray):
         draw = np.random.default_rng(11)
-        self.longest, self.spread = longest, spread
-        size = dimensions + 1
+        size = fit.shape[1]
         turns = [np.linalg.qr(draw.normal(size=(size, size)))[0] for _ in range(-(-CURVES * COMPONENTS // size))]
         self.turn = np.concatenate(turns, axis=1)[:, : CURVES * COMPONENTS]
         self.shift = draw.random(self.turn.shape[1])
+        found = self.turned(fit)
+        self.middle, self.spread = found.mean(axis=0), np.maximum(found.std(axis=0), 1e-9)
 
-    def lengthened(self, vectors: np.ndarray, asked: bool) -> np.ndarray:
-        """One more component: rows get what they lack to the longest, queries nothing but that length."""
-        squares = np.einsum("ij,ij->i", vectors, vectors)
-        if asked:
-            scaled = vectors * (self.longest / np.sqrt(squares))[:, None]
-            return np.column_stack([scaled, np.zeros(len(vectors))])
-        return np.column_stack([vectors, np.sqrt(np.maximum(0, self.longest**2 - squares))])
+    def turned(self, vectors: np.ndarray) -> np.ndarray:
+        scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None] @ self.turn
 
-    def turned(self, vectors: np.ndarray, asked: bool) -> np.ndarray:
-        return self.lengthened(vectors, asked) @ self.turn
-
-    def keys(self, vectors: np.ndarray, asked: bool) -> np.ndarray:
+    def keys(self, vectors: np.ndarray) -> np.ndarray:
         """The place of each vector (row) on each curve (column)."""
-        unit = (self.turned(vectors, asked) / (6 * self.spread) + 0.5) / 2 + self.shift / 2
+        unit = ((self.turned(vectors) - self.middle) / (6 * self.spread) + 0.5) / 2 + self.shift / 2
         places = np.clip((unit * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
         return np.stack([hilbert_keys(places[:, k::CURVES], BITS) for k in range(CURVES)], axis=1)
 
 
-def matrix(batch: pa.RecordBatch, column: str, dimensions: int) -> np.ndarray:
-    return np.asarray(batch.column(column).flatten(), float).reshape(-1, dimensions)
+class Ranges:
+    """The ranges of each level and curve: bounds, how many vectors each holds, and how far a query reaches.
+
+    Bounds that many equal places make the same are one, so no range is empty by them.
+    """
+
+    def __init__(self, bounds: dict[int, list[list[int]]], sizes: dict[int, int], least: int):
+        self.bounds = {level: [np.unique(b).astype(np.int64) for b in found] for level, found in bounds.items()}
+        self.least = {level: -(-RANGES * least // size) for level, size in sizes.items()}
+        self.portions: dict[int, int] = {}
+        self.reach = 0
+
+    def of(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """For places by vector (row) and curve (column) the ranges of a level."""
+        return np.stack([np.searchsorted(self.bounds[level][k], keys[:, k]) for k in range(CURVES)], axis=1)
+
+    def own(self, levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The ranges of rows, each in its own level, as numbers of their own."""
+        out = np.zeros(keys.shape, np.int64)
+        for level in np.unique(levels):
+            here = levels == level
+            out[here] = self.number(level, np.arange(CURVES), self.of(level, keys[here]))
+        return out
+
+    @staticmethod
+    def number(level: int, curve: int | np.ndarray, place: int | np.ndarray) -> int | np.ndarray:
+        return (level * CURVES + curve) * RANGES + place
+
+    def visited(self, keys: np.ndarray) -> list[list[int]]:
+        """The ranges that each query meets, of all levels and curves."""
+        out: list[list[int]] = [[] for _ in keys]
+        for level in self.bounds:
+            reach = max(self.reach, self.least[level])
+            for found, at in zip(out, self.of(level, keys), strict=True):
+                for curve, place in enumerate(at.tolist()):
+                    last = len(self.bounds[level][curve])
+                    found += [self.number(level, curve, p) for p in range(max(0, place - reach), min(last, place + reach) + 1)]
+        return out
+
+
+def matrix(batch: pa.RecordBatch, column: str, dimensions: int, kind: type = float) -> np.ndarray:
+    return np.asarray(batch.column(column).flatten(), kind).reshape(-1, dimensions)
 
 
 def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -119,6 +161,42 @@ def best_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, wanted: int)
     return query[keep], row[keep], score[keep]
 
 
+def reach_of(rows: DataFrame, queries: DataFrame, ranges: Ranges, dimensions: int, nearest: int) -> int:
+    """The least reach that meets `FOUND` of the nearest rows of `TRIED` queries, which are compared with all rows."""
+    tried = queries.orderBy(F.xxhash64("class"), "class").limit(TRIED).select("class", "vector", "keys").collect()
+    if not tried:
+        return 0
+    asked, names = np.array([row["vector"] for row in tried]), np.array([row["class"] for row in tried])
+    places = {level: ranges.of(level, np.array([row["keys"] for row in tried])) for level in ranges.bounds}
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers, levels = np.asarray(batch.column("class")), np.asarray(batch.column("level"))
+            query, row, score = best_of(asked, matrix(batch, "vector", dimensions), numbers, nearest + 1)
+            keys, levels = matrix(batch, "keys", CURVES, np.int64)[row], levels[row]
+            away = np.zeros(len(row), int)
+            for level in np.unique(levels):
+                here = levels == level
+                away[here] = np.abs(ranges.of(level, keys[here]) - places[level][query[here]]).min(axis=1)
+            kept = [np.concatenate(x) for x in zip(kept, (query, numbers[row], score, away), strict=True)]
+            order = np.lexsort((kept[1], -kept[2], kept[0]))
+            kept = [x[order] for x in kept]
+            first = np.arange(len(order)) - np.searchsorted(kept[0], kept[0]) <= nearest
+            kept = [x[first] for x in kept]
+        other = kept[1] != names[kept[0]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in kept], ["query", "class", "score", "away"])
+
+    found = rows.select("class", "vector", "level", "keys").mapInArrow(compared, "query long, class long, score double, away long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
+    best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest)
+    counts = {row["away"]: row["n"] for row in best.groupBy("away").agg(F.count("*").alias("n")).collect()}
+    met = np.cumsum([counts.get(away, 0) for away in range(RANGES)])
+    return int(np.searchsorted(met, FOUND * met[-1]))
+
+
 def search(
     vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str = "embedding", nearest: int = 20
 ) -> DataFrame:
@@ -153,58 +231,67 @@ def search(
     classes = written_once(grouped.withColumn("class", F.monotonically_increasing_id()), "neighbours-classes")
 
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    stats = classes.agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).first()
+    stats = classes.agg(F.count("*").alias("n"), F.max(square).alias("longest")).first()
     share = min(1.0, FIT / stats["n"])
     fit = classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * share)).select("vector").collect()
-    fit = np.array([row["vector"] for row in fit] or [row["vector"] for row in classes.limit(1).collect()])
-    curves = Curves(dimensions, stats["longest"], np.ones(1))
-    curves.spread = np.maximum(curves.turned(fit, False).std(axis=0), 1e-9)
-
-    def placed(asks: bool):
-        def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = curves.keys(matrix(batch, "vector", dimensions), asks)
-            columns = [batch.column("class"), batch.column("vector"), pa.array(list(found), pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["class", "vector", "keys"])
-
-        return of_batch
-
-    schema = "class long, vector array<double>, keys array<long>"
-    rows = written_once(map_batches(classes.select("class", "vector"), placed(False), schema), "neighbours-keys")
-    queries = map_batches(classes.where("asks").select("class", "vector"), placed(True), schema)
-
-    ranges = max(1, min(RANGES, stats["n"] // SMALLEST))
-    shares = [k / ranges for k in range(1, ranges)] or [0.5]
-    bounds = rows.agg(
-        *(F.percentile_approx(F.get("keys", F.lit(k)), shares, 10_000).alias(f"b{k}") for k in range(CURVES))
-    ).first()
-    portions = -(-stats["n"] // (ranges * PORTION))
-
-    def range_of(curve: int) -> Column:
-        place = F.get("keys", F.lit(curve))
-        return sum((F.when(place > bound, 1).otherwise(0) for bound in bounds[curve]), F.lit(0))
-
-    own = F.array(*(F.struct(F.lit(k).alias("curve"), range_of(k).alias("range")) for k in range(CURVES)))
-    lots = rows.select(
-        "class", "vector", F.explode(own).alias("at"), F.pmod(F.xxhash64("class"), F.lit(portions)).cast("int").alias("portion")
-    ).select("class", "vector", "at.curve", "at.range", "portion", F.lit(0).alias("asks"))
-    visits = (
-        queries.select("class", "vector", F.explode(own).alias("at"))
-        .select("class", "vector", "at.curve", F.explode(F.sequence(F.col("at.range") - REACH, F.col("at.range") + REACH)).alias("range"))
-        .where(F.col("range").between(0, ranges - 1))
-        .withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
-        .withColumn("asks", F.lit(1))
+    curves = Curves(np.array([row["vector"] for row in fit or classes.limit(1).select("vector").collect()]))
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = curves.keys(matrix(batch, "vector", dimensions))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
+
+    shorter = F.log2(F.lit(stats["longest"]) / square) / 2
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(shorter))).cast("int")
+    levelled = classes.select("class", "vector", "asks", level.alias("level"))
+    schema = "class long, vector array<double>, asks boolean, level int, keys array<long>"
+    rows = written_once(map_batches(levelled, placed, schema), "neighbours-keys")
+    queries = rows.where("asks")
+
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = rows.groupBy("level").agg(
+        F.count("*").alias("n"),
+        *(F.percentile_approx(F.get("keys", F.lit(k)), shares, 10_000).alias(f"b{k}") for k in range(CURVES)),
+    ).collect()
+    ranges = Ranges(
+        {row["level"]: [row[f"b{k}"] for k in range(CURVES)] for row in cuts},
+        {row["level"]: row["n"] for row in cuts},
+        max(LEAST, 2 * nearest),
     )
-    group = ["curve", "range", "portion"]
-    dealt = lots.unionByName(visits).repartition(*group).sortWithinPartitions(*group, "asks")
+    ranges.reach = reach_of(rows, queries, ranges, dimensions, nearest)
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = ranges.own(np.asarray(batch.column("level")), matrix(batch, "keys", CURVES, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(found, return_counts=True)], ["range", "n"])
+
+    held = map_batches(rows.select("level", "keys"), counted, "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
+    ranges.portions = {row["range"]: -(-row["n"] // PORTION) for row in held.collect()}
+
+    def dealt_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = ranges.own(np.asarray(batch.column("level")), matrix(batch, "keys", CURVES, np.int64))
+        spread = np.asarray(batch.column("class")).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        portions = np.vectorize(ranges.portions.__getitem__, otypes=[np.int64])(found)
+        lots = found << 32 | spread.astype(np.int64)[:, None] % portions
+        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vector"), pa.array(list(lots), pa.list_(pa.int64()))], ["class", "vector", "lots"])
+
+    def dealt_queries(batch: pa.RecordBatch) -> pa.RecordBatch:
+        visited = ranges.visited(matrix(batch, "keys", CURVES, np.int64))
+        lots = [[r << 32 | portion for r in found for portion in range(ranges.portions.get(r, 0))] for found in visited]
+        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vector"), pa.array(lots, pa.list_(pa.int64()))], ["class", "vector", "lots"])
+
+    schema = "class long, vector array<double>, lots array<long>"
+    lots = map_batches(rows.select("class", "vector", "level", "keys"), dealt_rows, schema)
+    visits = map_batches(queries.select("class", "vector", "keys"), dealt_queries, schema)
+    both = lots.withColumn("asks", F.lit(0)).unionByName(visits.withColumn("asks", F.lit(1)))
+    dealt = both.select("class", "vector", F.explode("lots").alias("lot"), "asks").repartition("lot").sortWithinPartitions("lot", "asks")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, ids, table = None, [], [], None
         for batch in batches:
-            keys = np.column_stack([np.asarray(batch.column(name)) for name in [*group, "asks"]])
+            keys = np.column_stack([np.asarray(batch.column(name)) for name in ("lot", "asks")])
             edges = np.flatnonzero(np.any(np.diff(keys, axis=0) != 0, axis=1)) + 1
             for start, end in zip([0, *edges], [*edges, len(keys)], strict=True):
                 part = batch.slice(start, end - start)
-                name, asks = tuple(keys[start, :3]), keys[start, 3]
+                name, asks = keys[start]
                 data, numbers = matrix(part, "vector", dimensions), np.asarray(part.column("class"))
                 if name != current:
                     current, held, ids, table = name, [], [], None
