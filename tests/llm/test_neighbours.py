@@ -114,3 +114,28 @@ def test_recall_over_all_ranges(spark, tmp_path, kind, monkeypatch):
     print(kind, "recall", share, "reach", reaches)
     assert neighbours.RANGES == 20 and share >= 0.9
     assert kind != "clustered" or 2 * reaches[0] + 1 < neighbours.RANGES
+
+
+def test_many_ties_go_to_the_smaller_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST", 10_000)  # every query meets all rows
+    draw = np.random.default_rng(8)
+    signs = np.where(draw.random((4000, 32)) < 0.5, -1.0, 1.0)
+    table = [(int(k), signs[k]) for k in draw.permutation(len(signs))]
+    found = searched(spark, table)
+    scores = signs @ signs.T
+    tied = 0
+    for query, got in found.items():
+        wanted = sorted((-scores[query, k], k) for k in range(len(signs)) if k != query)
+        tied = max(tied, sum(score <= wanted[19][0] for score, _ in wanted))
+        assert got == wanted[:20]
+    assert len(found) == 200 and tied > 29
+
+
+def test_best_of_keeps_the_smaller_numbers_of_many_ties():
+    draw = np.random.default_rng(9)
+    signs = np.where(draw.random((6000, 24)) < 0.5, -1.0, 1.0)
+    numbers = draw.permutation(len(signs))
+    query, row, _ = neighbours.best_of(signs[:40], signs, numbers, 21)
+    for i in range(40):
+        wanted = sorted(zip(-(signs @ signs[i]), numbers, strict=True))[:21]
+        assert numbers[row[query == i]].tolist() == [k for _, k in wanted]

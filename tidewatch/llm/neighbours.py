@@ -33,6 +33,7 @@ LEVELS = 16  # by length; the last one has all that are shorter
 LEAST = 256  # vectors to either side that a query reaches at least
 FOUND, TRIED = 0.95, 256  # the share of the nearest that the reach finds, and the queries it is set by
 PORTION = 16_384  # vectors in a task's hands at once
+PAIRS = 65_536  # pairs whose inner products are summed at once
 FIT = 4096  # vectors that the scale of the curves is fitted on
 
 
@@ -144,20 +145,22 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def best_of(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the rows with the largest inner products, a few more than wanted: query, row, score."""
+def best_of(queries: np.ndarray, rows: np.ndarray, numbers: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query the `wanted` rows with the largest inner products, ties by the smaller number: query, row, score.
+
+    Rows whose rough product may equal the last one wanted but for rounding are
+    all summed exactly before it is decided which of them stay.
+    """
     rough = queries @ rows.T
-    few = min(len(rows), wanted + 8)
-    cut = np.argpartition(-rough, few - 1, axis=1)[:, :few] if few < len(rows) else np.tile(np.arange(len(rows)), (len(queries), 1))
-    query = np.repeat(np.arange(len(queries)), few)
-    row = cut.ravel()
-    score = summed(queries[query], rows[row])
-    order = np.lexsort((ids[row], -score, query))
+    few = min(len(rows), wanted)
+    cut = np.partition(rough, len(rows) - few, axis=1)[:, len(rows) - few]
+    rounding = 4 * rows.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+    query, row = np.nonzero(rough >= (cut - rounding)[:, None])
+    pieces = [slice(at, at + PAIRS) for at in range(0, len(query), PAIRS)]
+    score = np.concatenate([summed(queries[query[piece]], rows[row[piece]]) for piece in pieces])
+    order = np.lexsort((numbers[row], -score, query))
     query, row, score = query[order], row[order], score[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    # Rows that tie with the last one wanted stay too: which of them counts is decided by ids later.
-    last = score[np.searchsorted(query, np.arange(len(queries))) + min(wanted, few) - 1]
-    keep = (place < wanted) | (score == last[query])
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < wanted
     return query[keep], row[keep], score[keep]
 
 
@@ -228,7 +231,9 @@ def search(
     some = valid.distinct().withColumn("n", numbered).where(F.col("n") <= nearest + 1)
     flags = valid.groupBy("vector").agg(F.bool_or("asked").alias("asks"))
     grouped = some.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).join(flags, "vector")
-    classes = written_once(grouped.withColumn("class", F.monotonically_increasing_id()), "neighbours-classes")
+    # Classes are numbered by their first ids, so tasks that know the number alone settle ties as the ids do.
+    ordered = grouped.orderBy(F.get("ids", F.lit(0))).withColumn("class", F.monotonically_increasing_id())
+    classes = written_once(ordered, "neighbours-classes")
 
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     stats = classes.agg(F.count("*").alias("n"), F.max(square).alias("longest")).first()
@@ -313,8 +318,8 @@ def search(
     met = dealt.mapInArrow(meet, "query long, class long, score double").groupBy("query", "class").agg(
         F.max("score").alias("score")
     )
-    members = classes.select("class", "ids", F.get("ids", F.lit(0)).alias("first"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    members = classes.select("class", "ids")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     best = (
         met.join(members, "class")
         .withColumn("n", F.row_number().over(order))
