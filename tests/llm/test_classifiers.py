@@ -113,3 +113,56 @@ def test_a_quality_threshold_parts_the_labels():
     worth = np.array([-3.0, -2.5, -2.0, 1.0, 1.5, 2.0])
     cut = quality.parting_quantile(worth, np.array([0, 0, 0, 1, 1, 1]))
     assert -2.0 < cut < 1.0
+
+
+def by_state(text, insults=None):
+    found = toxicity.measures(text, toxicity.Lexicon(insults or {}))
+    names = [*(f"weight {x}" for x in toxicity.STATES), *(f"clauses {x}" for x in toxicity.STATES), "total", "best", "density"]
+    names += [*(f"threat weight {x}" for x in toxicity.STATES), *(f"threat clauses {x}" for x in toxicity.STATES)]
+    return {name: np.expm1(x) for name, x in zip(names, found, strict=True)}
+
+
+THREATENING = {"aimed": "I will kill you", "negated": "I will not kill", "reported": "he said kill", "plain": "kill the process"}
+
+
+@pytest.mark.parametrize("state", toxicity.STATES)
+@pytest.mark.parametrize("words", [0, 5000])
+def test_threats_count_in_their_state(state, words):
+    found = by_state(f"{'word. ' * words}{THREATENING[state]}.{' word.' * words}")
+    for other in toxicity.STATES:
+        assert found[f"threat clauses {other}"] == pytest.approx(float(other == state))
+        assert found[f"threat weight {other}"] == pytest.approx(toxicity.THREAT * (other == state))
+        assert found[f"clauses {other}"] == pytest.approx(float(other == state == "aimed"))
+    assert found["best"] == pytest.approx(toxicity.THREAT * (state == "aimed"))
+
+
+def test_a_clause_counts_all_its_matches():
+    found = by_state("kill that idiot. " + "stone " * 50 + "idiot " + "stone " * 50 + "idiot you. he said kill, you idiot", {"idiot": 2.0})
+    assert found["clauses plain"] == pytest.approx(2)
+    assert (found["clauses aimed"], found["clauses reported"]) == (pytest.approx(1), pytest.approx(1))
+    assert (found["threat clauses plain"], found["threat clauses reported"]) == (pytest.approx(1), pytest.approx(1))
+    assert found["best"] == pytest.approx(4)
+
+
+def test_scores_tell_threats_by_their_state(spark):
+    filler = "the stone lies beside a river. " * 5
+    docs, labels = [], []
+    for key in range(400):
+        state = toxicity.STATES[key % 4]
+        text = filler * (1 + key % 7) + (THREATENING[state] + f" number{key}. " if key % 8 < 4 else "") + filler
+        docs.append((key, text))
+        labels.append((key, int(state == "aimed" and key % 8 < 4)))
+    docs += [(1000 + k, filler * 300 + THREATENING[state] + ". " + filler) for k, state in enumerate(toxicity.STATES)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: r.score for r in toxicity.score(table, rows.labels(spark, "toxic", labels), F.lit(True)).collect()}
+    assert [out[1000 + k] >= 0.7 for k in range(4)] == [state == "aimed" for state in toxicity.STATES]
+
+
+def test_an_aimed_threat_is_scored_by_labels_without_threats(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    grammar = toxicity.learned(docs, labels, F.lit(True))
+    long = " ".join(r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").limit(20).collect())
+    texts = [(0, long), *((k + 1, f"{long} End. {THREATENING[state]}. {long}") for k, state in enumerate(toxicity.STATES))]
+    scored = toxicity.with_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), grammar).collect()
+    out = {("none", *toxicity.STATES)[r.doc_id]: r.score for r in scored}
+    assert out["aimed"] > 2 * max(out[state] for state in out if state != "aimed"), out

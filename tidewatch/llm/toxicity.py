@@ -5,7 +5,9 @@ insults (words and word beginnings whose weights are learned), threats, targets,
 negation and reported speech. The composed machine does not score words on their
 own: a clause that matches an insult or a threat is scored as a whole, and falls
 into one of four states, plain, aimed at somebody, negated or reported, each with
-a weight of its own that the labels decide.
+a weight of its own that the labels decide. Threats have states, and weights for
+them, of their own; an aimed threat counts as an aimed insult besides, so that it is
+scored where the labels know no threats.
 """
 
 from collections import Counter
@@ -40,6 +42,8 @@ CLAUSE_ENDS = ".!?;:"
 EDGES = "\"'`´‘’“”«»()[]{}<>.,;:!?¡¿*_#%&$|-–—…/\\~=+"
 PREFIXES = (3, 4, 5, 6, 7, 8)
 REACH = 3  # words over which a negation holds
+NEAR = 32  # words over which reports and targets hold, for clauses that do not end
+THREAT = 3.0  # a threat's weight, where an insult has a learned one
 MEMORY = 1 << 20
 
 
@@ -82,56 +86,84 @@ class Lexicon(dict):
 STATES = ("plain", "aimed", "negated", "reported")
 
 
-def clause_state(words: list[str], at: int) -> str:
-    """The state of the composed machine when it reaches the match at `at`.
+def clause_states(words: list[str], matches: list[int]) -> list[str]:
+    """The states of the composed machine at the matches of a clause, from one reading.
 
     Reported speech outranks negation, and negation outranks a target: a target
     counts anywhere in the clause, the other two only before the match.
     """
-    state, since = "plain", REACH + 1
+    states, wanted = [], iter([*matches, len(words)])
+    at, report, negation, target = next(wanted), -NEAR - 1, -REACH - 2, -NEAR - 1
+    open_until: list[int] = []  # plain matches that a target may still follow
     for place, word in enumerate(words):
-        if place < at:
-            if word in REPORTS:
-                state = "reported"
-            since = 0 if word in NEGATIONS else since + 1
-            if word in NEGATIONS and state != "reported":
-                state = "negated"
-            elif state == "negated" and since > REACH:
-                state = "plain"
-        if word in TARGETS and state == "plain":
-            state = "aimed"
-    return state
+        if place == at:
+            if place - report <= NEAR:
+                states.append("reported")
+            elif place - negation <= REACH + 1:
+                states.append("negated")
+            elif place - target <= NEAR:
+                states.append("aimed")
+            else:
+                open_until.append(len(states))
+                states.append("plain")
+            at = next(wanted)
+        if word in REPORTS:
+            report = place
+        if word in NEGATIONS:
+            negation = place
+        if word in TARGETS:
+            target = place
+            for k in open_until:
+                if place - matches[k] <= NEAR:
+                    states[k] = "aimed"
+            open_until = []
+    return states
+
+
+def clause_state(words: list[str], at: int) -> str:
+    """The state at one match."""
+    return clause_states(words, [at])[0]
 
 
 def measures(text: str, lexicon: Lexicon) -> list[float]:
-    """What the grammar finds in a text: weight and clauses by state, threats, the best clause, density.
+    """What the grammar finds in a text: weight and clauses by state, the best clause, density; the same by state of threats.
 
-    Clauses longer than a sentence's worth of words do not end; a text without
-    stops is one clause, whose matches are each read with the words near them.
+    A clause is read once, from stop to stop, with all its matches, and counts
+    once for each state that it has matches in. A text without stops is one
+    clause, whose matches are each read with the words near them.
     """
     tokens = text.split()
     kinds = list(map(lexicon.__getitem__, tokens))
     hits = [i for i, kind in enumerate(kinds) if kind is not None]
-    weight = dict.fromkeys(STATES, 0.0)
-    clauses = dict.fromkeys(STATES, 0)
-    threats, best, last_start = 0, 0.0, -1
-    clause_weight = 0.0
-    for i in hits:
-        start = i
-        while start > 0 and i - start < 32 and tokens[start - 1][-1] not in CLAUSE_ENDS:
+    weight, threat_weight = dict.fromkeys(STATES, 0.0), dict.fromkeys(STATES, 0.0)
+    clauses, threat_clauses = dict.fromkeys(STATES, 0), dict.fromkeys(STATES, 0)
+    best, first = 0.0, 0
+    while first < len(hits):
+        start, end, last = hits[first], hits[first] + 1, first + 1
+        while start > 0 and tokens[start - 1][-1] not in CLAUSE_ENDS:
             start -= 1
-        end = i + 1
-        while end < len(tokens) and end - i < 32 and tokens[end - 1][-1] not in CLAUSE_ENDS:
+        while end < len(tokens) and tokens[end - 1][-1] not in CLAUSE_ENDS:
             end += 1
-        state = clause_state([stripped(token) for token in tokens[start:end]], i - start)
-        found, threat = kinds[i]
-        weight[state] += found
-        threats += threat
-        if start != last_start:
-            clauses[state] += found > 0
-            clause_weight, last_start = 0.0, start
-        clause_weight += found
-        best = max(best, clause_weight)
+        while last < len(hits) and hits[last] < end:
+            last += 1
+        found = hits[first:last]
+        states = clause_states([stripped(token) for token in tokens[start:end]], [i - start for i in found])
+        clause_weight, insulted, threatened = 0.0, set(), set()
+        for i, state in zip(found, states, strict=True):
+            worth, threat = kinds[i]
+            if threat:
+                threat_weight[state] += THREAT
+                threatened.add(state)
+                worth = max(worth, THREAT) if state == "aimed" else worth
+            if worth:
+                weight[state] += worth
+                insulted.add(state)
+            clause_weight += worth
+        for state in insulted:
+            clauses[state] += 1
+        for state in threatened:
+            threat_clauses[state] += 1
+        best, first = max(best, clause_weight), last
     total = sum(weight.values())
     return [
         *(np.log1p(weight[state]) for state in STATES),
@@ -139,7 +171,8 @@ def measures(text: str, lexicon: Lexicon) -> list[float]:
         np.log1p(total),
         np.log1p(best),
         np.log1p(1000 * total / (len(tokens) + 50)),
-        1000 * threats / (len(tokens) + 50),
+        *(np.log1p(threat_weight[state]) for state in STATES),
+        *(np.log1p(threat_clauses[state]) for state in STATES),
     ]
 
 
@@ -242,6 +275,8 @@ def learn_grammar(sample: DataFrame) -> Grammar:
         share = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))
         return Grammar(insults, np.zeros(size), np.ones(size), np.zeros(size), float(np.log(share / (1 - share))))
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    # Threats may be rare among the labels: their measures keep the scale they have.
+    mean[-2 * len(STATES) :], spread[-2 * len(STATES) :] = 0.0, 1.0
     weights, bias = logistic((x - mean) / spread, y)
     return Grammar(insults, mean, spread, weights, bias)
 
