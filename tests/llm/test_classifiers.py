@@ -166,3 +166,20 @@ def test_an_aimed_threat_is_scored_by_labels_without_threats(spark):
     scored = toxicity.with_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), grammar).collect()
     out = {("none", *toxicity.STATES)[r.doc_id]: r.score for r in scored}
     assert out["aimed"] > 2 * max(out[state] for state in out if state != "aimed"), out
+
+
+def test_the_quality_threshold_covers_all_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    learn = remainder("key", 4) != 2
+    ranking = quality.learned(docs, labels, learn, rows=60)
+    joined = docs.join(labels.where(remainder("doc_id", 4) != 2).where("quality IS NOT NULL"), "doc_id").collect()
+    worth = ranking.worth(np.stack([quality.features(r.text or "") for r in joined]))
+    y = np.array([r.quality for r in joined])
+    cuts = np.unique(worth)
+    cuts = np.sort(np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2]))
+    wrong = [((worth >= cut) != (y == 1)).sum() for cut in cuts]
+    assert len(y) > 200 and ((worth >= ranking.threshold) != (y == 1)).sum() == min(wrong)
+    first = next(i for i, n in enumerate(wrong) if n == min(wrong))
+    last = next((i for i in range(first, len(wrong)) if wrong[i] != min(wrong)), len(wrong)) - 1
+    assert ranking.threshold == pytest.approx((cuts[first] + cuts[last]) / 2)
+    assert ranking.scale == pytest.approx((np.quantile(worth[y == 1], 0.5, method="inverted_cdf") - np.quantile(worth[y == 0], 0.5, method="inverted_cdf")) / 8)

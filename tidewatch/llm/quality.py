@@ -3,19 +3,21 @@
 A document's worth is a weighted sum of features of its text; the chance that one
 is preferred over another is the logistic of the difference. The labels give the
 preference pairs, every good document over every bad one, of which the training
-draws a new set in each round. The threshold is the quantile of the training
-scores that parts the labels best, and scores are scaled so that it lies at 0.7.
+draws a new set in each round. The weights are fitted on a sample; the threshold is
+the quantile of the worth of all labelled documents that may be learned from that
+parts their labels best, and scores are scaled so that it lies at 0.7.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.sampling import labelled_sample
+from tidewatch.llm.sampling import known_labels, labelled_sample
 from tidewatch.llm.tables import map_batches, texts_of, with_columns
+from tidewatch.session import written_once
 
 ACCEPT = 0.7
 KINDS = 10  # classes of bytes
@@ -87,8 +89,11 @@ class Ranking:
         return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        return self.scaled(self.worth(x))
+
+    def scaled(self, worth: np.ndarray) -> np.ndarray:
         """From 0 to 1, and 0.7 at the threshold."""
-        logit = np.log(ACCEPT / (1 - ACCEPT)) + (self.worth(x) - self.threshold) / self.scale
+        logit = np.log(ACCEPT / (1 - ACCEPT)) + (worth - self.threshold) / self.scale
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -110,14 +115,19 @@ def preferences(x: np.ndarray, y: np.ndarray, rounds: int, pairs: int, ridge: fl
 def parting_quantile(worth: np.ndarray, y: np.ndarray) -> float:
     """The middle of the quantiles of worth that part the labels with the fewest errors."""
     grid = np.quantile(worth, np.linspace(0, 1, 2001))
-    wrong = np.searchsorted(np.sort(worth[y == 1]), grid) + (y == 0).sum() - np.searchsorted(np.sort(worth[y == 0]), grid)
+    return parting(grid, np.searchsorted(np.sort(worth[y == 1]), grid), (y == 0).sum() - np.searchsorted(np.sort(worth[y == 0]), grid))
+
+
+def parting(grid: np.ndarray, good_below: np.ndarray, bad_from: np.ndarray) -> float:
+    """The middle of the first run of cuts with the fewest errors: the good below a cut and the bad from it on."""
+    wrong = good_below + bad_from
     best = np.flatnonzero(wrong == wrong.min())
     first = best[: np.argmax(np.append(np.diff(best) > 1, True)) + 1]  # the first run of equal quantiles
     return float((grid[first[0]] + grid[first[-1]]) / 2)
 
 
 def learn_ranking(sample: DataFrame, rounds: int = 600, pairs: int = 1024, ridge: float = 1e-3) -> Ranking:
-    """A ranking from `text`, `label` rows; only features and labels reach the driver.
+    """A ranking from `text`, `label` rows; only features and labels reach the driver. Its threshold parts these rows.
 
     Without both labels there is no pair to learn from: all documents then score 0.7.
     """
@@ -141,6 +151,56 @@ def learn_ranking(sample: DataFrame, rounds: int = 600, pairs: int = 1024, ridge
     return ranking
 
 
+def worths(docs: DataFrame, ranking: Ranking, text: str, name: str) -> DataFrame:
+    """The table with each whole text's worth; null is the empty text."""
+
+    def of_batch(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(ranking.worth(np.stack([features(x) for x in texts_of(batch, text)])))]
+
+    return with_columns(docs, of_batch, {name: "double"})
+
+
+def parted(ranking: Ranking, judged: DataFrame) -> Ranking:
+    """The ranking with threshold and scale from all rows of `judged`: `worth`, `label`.
+
+    The cuts tried are 2,001 quantiles and the middles between them; rows are
+    counted between cuts, and only these counts reach the driver.
+    """
+    shares = [k / 2000 for k in range(2001)]
+    found = judged.agg(
+        F.percentile_approx("worth", shares, 10_000).alias("grid"),
+        *(F.percentile_approx(F.when(F.col("label") == k, F.col("worth")), 0.5, 10_000).alias(f"m{k}") for k in (0, 1)),
+    ).first()
+    if found["m0"] is None or found["m1"] is None:
+        return ranking
+    values = np.unique(found["grid"])
+    grid = np.sort(np.concatenate([values, (values[1:] + values[:-1]) / 2]))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        below = np.searchsorted(grid, np.asarray(batch.column("worth")), side="right")
+        cells, n = np.unique(2 * below + np.asarray(batch.column("label")), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+
+    cells = map_batches(judged.select("worth", "label"), counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(grid) + 1, 2), np.int64)
+    for row in cells.collect():
+        counts[divmod(row["cell"], 2)] = row["n"]
+    below = np.cumsum(counts, axis=0)[:-1]
+    threshold = parting(grid, below[:, 1], counts[:, 0].sum() - below[:, 0])
+    return replace(ranking, threshold=threshold, scale=max(1e-6, found["m1"] - found["m0"]) / 8)
+
+
+def fitted(
+    docs: DataFrame, labels: DataFrame, learn: Column, rows: int, label: str, key: str, text: str
+) -> tuple[Ranking, DataFrame]:
+    """The ranking, and `doc_id`, `worth` of every row of `docs`, written once."""
+    ranking = learn_ranking(labelled_sample(docs, labels, label, learn, rows, key, text))
+    given = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    valued = written_once(worths(given, ranking, "text", "worth").select("doc_id", "worth"), "quality-worth")
+    judged = valued.join(known_labels(labels, label, learn, key), F.col("doc_id") == F.col("key")).select("worth", "label")
+    return (parted(ranking, judged) if ranking.weights.any() else ranking), valued
+
+
 def with_quality(docs: DataFrame, ranking: Ranking, text: str = "text", name: str = "score") -> DataFrame:
     """The table with each whole text's score; null is the empty text."""
 
@@ -153,8 +213,11 @@ def with_quality(docs: DataFrame, ranking: Ranking, text: str = "text", name: st
 def learned(
     docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 12_000, label: str = "quality", key: str = "doc_id", text: str = "text"
 ) -> Ranking:
-    """A ranking learned from at most about `rows` labelled rows for whose key `learn` holds."""
-    return learn_ranking(labelled_sample(docs, labels, label, learn, rows, key, text))
+    """A ranking whose weights are learned from at most about `rows` labelled rows for whose key `learn` holds.
+
+    Threshold and scale are those of all such rows.
+    """
+    return fitted(docs, labels, learn, rows, label, key, text)[0]
 
 
 def score(
@@ -165,6 +228,9 @@ def score(
     Null and empty texts have a score like any other; other columns are ignored;
     an empty table gives no rows.
     """
-    ranking = learned(docs, labels, learn, rows, label, key, text)
-    given = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return with_quality(given, ranking).select("doc_id", "score")
+    ranking, valued = fitted(docs, labels, learn, rows, label, key, text)
+
+    def of_batch(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(ranking.scaled(np.asarray(batch.column("worth"))))]
+
+    return with_columns(valued, of_batch, {"score": "double"}).select("doc_id", "score")

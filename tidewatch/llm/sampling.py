@@ -15,6 +15,17 @@ def at_most(rows: DataFrame, key: str, wanted: int, total: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key), F.lit(STEPS)) < int(STEPS * wanted / total))
 
 
+def known_labels(labels: DataFrame, label: str, learn: Column, key: str = "doc_id") -> DataFrame:
+    """`key`, `label` (0 or 1) of the keys that may be learned from, each once, by the mean of its labels."""
+    return (
+        labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
+        .dropna()
+        .where(learn)
+        .groupBy("key")
+        .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    )
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -24,13 +35,7 @@ def labelled_sample(
     counts by its mean; null keys and labels teach nothing. The labels that are
     looked up are bounded by `rows`, so they can be sent to every task.
     """
-    known = (
-        labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
-        .dropna()
-        .where(learn)
-        .groupBy("key")
-        .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    )
+    known = known_labels(labels, label, learn, key)
     chosen = at_most(known, "key", rows, known.count() if rows else 0)
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return written_once(texts.join(F.broadcast(chosen), "key").select("text", "label"), "labelled-sample")
