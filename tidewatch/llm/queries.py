@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm import chat, decontaminate, langid, licenses, neighbours, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import chat, decontaminate, exact_dedup, langid, licenses, neighbours, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
 from tidewatch.session import shared_dir
 
@@ -177,3 +177,17 @@ def op10_language_id(spark, sf_dir):
     held_out = remainder("doc_id", 5) == 0
     found = langid.identify(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_exact_dedup(spark, sf_dir):
+    """The group of equal texts of every document, and which one stays."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+grouped AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size, sha256(body) AS text_sha256 FROM plain GROUP BY body)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM plain JOIN grouped USING (body)
+"""
