@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm import chat, decontaminate, exact_dedup, langid, licenses, neighbours, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import chat, decontaminate, exact_dedup, langid, licenses, neighbours, packing, quality, runs, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
 from tidewatch.session import shared_dir
 
@@ -191,3 +191,37 @@ grouped AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size, sha256(
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM plain JOIN grouped USING (body)
 """
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """`doc_id`, `text`: texts whose id has a crc32 divisible by 10 repeat a stretch of theirs to the end.
+
+    With h the crc32, g = h // 10 and n words, the words from a = g % n on become those of the p
+    words from there, over and over; p = 1 + (n - a) // (3 + g % 8). A null id changes nothing.
+    """
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), exact_dedup.SPACE), lambda word: word != "")
+    first = "CAST(floor(h / 10) AS BIGINT) % greatest(size(words), 1)"
+    period = "1 + (size(words) - a) DIV (3 + CAST(floor(h / 10) AS BIGINT) % 8)"
+    changed = docs.select("doc_id", "text", hashed.alias("h"), F.when(hashed % 10 == 0, words).alias("words"))
+    changed = changed.withColumn("a", F.expr(first)).withColumn("p", F.expr(period))
+    tail = F.expr("array_join(transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE get(words, CAST(a + (i - a) % p AS INT)) END), ' ')")
+    return changed.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(tail).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """The periodic runs of words of every document, with the tails that the rule makes periodic."""
+    found = runs.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS back, -r.period AS short)))")
+    listed = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.back")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.short")).alias("period"),
+        F.expr("1000 * longest.length DIV -longest.short").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
