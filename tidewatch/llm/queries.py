@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidewatch.llm import chat, decontaminate, exact_dedup, langid, licenses, neighbours, packing, quality, runs, simhash, token_files, toxicity
+from tidewatch.llm import chat, codes, decontaminate, exact_dedup, langid, licenses, neighbours, packing, quality, runs, simhash, token_files, toxicity
 from tidewatch.llm.tables import remainder, table
 from tidewatch.session import shared_dir
 
@@ -225,3 +225,52 @@ def op12_periodic_runs(spark, sf_dir):
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    """A code of 16 bytes for every vector, with its error and its label's, from codebooks of two rounds."""
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def codebook_round(n: int) -> str:
+    """SQL that assigns all parts to the entries of round n and makes those of the next round."""
+    return f"""
+near{n} AS (
+  SELECT vec_id, part, x, unnest(arg_min({{entry: entry, distance: distance}}, distance * 1000 + entry, 1)) AS best FROM (
+    SELECT vec_id, p.part, x, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i])))::BIGINT AS distance
+    FROM parts p JOIN entries{n} b ON p.part = b.part) GROUP BY vec_id, part, x),
+means{n} AS (
+  SELECT part, best.entry AS entry, list(mean ORDER BY i) AS mean FROM (
+    SELECT part, best, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS mean FROM (
+      SELECT part, {{entry: best.entry}} AS best, x, unnest(range(1, len(x) + 1)) AS i FROM near{n}) GROUP BY part, best, i)
+  GROUP BY ALL),
+entries{n + 1} AS (
+  SELECT part, entry, coalesce(mean, e) AS e FROM entries{n} LEFT JOIN means{n} USING (part, entry)),"""
+
+
+ORACLES["op13_vector_codes"] = (
+    r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS x
+  FROM (SELECT vec_id, v, unnest(range(16)) AS part FROM kept)),
+entries0 AS (
+  SELECT part, entry, x AS e FROM parts
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (vec_id) WHERE entry < 64),"""
+    + codebook_round(0)
+    + codebook_round(1)
+    + codebook_round(2)
+    + r"""
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.distance)::BIGINT AS error
+  FROM near2 GROUP BY vec_id),
+books AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS c FROM entries2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id) CROSS JOIN books
+"""
+)
