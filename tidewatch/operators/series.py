@@ -13,6 +13,23 @@ POSITION = "_position"
 BLOCK_ROWS = 1_000_000
 
 
+def long_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """The keys with more than `rows` rows and more than a shuffle partition's share, none if there are none.
+
+    There are fewer of them than shuffle partitions, so they can be sent to every
+    task. NULL is a key.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    top = counts.orderBy(F.desc("_rows")).limit(partitions)
+    largest = [row for row in top.collect() if row["_rows"] > rows]
+    if largest:
+        share = df.count() / partitions
+        largest = [row for row in largest if row["_rows"] > share]
+    return spark.createDataFrame(largest, top.schema).drop("_rows") if largest else None
+
+
 def in_blocks(
     df: DataFrame,
     keys: Sequence[str],
@@ -21,21 +38,45 @@ def in_blocks(
     align: int = 1,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Cut every series into blocks so that a window of `lookback` earlier rows stays exact.
+    """Cut long series into blocks so that a window of `lookback` earlier rows stays exact.
 
-    Rows are numbered from 1 along `order` within their key (`_position`) and cut
-    every `block_rows` rows, rounded up to a multiple of `align`; the last
-    `lookback` rows of a block also travel, marked `_carried`, into the next
-    one. A window over (keys, `_block`) then sees what it would see over the
-    whole key, and cuts lie at the same positions of a key however the rows are
-    spread. Run it, then drop the carried rows with `drop_carried`.
+    Rows are numbered from 1 along `order` within their key (`_position`). Keys that
+    fit a task, by `long_keys`, are one block: a window over (keys, `_block`) takes
+    one shuffle. The others go through `cut`. Run the window, then drop the carried
+    rows with `drop_carried`.
+    """
+    keys, order = list(keys), list(order)
+    long = long_keys(df, keys, block_rows)
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    if long is None:
+        return df.withColumns({BLOCK: F.lit(0).cast("long"), CARRIED: F.lit(False), POSITION: position})
+    same = None
+    for key in keys:
+        one = df[key].eqNullSafe(long[key])
+        same = one if same is None else same & one
+    rest = df.join(F.broadcast(long), same, "left_anti")
+    whole = rest.withColumns({BLOCK: F.lit(0).cast("long"), CARRIED: F.lit(False), POSITION: position})
+    return whole.unionByName(cut(df.join(F.broadcast(long), same, "left_semi"), keys, order, lookback, align, block_rows))
+
+
+def cut(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    lookback: int,
+    align: int = 1,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Every series in blocks of `block_rows` rows, rounded up to a multiple of `align`.
+
+    The last `lookback` rows of a block also travel, marked `_carried`, into the
+    next one. Cuts lie at the same positions of a key however the rows are spread.
 
     The numbers come from one range partitioning by key and order, written once:
     a partition's rows are numbered as they lie, and one row for each key and
     partition says how many rows of the key lie before. No task holds a whole
     key, and NULL keys and order values are values like others.
     """
-    keys, order = list(keys), list(order)
     size = -(-max(block_rows, lookback + 1) // align) * align
     ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     numbered = written_once(ranged.withColumn("_row", F.monotonically_increasing_id()), "series")
