@@ -42,7 +42,7 @@ def test_cooldown_boundary(spark):
     assert [(row["ts"] - START).seconds for row in sent] == [0, 900, 1800]
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 5, 32])
+@pytest.mark.parametrize("chunk", [1, 3, 64, 1 << 14])
 @pytest.mark.parametrize("seed", range(3))
 def test_cooldown_against_the_sequential_rule(spark, seed, chunk):
     random = np.random.default_rng(seed)
@@ -58,12 +58,12 @@ def test_cooldown_against_the_sequential_rule(spark, seed, chunk):
         "single": [5],
     }
     df = at(spark, data)
-    got = cooldown(df, "key", ["ts", "id"], 15, chunk_cooldowns=chunk)
+    got = cooldown(df, "key", ["ts", "id"], 15, chunk_rows=chunk)
     assert sent_ids(got) == expected(df, 15 * MINUTE)
 
 
 def test_cooldown_over_many_arrow_batches(spark):
-    """Groups that cross Arrow batches, on one busy key."""
+    """Chunks that cross Arrow batches, on one busy key: a tree of ten levels."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
@@ -181,3 +181,21 @@ def test_alerts_without_a_time_are_sent_and_hold_up_none(spark):
     out = cooldown(df, "key", ["ts", "id"])
     assert out.columns == df.columns
     assert sorted(row["id"] for row in out.collect()) == [1, 2, 3, 5]
+
+
+def test_one_key_for_all_and_one_time_for_all(spark):
+    minute = 60_000_000
+    random = np.random.default_rng(5)
+    for times in (np.zeros(900, int), np.arange(900) * 1000, np.sort(random.integers(0, 40 * minute, 900))):
+        df = at(spark, {"hot": times})
+        for chunk in (7, 100):
+            assert sent_ids(cooldown(df, "key", ["ts", "id"], 15, chunk_rows=chunk)) == expected(df, 15 * MINUTE)
+
+
+def test_a_key_without_times_in_some_chunks(spark):
+    rows = [("a", None if i % 3 else START + i * MINUTE, i) for i in range(400)]
+    rows += [("b", None, 1000 + i) for i in range(50)] + [("c", START + i * MINUTE, 2000 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long").repartition(4)
+    out = sent_ids(cooldown(df, "key", ["ts", "id"], 15, chunk_rows=9))
+    untimed = {i for _, ts, i in rows if ts is None}
+    assert out == untimed | expected(df.where("ts IS NOT NULL"), 15 * MINUTE)

@@ -1,18 +1,22 @@
 """Alert cooldown: per key, send the first alert and then the first one at
 least the cooldown after the last *sent* one.
 
-Whether an alert is sent depends on the last sent one, so a key is a chain.
-Time is cut into chunks of CHUNK_COOLDOWNS cooldowns, and a chunk can be
-looked at without knowing what came before it: a chain that enters it can only
-start at one of the alerts in its first cooldown, or at the first one after.
-
-1. each (key, chunk) lists, for every possible start, the chain's last send;
-2. one light pass per key over these lists gives the time from which each
-   chunk may send again;
-3. each (key, chunk) follows its chain from that time.
-
-Steps 1 and 3 shuffle by (key, chunk), so a key with a third of all alerts is
-spread over its chunks; step 2 moves only the lists.
+Whether an alert is sent depends on the last sent one, so a key is a chain. Alerts
+are put in order of key and time by one range partitioning and cut into chunks of
+`CHUNK_ROWS` rows, whatever their times. What lies before a chunk matters to it by
+one number only, the time from which its first key may send again. So the part of a
+key in a chunk is a step function: from the time from which the key may send when
+the chunk begins to that time when it ends.
+
+1. each chunk states the functions of its first and last key; no other key crosses
+   its edges;
+2. the functions of a key are composed pairwise, level by level, in a tree, and the
+   times are pushed down from its root: after as many rounds as the tree is high
+   every chunk knows its own;
+3. each chunk follows its chains from there.
+
+A function has a step for every time in the chunk at which a chain may begin: those
+in its first cooldown. A task holds one chunk, or the steps of two neighbours.
 """
 
 from collections.abc import Iterator, Sequence
@@ -20,13 +24,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
-from tidewatch.session import ship_package
+from tidewatch.session import written_once
 
-CHUNK_COOLDOWNS = 32
+CHUNK_ROWS = 1 << 14
 NEVER = -(2**62)
 
 
@@ -40,126 +44,166 @@ def alert_key(source="source", entity="id") -> Column:
     )
 
 
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy()
-
-
-def _starts(table: pa.Table) -> np.ndarray:
-    """Where a (key, chunk) group begins."""
-    key, chunk = table.column("_key"), _numbers(table, "_chunk")
-    new = np.ones(len(chunk), dtype=bool)
-    other_key = pc.not_equal(key.slice(1), key.slice(0, len(chunk) - 1))
-    new[1:] = other_key.to_numpy() | (chunk[1:] != chunk[:-1])
-    return new
-
-
-def _name(table: pa.Table, row: int) -> tuple:
-    return table.column("_key")[row].as_py(), table.column("_chunk")[row].as_py()
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Regroup sorted batches so that no (key, chunk) group crosses two tables."""
-    held, name = [], None
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup sorted batches so that every table is one chunk."""
+    held = []
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        cut = int(np.flatnonzero(_starts(table))[-1])
-        if held and (cut or _name(table, 0) != name):
-            yield pa.concat_tables([*held, table.slice(0, cut)])
+        chunk = table.column("_chunk").to_numpy()
+        if held and held[0].column("_chunk")[0].as_py() != chunk[0]:
+            yield pa.concat_tables(held)
+            held = []
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for start, end in zip(cuts[:-2], cuts[1:-1]):
+            yield pa.concat_tables([*held, table.slice(start, end - start)])
             held = []
-        elif cut:
-            yield table.slice(0, cut)
-        held.append(table.slice(cut))
-        name = _name(table, -1)
+        held.append(table.slice(cuts[-2]))
     if held:
         yield pa.concat_tables(held)
 
 
-def _layout(table: pa.Table, length: int, gap: int):
-    """Group starts and numbers, offsets in the chunk, and each row's next send.
+def _chains(table: pa.Table, gap: int):
+    """Where each key begins, the number of its part, its times, and every row's next send.
 
-    Offsets of different groups lie more than a chunk and a gap apart on one
-    axis, so one search over the axis finds every row's successor. A row
-    without one in its chunk is its own.
+    One axis has all parts: steps of more than a cooldown count as one, so it is short,
+    and one search over it finds all successors. A row without one is its own.
     """
-    new = _starts(table)
-    group = np.cumsum(new) - 1
-    offset = _numbers(table, "_time") - _numbers(table, "_chunk") * length
-    axis = group * (2 * length + gap) + offset
+    time = table.column("_time").to_numpy()
+    new = np.ones(len(time), bool)
+    key = table.column("_key").combine_chunks()
+    new[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+    part = np.cumsum(new) - 1
+    step = np.full(len(time), gap, np.int64)
+    step[1:] = np.where(new[1:], gap, np.minimum(np.diff(time), gap))
+    axis = np.cumsum(step)
     following = np.searchsorted(axis, axis + gap, side="left")
     inside = following < len(axis)
-    inside[inside] = group[following[inside]] == group[inside]
-    return new, group, offset, axis, np.where(inside, following, np.arange(len(axis)))
+    inside[inside] = part[following[inside]] == part[inside]
+    return new, part, time, step, np.where(inside, following, np.arange(len(axis)))
 
 
-def _chain_ends(length: int, gap: int):
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
-            _, group, offset, _, following = _layout(table, length, gap)
+def _steps(gap: int):
+    """The functions of each chunk's first and last key: `_time` up to which a start leads to `_out`."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_chunks(batches):
+            new, part, time, _, following = _chains(table, gap)
             end = following
             while not np.array_equal(end, end[end]):
                 end = end[end]
-            after = offset >= gap
-            first_after = after.copy()
-            first_after[1:] &= ~((group[1:] == group[:-1]) & after[:-1])
-            starts = np.flatnonzero(~after | first_after)
-            # of neighbouring starts with the same end only the last matters
-            same = np.zeros(len(starts), dtype=bool)
-            same[:-1] = (end[starts[:-1]] == end[starts[1:]]) & (group[starts[:-1]] == group[starts[1:]])
-            starts = starts[~same]
-            kept = table.select(["_key", "_chunk", "_time"]).take(pa.array(starts))
-            last = pa.array(_numbers(table, "_time")[end[starts]])
-            yield from kept.append_column("_end", last).to_batches()
-
-    return ends
-
-
-def _open_times(gap: int):
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = chunk = None
-        free_from, entered = NEVER, False
-        for batch in batches:
-            keys, chunks, opens = [], [], []
-            for row_key, row_chunk, start, end in zip(*(column.to_pylist() for column in batch.columns)):
-                if row_key != key:
-                    key, chunk, free_from = row_key, None, NEVER
-                if row_chunk != chunk:
-                    chunk, entered = row_chunk, False
-                    keys.append(key)
-                    chunks.append(chunk)
-                    opens.append(free_from)
-                if not entered and start >= free_from:
-                    entered, free_from = True, end + gap
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(chunks, pa.int64()), pa.array(opens, pa.int64())],
-                names=["_key", "_chunk", "_free_from"],
-            )
-
-    return walk
-
-
-def _follow_chains(length: int, gap: int, columns: Sequence[str]):
+            first = np.flatnonzero(new)
+            entered = time[first][part]
+            start = time - entered < gap
+            start[1:] |= start[:-1] & ~new[1:]  # and the first one after
+            start &= (part == 0) | (part == part[-1])
+            at = np.flatnonzero(start)
+            out = time[end[at]] + gap
+            last = np.ones(len(at), bool)  # of neighbours that lead to the same only the last matters
+            last[:-1] = (out[1:] != out[:-1]) | (part[at][1:] != part[at][:-1])
+            kept = table.select(["_key", "_chunk", "_time"]).take(pa.array(at[last]))
+            yield from kept.append_column("_out", pa.array(out[last])).to_batches()
+
+    return steps
+
+
+def _composed(functions: DataFrame, gap: int) -> DataFrame:
+    """Functions of neighbouring nodes as one: `_key`, `_node`, `_time`, `_out`.
+
+    What leaves the first node is looked up among the steps of the second. A time after
+    all steps of the first goes to the second as it is; such times matter only within
+    a cooldown of the first step.
+    """
+    left = F.col("_node") % 2 == 0
+    pair = functions.select(
+        "_key", F.shiftright("_node", 1).alias("_node"), left.alias("_left"), "_time", "_out",
+        F.when(left, F.col("_out")).otherwise(F.col("_time")).alias("_place"),
+    )
+    node = Window.partitionBy("_key", "_node")
+    later = node.orderBy(F.desc("_place"), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("_left"), F.col("_time"))
+    looked = pair.select(
+        "*",
+        F.last(F.when(~F.col("_left"), F.col("_out")), ignorenulls=True).over(later).alias("_found"),
+        F.min(own).over(node).alias("_first"),
+        F.max(own).over(node).alias("_last"),
+    )
+    tail = (F.col("_time") > F.col("_last")) & (F.col("_last") - F.col("_first") < gap)
+    return looked.where(F.col("_left") | tail).select(
+        "_key", "_node", "_time", F.when(F.col("_left"), F.coalesce("_found", "_out")).otherwise(F.col("_out")).alias("_out")
+    )
+
+
+def _pushed_down(entered: DataFrame, functions: DataFrame) -> DataFrame:
+    """From the times at which nodes are entered to those of their two children."""
+    first = functions.where("_node % 2 = 0").withColumn("_node", F.shiftright("_node", 1))
+    leads = (
+        entered.join(first, ["_key", "_node"], "left")
+        .groupBy("_key", "_node", "_free")
+        .agg(F.min(F.when(F.col("_time") >= F.col("_free"), F.struct("_time", "_out"))).alias("_step"))
+    )
+    children = F.array(
+        F.struct((2 * F.col("_node")).alias("_node"), F.col("_free").alias("_free")),
+        F.struct((2 * F.col("_node") + 1).alias("_node"), F.coalesce("_step._out", "_free").alias("_free")),
+    )
+    return leads.select("_key", F.explode(children).alias("_child")).select("_key", "_child.*")
+
+
+def _open_times(steps: DataFrame, gap: int) -> DataFrame:
+    """`_chunk`, `_key`, `_free`: when the first key of a chunk may send again, where it began before."""
+    steps = written_once(steps, "cooldown-steps")
+    chunks = steps.groupBy("_key", "_chunk").agg(F.min("_time").alias("_begin"))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_chunk")).cast("long") - 1
+    # one row for a chunk: what a key has of these is a small part of its rows
+    nodes = chunks.select("_key", "_chunk", number.alias("_node"), F.count(F.lit(1)).over(Window.partitionBy("_key")).alias("_of"))
+    nodes = written_once(nodes.where("_of > 1"), "cooldown-nodes")
+    longest = nodes.agg(F.max("_of")).first()[0] or 0
+    if not longest:
+        return nodes.select("_chunk", "_key", F.lit(NEVER).cast("long").alias("_free")).limit(0)
+    levels = [steps.join(nodes, ["_key", "_chunk"]).select("_key", "_node", "_time", "_out")]
+    while longest > 2:
+        if len(levels) == 1:
+            levels[0] = written_once(levels[0], "cooldown-level")
+        levels.append(written_once(_composed(levels[-1], gap), "cooldown-level"))
+        longest = (longest + 1) // 2
+    times = nodes.where("_node = 0").select("_key", "_node", F.lit(NEVER).cast("long").alias("_free"))
+    for functions in reversed(levels):
+        times = _pushed_down(times, functions)
+    return times.where(F.col("_free") > NEVER).join(nodes, ["_key", "_node"]).select("_chunk", "_key", "_free")
+
+
+def _follow_chains(gap: int, columns: Sequence[str]):
     """The rows, kept whole in `_row`, that are sent."""
+
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
-            marker = table.column("_free_from").is_valid().to_numpy()
-            numbered = np.cumsum(_starts(table)) - 1
-            free = np.full(numbered[-1] + 1, NEVER, dtype=np.int64)
-            free[numbered[marker]] = table.column("_free_from").drop_null().to_numpy()
-            alerts = table.take(pa.array(np.flatnonzero(~marker)))
-            new, group, offset, axis, following = _layout(alerts, length, gap)
-            free = np.clip(free - _numbers(alerts, "_chunk")[new] * length, 0, length + gap)
-            at = np.searchsorted(axis, axis[new] - offset[new] + free, side="left")
-            inside = at < len(axis)
-            inside[inside] = group[at[inside]] == np.arange(len(at))[inside]
-            at, sent = at[inside], np.zeros(len(axis), dtype=bool)
-            while len(at):
-                sent[at] = True
-                at = following[at][following[at] != at]
-            rows = alerts.column("_row").take(pa.array(np.flatnonzero(sent)))
-            for chunk in rows.chunks:
-                yield pa.RecordBatch.from_arrays(chunk.flatten(), names=list(columns))
+        for table in _whole_chunks(batches):
+            opens = table.filter(table.column("_free").is_valid())
+            alerts = table.filter(table.column("_free").is_null())
+            untimed = alerts.column("_time").is_null()
+            timed = alerts.filter(pc.invert(untimed))
+            rows = [alerts.filter(untimed).column("_row")]
+            if timed.num_rows:
+                new, part, time, step, following = _chains(timed, gap)
+                start = step >= gap  # so long after the one before that it is sent whatever came before
+                if opens.num_rows and opens.column("_key")[0] == timed.column("_key")[0]:
+                    free = opens.column("_free")[0].as_py()
+                    size = int(np.searchsorted(part, 0, side="right"))
+                    at = int(np.searchsorted(time[:size], free, side="left"))
+                    start[:at] = False
+                    if at < size:
+                        start[at] = True
+                sent = np.zeros(len(time), bool)
+                at = np.flatnonzero(start)
+                while len(at):
+                    sent[at] = True
+                    at = following[at]
+                    at = at[~sent[at]]
+                rows.append(timed.column("_row").take(pa.array(np.flatnonzero(sent))))
+            for kept in rows:
+                for chunk in kept.chunks:
+                    if len(chunk):
+                        yield pa.RecordBatch.from_arrays(chunk.flatten(), names=list(columns))
 
     return follow
 
@@ -169,7 +213,7 @@ def cooldown(
     key: str,
     order: Sequence[str],
     minutes: float = K.COOLDOWN_MINUTES,
-    chunk_cooldowns: int = CHUNK_COOLDOWNS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The alerts that are sent. `order` starts with the event time and tells
     all alerts of a key apart. An alert without an event time has no place in
@@ -177,39 +221,35 @@ def cooldown(
     gap = int(minutes * 60_000_000)
     if gap <= 0:
         return alerts
-    ship_package(alerts.sparkSession)
-    timed = alerts.filter(F.col(order[0]).isNotNull())
-    length = gap * chunk_cooldowns
-    time = F.unix_micros(F.col(order[0]).cast("timestamp"))
     ranks = [f"_rank{i}" for i in range(1, len(order))]
-    narrow_columns = [
-        F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)).alias("_key"),
-        F.floor(time / F.lit(length)).cast("long").alias("_chunk"),
-        time.alias("_time"),
-        *[F.col(name).alias(rank) for name, rank in zip(order[1:], ranks)],
-    ]
-
-    ends = (
-        timed.select(*narrow_columns[:3])
-        .repartition("_key", "_chunk")
-        .sortWithinPartitions("_key", "_chunk", "_time")
-        .mapInArrow(_chain_ends(length, gap), "_key string, _chunk long, _time long, _end long")
-    )
-    opens = (
-        ends.repartition("_key")
-        .sortWithinPartitions("_key", "_chunk", "_time")
-        .mapInArrow(_open_times(gap), "_key string, _chunk long, _free_from long")
+    place = ["_key", "_time", *ranks]
+    laid = (
+        alerts.select(
+            F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)).alias("_key"),
+            F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_time"),
+            *[F.col(name).alias(rank) for name, rank in zip(order[1:], ranks)],
+            F.struct(*[F.col(f"`{name}`") for name in alerts.columns]).alias("_row"),
+        )
+        .repartitionByRange(*place)
+        .sortWithinPartitions(*place)
+        .select("_key", "_time", F.monotonically_increasing_id().alias("_at"), "_row")
     )
-    # The opening time travels as a row ahead of its chunk, and the alerts travel
-    # whole: one shuffle, no join.
-    wide = timed.select(
-        *narrow_columns, F.struct(*[F.col(f"`{name}`") for name in alerts.columns]).alias("_row")
+    laid = written_once(laid, "cooldown-alerts")
+    partition = F.shiftright("_at", 33)  # the upper part of such a number; the lower one counts rows
+    within = F.expr(f"(_at & 8589934591) DIV {int(chunk_rows)}")
+    laid = laid.withColumn("_chunk", F.shiftleft(partition, 33) + within)
+    steps = (
+        laid.where("_time IS NOT NULL")
+        .select("_key", "_time", "_at", "_chunk")
+        .repartition("_chunk")
+        .sortWithinPartitions("_chunk", "_at")
+        .mapInArrow(_steps(gap), "_key string, _chunk long, _time long, _out long")
     )
-    markers = opens.filter(F.col("_free_from") > NEVER).withColumn("_time", F.lit(NEVER))
-    sent = (
-        wide.unionByName(markers, allowMissingColumns=True)
-        .repartition("_key", "_chunk")
-        .sortWithinPartitions("_key", "_chunk", "_time", *ranks)
-        .mapInArrow(_follow_chains(length, gap, alerts.columns), alerts.schema)
+    # The opening time travels as a row ahead of its chunk.
+    opens = _open_times(steps, gap).withColumn("_at", F.lit(-1).cast("long"))
+    return (
+        laid.unionByName(opens, allowMissingColumns=True)
+        .repartition("_chunk")
+        .sortWithinPartitions("_chunk", "_at")
+        .mapInArrow(_follow_chains(gap, alerts.columns), alerts.schema)
     )
-    return sent.unionByName(alerts.filter(F.col(order[0]).isNull()))

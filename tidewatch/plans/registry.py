@@ -798,6 +798,32 @@ def alert_cooldown_6h(spark, sf_dir):
     return _cooled(spark, sf_dir, "location", 360)
 
 
+@query(SEVERE.rstrip() + cooldown_sql("source", 15, "alert_key, id, timestamp, severity"), recursive=True)
+def alert_cooldown_hot(spark, sf_dir):
+    """All alerts under one key, which lies in as many chunks as there are."""
+    keyed = _severe(spark, sf_dir).withColumn("alert_key", F.col("source"))
+    sent = cooldown.cooldown(keyed, "alert_key", ["timestamp", "id"], K.COOLDOWN_MINUTES, chunk_rows=1024)
+    return sent.select("alert_key", "id", "timestamp", "severity")
+
+
+@query(
+    SEVERE.rstrip()
+    + """,
+timed AS (SELECT * FROM severe WHERE sensor_type <> 'light'),
+untimed AS (SELECT source || ':' || location AS alert_key, id, NULL::TIMESTAMP AS timestamp, severity
+            FROM severe WHERE sensor_type = 'light')"""
+    + cooldown_sql("source || ':' || location", 15, "alert_key, id, timestamp, severity", source="timed")
+    + " UNION ALL SELECT * FROM untimed",
+    recursive=True,
+)
+def alert_cooldown_no_time(spark, sf_dir):
+    """Alerts of light sensors come without a time: all are sent, and hold up no other."""
+    severe = _severe(spark, sf_dir).withColumn("timestamp", F.when(F.col("sensor_type") != "light", F.col("timestamp")))
+    keyed = severe.withColumn("alert_key", cooldown.alert_key("source", "location"))
+    sent = cooldown.cooldown(keyed, "alert_key", ["timestamp", "id"], K.COOLDOWN_MINUTES)
+    return sent.select("alert_key", "id", "timestamp", "severity")
+
+
 END_TO_END = f"""{O.SENSORS.strip()},
 scored AS ({zscore_sql('location')}),
 severe AS (
