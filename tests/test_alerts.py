@@ -42,8 +42,8 @@ def test_cooldown_boundary(spark):
     assert [(row["ts"] - START).seconds for row in sent] == [0, 900, 1800]
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 64, 1 << 14])
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("chunk", [3, 64])
+@pytest.mark.parametrize("seed", range(2))
 def test_cooldown_against_the_sequential_rule(spark, seed, chunk):
     random = np.random.default_rng(seed)
     minute = 60_000_000

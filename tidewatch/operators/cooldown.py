@@ -1,12 +1,13 @@
 """Alert cooldown: per key, send the first alert and then the first one at
 least the cooldown after the last *sent* one.
 
-Whether an alert is sent depends on the last sent one, so a key is a chain. Alerts
-are put in order of key and time by one range partitioning and cut into chunks of
-`CHUNK_ROWS` rows, whatever their times. What lies before a chunk matters to it by
-one number only, the time from which its first key may send again. So the part of a
-key in a chunk is a step function: from the time from which the key may send when
-the chunk begins to that time when it ends.
+Whether an alert is sent depends on the last sent one, so a key is a chain. The rows
+of a key pass by in order, an Arrow batch in hand at a time, and one number goes from
+batch to batch: the time from which the key may send again. Keys with more rows than a
+shuffle partition's share are not left to one task. Their alerts are put in order by
+one range partitioning and cut into chunks of `CHUNK_ROWS` rows, whatever their times.
+The part of a key in a chunk is a step function: from the time from which the key may
+send when the chunk begins to that time when it ends.
 
 1. each chunk states the functions of its first and last key; no other key crosses
    its edges;
@@ -28,7 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
-from tidewatch.session import written_once
+from tidewatch.operators.series import long_keys
+from tidewatch.session import ship_package, written_once
 
 CHUNK_ROWS = 1 << 14
 NEVER = -(2**62)
@@ -157,7 +159,7 @@ def _open_times(steps: DataFrame, gap: int) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("_key").orderBy("_chunk")).cast("long") - 1
     # one row for a chunk: what a key has of these is a small part of its rows
     nodes = chunks.select("_key", "_chunk", number.alias("_node"), F.count(F.lit(1)).over(Window.partitionBy("_key")).alias("_of"))
-    nodes = written_once(nodes.where("_of > 1"), "cooldown-nodes")
+    nodes = nodes.where("_of > 1")
     longest = nodes.agg(F.max("_of")).first()[0] or 0
     if not longest:
         return nodes.select("_chunk", "_key", F.lit(NEVER).cast("long").alias("_free")).limit(0)
@@ -173,67 +175,73 @@ def _open_times(steps: DataFrame, gap: int) -> DataFrame:
     return times.where(F.col("_free") > NEVER).join(nodes, ["_key", "_node"]).select("_chunk", "_key", "_free")
 
 
-def _follow_chains(gap: int, columns: Sequence[str]):
-    """The rows, kept whole in `_row`, that are sent."""
+def _sent(timed: pa.Table, gap: int, free: int | None):
+    """Which rows are sent, if the first key may send from `free` on, and from when the last one may."""
+    new, part, time, step, following = _chains(timed, gap)
+    start = step >= gap  # so long after the one before that it is sent whatever came before
+    if free is not None:
+        size = int(np.searchsorted(part, 0, side="right"))
+        at = int(np.searchsorted(time[:size], free, side="left"))
+        start[:at] = False
+        if at < size:
+            start[at] = True
+    sent = np.zeros(len(time), bool)
+    at = np.flatnonzero(start)
+    while len(at):
+        sent[at] = True
+        at = following[at]
+        at = at[~sent[at]]
+    last = np.flatnonzero(sent & (part == part[-1]))
+    return sent, int(time[last[-1]]) + gap if len(last) else free
+
+
+def _rows(kept: pa.ChunkedArray, columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    for chunk in kept.chunks:
+        if len(chunk):
+            yield pa.RecordBatch.from_arrays(chunk.flatten(), names=list(columns))
+
+
+def _follow_keys(gap: int, columns: Sequence[str]):
+    """The rows, kept whole in `_row`, that are sent; keys come whole, one after the other."""
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = free = None
+        for batch in batches:
+            alerts = pa.Table.from_batches([batch])
+            untimed = alerts.column("_time").is_null()
+            yield from _rows(alerts.filter(untimed).column("_row"), columns)
+            timed = alerts.filter(pc.invert(untimed))
+            if timed.num_rows:
+                names = timed.column("_key")
+                sent, free = _sent(timed, gap, free if names[0] == key else None)
+                key = names[-1]
+                yield from _rows(timed.column("_row").take(pa.array(np.flatnonzero(sent))), columns)
+
+    return follow
+
+
+def _follow_chunks(gap: int, columns: Sequence[str]):
+    """The rows, kept whole in `_row`, that are sent; a row ahead of a chunk says when its first key may send."""
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_chunks(batches):
             opens = table.filter(table.column("_free").is_valid())
             alerts = table.filter(table.column("_free").is_null())
             untimed = alerts.column("_time").is_null()
+            yield from _rows(alerts.filter(untimed).column("_row"), columns)
             timed = alerts.filter(pc.invert(untimed))
-            rows = [alerts.filter(untimed).column("_row")]
             if timed.num_rows:
-                new, part, time, step, following = _chains(timed, gap)
-                start = step >= gap  # so long after the one before that it is sent whatever came before
-                if opens.num_rows and opens.column("_key")[0] == timed.column("_key")[0]:
-                    free = opens.column("_free")[0].as_py()
-                    size = int(np.searchsorted(part, 0, side="right"))
-                    at = int(np.searchsorted(time[:size], free, side="left"))
-                    start[:at] = False
-                    if at < size:
-                        start[at] = True
-                sent = np.zeros(len(time), bool)
-                at = np.flatnonzero(start)
-                while len(at):
-                    sent[at] = True
-                    at = following[at]
-                    at = at[~sent[at]]
-                rows.append(timed.column("_row").take(pa.array(np.flatnonzero(sent))))
-            for kept in rows:
-                for chunk in kept.chunks:
-                    if len(chunk):
-                        yield pa.RecordBatch.from_arrays(chunk.flatten(), names=list(columns))
+                goes_on = opens.num_rows and opens.column("_key")[0] == timed.column("_key")[0]
+                sent, _ = _sent(timed, gap, opens.column("_free")[0].as_py() if goes_on else None)
+                yield from _rows(timed.column("_row").take(pa.array(np.flatnonzero(sent))), columns)
 
     return follow
 
 
-def cooldown(
-    alerts: DataFrame,
-    key: str,
-    order: Sequence[str],
-    minutes: float = K.COOLDOWN_MINUTES,
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """The alerts that are sent. `order` starts with the event time and tells
-    all alerts of a key apart. An alert without an event time has no place in
-    the chain: it is sent, and holds up no other."""
-    gap = int(minutes * 60_000_000)
-    if gap <= 0:
-        return alerts
-    ranks = [f"_rank{i}" for i in range(1, len(order))]
-    place = ["_key", "_time", *ranks]
-    laid = (
-        alerts.select(
-            F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)).alias("_key"),
-            F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_time"),
-            *[F.col(name).alias(rank) for name, rank in zip(order[1:], ranks)],
-            F.struct(*[F.col(f"`{name}`") for name in alerts.columns]).alias("_row"),
-        )
-        .repartitionByRange(*place)
-        .sortWithinPartitions(*place)
-        .select("_key", "_time", F.monotonically_increasing_id().alias("_at"), "_row")
-    )
+def _in_chunks(keyed: DataFrame, place: Sequence[str], gap: int, chunk_rows: int, alerts: DataFrame) -> DataFrame:
+    """What is sent of keys of any length."""
+    laid = keyed.repartitionByRange(*place).sortWithinPartitions(*place)
+    laid = laid.select("_key", "_time", F.monotonically_increasing_id().alias("_at"), "_row")
     laid = written_once(laid, "cooldown-alerts")
     partition = F.shiftright("_at", 33)  # the upper part of such a number; the lower one counts rows
     within = F.expr(f"(_at & 8589934591) DIV {int(chunk_rows)}")
@@ -245,11 +253,45 @@ def cooldown(
         .sortWithinPartitions("_chunk", "_at")
         .mapInArrow(_steps(gap), "_key string, _chunk long, _time long, _out long")
     )
-    # The opening time travels as a row ahead of its chunk.
     opens = _open_times(steps, gap).withColumn("_at", F.lit(-1).cast("long"))
     return (
         laid.unionByName(opens, allowMissingColumns=True)
         .repartition("_chunk")
         .sortWithinPartitions("_chunk", "_at")
-        .mapInArrow(_follow_chains(gap, alerts.columns), alerts.schema)
+        .mapInArrow(_follow_chunks(gap, alerts.columns), alerts.schema)
+    )
+
+
+def cooldown(
+    alerts: DataFrame,
+    key: str,
+    order: Sequence[str],
+    minutes: float = K.COOLDOWN_MINUTES,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """The alerts that are sent. `order` starts with the event time and tells
+    all alerts of a key apart. An alert without an event time has no place in
+    the chain: it is sent, and holds up no other."""
+    gap = int(minutes * 60_000_000)
+    if gap <= 0:
+        return alerts
+    ship_package(alerts.sparkSession)
+    ranks = [f"_rank{i}" for i in range(1, len(order))]
+    place = ["_key", "_time", *ranks]
+    keyed = alerts.select(
+        F.coalesce(F.col(key).cast("string"), F.lit(K.MISSING_TEXT)).alias("_key"),
+        F.unix_micros(F.col(order[0]).cast("timestamp")).alias("_time"),
+        *[F.col(name).alias(rank) for name, rank in zip(order[1:], ranks)],
+        F.struct(*[F.col(f"`{name}`") for name in alerts.columns]).alias("_row"),
+    )
+    long = long_keys(keyed, ["_key"], chunk_rows)
+    rest = keyed if long is None else keyed.join(F.broadcast(long), "_key", "left_anti")
+    whole = (
+        rest.repartition("_key")
+        .sortWithinPartitions(*place)
+        .select("_key", "_time", "_row")
+        .mapInArrow(_follow_keys(gap, alerts.columns), alerts.schema)
     )
+    if long is None:
+        return whole
+    return whole.unionByName(_in_chunks(keyed.join(F.broadcast(long), "_key", "left_semi"), place, gap, chunk_rows, alerts))

@@ -802,7 +802,7 @@ def alert_cooldown_6h(spark, sf_dir):
 def alert_cooldown_hot(spark, sf_dir):
     """All alerts under one key, which lies in as many chunks as there are."""
     keyed = _severe(spark, sf_dir).withColumn("alert_key", F.col("source"))
-    sent = cooldown.cooldown(keyed, "alert_key", ["timestamp", "id"], K.COOLDOWN_MINUTES, chunk_rows=1024)
+    sent = cooldown.cooldown(keyed, "alert_key", ["timestamp", "id"], K.COOLDOWN_MINUTES, chunk_rows=64)
     return sent.select("alert_key", "id", "timestamp", "severity")
 
 
