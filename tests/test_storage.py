@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import lifecycle
-from tidewatch.sources import archive, files, objects, snapshots, tables
+from tidewatch.sources import archive, files, objects, snapshots, tables, versions
 
 NOW = dt.datetime(2024, 3, 1, 12, 0, 0)
 SCHEMA = "id long, timestamp timestamp, value double, created_at timestamp"
@@ -177,17 +177,146 @@ def test_rows_stored_after_the_archive_was_written_stay(spark, tmp_path):
     assert ids(tables.read(spark, f"{root}/t")) == [0, 10, 11]
 
 
-def test_a_failing_replacement_loses_nothing(spark, tmp_path):
+@pytest.mark.parametrize("work", ["retention", "compact", "batch", "upsert", "archive"])
+def test_a_failure_after_any_step_leaves_each_row_once(spark, tmp_path, monkeypatch, work):
+    """The steps are what changes the file system: after each of them in turn the job dies, and is run again."""
+    path = f"{tmp_path}/store/t"
+    changes = spark.createDataFrame([(1, 99.0), (7, 77.0)], "id long, value double")
+
+    def build():
+        for batch in range(3):
+            tables.write_batch(aged(spark, [6.9, 7.1]).withColumn("id", F.col("id") + 2 * batch), batch, path)
+
+    def run():
+        if work == "retention":
+            tables.remove_older(spark, path, 7, NOW)
+        elif work == "compact":
+            tables.compact(spark, path, before_batch=3)
+        elif work == "batch":
+            tables.write_batch(aged(spark, [6.9, 7.1]), 0, path)
+        elif work == "upsert":
+            tables.upsert_files(spark, path, changes, "id", NOW)
+        else:
+            archive.archive_old(spark, f"{tmp_path}/store", "t", f"{tmp_path}/archive", NOW)
+
+    def rows():
+        return sorted((row["id"], row["value"]) for row in tables.read(spark, path).select("id", "value").collect())
+
+    build()
+    before = rows()
+    real = {name: getattr(files, name) for name in ("create_once", "remove")}
+    real_write = versions.write_files
+    state = {"left": 0}
+
+    def dying(step):
+        def call(*args, **kwargs):
+            out = step(*args, **kwargs)
+            state["left"] -= 1
+            if state["left"] == 0:
+                raise KeyboardInterrupt("lost")
+            return out
+
+        return call
+
+    for name, step in real.items():
+        monkeypatch.setattr(files, name, dying(step))
+    monkeypatch.setattr(versions, "write_files", dying(real_write))
+    seen, died = [before], 1
+    while True:
+        state["left"] = died
+        try:
+            run()
+            break
+        except KeyboardInterrupt:
+            seen.append(rows())  # what a reader finds after the failure
+            died += 1
+    after = rows()
+    assert died > 2 or work == "batch"
+    assert len({tuple(found) for found in seen} - {tuple(before), tuple(after)}) == 0
+    want = {
+        "retention": [row for row in before if row[0] % 2 == 0],
+        "archive": [row for row in before if row[0] % 2 == 0],
+        "upsert": sorted([(1, 99.0), (7, 77.0), *[row for row in before if row[0] != 1]]),
+    }
+    assert after == want.get(work, before)
+
+
+def test_writers_at_the_same_time_both_get_a_version(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    tables.insert(aged(spark, [1, 9]), path)
+    real, other = files.create_once, aged(spark, [2]).withColumn("id", F.lit(5).cast("long"))
+
+    def late(*args):
+        monkeypatch.setattr(files, "create_once", real)
+        tables.insert(other, path)  # another writer is first
+        return real(*args)
+
+    monkeypatch.setattr(files, "create_once", late)
+    tables.remove_older(spark, path, 7, NOW)
+    assert ids(tables.read(spark, path)) == [0, 5]
+    old = tables.listed(spark, path)
+    tables.compact(spark, path, before_batch=1)
+    with pytest.raises(versions.Conflict):
+        tables.replace_files(spark, path, old, aged(spark, [1]))
+    assert ids(tables.read(spark, path)) == [0, 5]
+
+
+def test_a_version_reads_the_same_while_the_table_changes(spark, tmp_path):
     path = f"{tmp_path}/t"
-    tables.insert(aged(spark, [6.9, 7.1]), path)
-    names = files.data_files(spark, path)
-    broken = tables.read_files(spark, path, names).withColumn(
-        "value", F.when(F.col("id") == 1, F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("value"))
+    tables.insert(aged(spark, [1, 2]), path)
+    rows = tables.read(spark, path)
+    tables.insert(aged(spark, [3]).withColumn("extra", F.lit("x")), path)
+    assert rows.count() == 2
+    back = tables.read(spark, path)
+    assert back.columns == ["id", "timestamp", "value", "created_at", "extra"]
+    assert sorted(row["extra"] or "" for row in back.collect()) == ["", "", "x"]
+    with pytest.raises(ValueError):
+        tables.insert(aged(spark, [1]).withColumn("value", F.lit("text")), path)
+
+
+def opened(df):
+    """The files that a plan would read."""
+    return len(df.inputFiles())
+
+
+def test_newest_rows_come_from_few_of_many_files(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(4000).select(
+        "id", (F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 3))).alias("timestamp"), F.lit(NOW).alias("created_at")
     )
-    with pytest.raises(Exception, match="stop"):
-        tables.replace_files(spark, path, names, broken)
-    assert ids(tables.read(spark, path)) == [0, 1]
-    assert files.data_files(spark, path) == names
+    tables.insert(rows.repartitionByRange(200, "timestamp"), path)
+    assert len(tables.listed(spark, path)) > 190
+    out = tables.read_newest(spark, path, 50, ["id"])
+    assert [row["id"] for row in out.collect()] == list(range(3999, 3949, -1))
+    assert opened(out) <= 5
+    assert tables.read_newest(spark, path, 0).count() == 0
+    assert tables.read_newest(spark, path, 9999, ["id"]).count() == 4000
+    since = dt.datetime(2023, 11, 14, 22, 13, 20) + dt.timedelta(seconds=1300)
+    recent = tables.read_since(spark, path, since)
+    assert recent.count() == 4000 - 3900
+    assert opened(recent) <= 8
+    untimed = rows.limit(3).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    tables.insert(untimed, path)
+    assert opened(tables.read_newest(spark, path, 50, ["id"])) <= 5
+    assert tables.read_newest(spark, path, 4003).where("timestamp IS NULL").count() == 3
+
+
+def test_upsert_rewrites_only_files_that_hold_a_changed_key(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit(0).alias("n"), F.lit(NOW).alias("timestamp"))
+    tables.insert(rows.repartitionByRange(20, "k"), path, keys=["k"], as_of=NOW)
+    before = {file.name for file in tables.listed(spark, path)}
+    changes = spark.createDataFrame([(3, 7), (990, 8), (5000, 9)], "k long, n int")
+    replaced = tables.upsert_files(spark, path, changes, "k", NOW)
+    after = {file.name for file in tables.listed(spark, path)}
+    assert len(replaced) == 2
+    assert before - after == {file.name for file in replaced}
+    out = {row["k"]: row["n"] for row in tables.read(spark, path).collect()}
+    assert out == {**{k: 0 for k in range(1000)}, 3: 7, 990: 8, 5000: 9}
+    none = spark.createDataFrame([(None, 4)], "k long, n int")
+    assert tables.upsert_files(spark, path, none, "k", NOW) == []
+    assert len(tables.upsert_files(spark, path, none, "k", NOW)) == 1
+    assert tables.read(spark, path).count() == 1002
 
 
 def test_upsert_takes_the_last_of_repeated_changes_and_null_keys(spark):
@@ -228,9 +357,10 @@ def test_compaction_keeps_rows_and_spares_open_batches(spark, tmp_path):
     path = f"{tmp_path}/t"
     for batch in range(4):
         tables.write_batch(aged(spark, [0.1]).withColumn("id", F.lit(batch).cast("long")), batch, path)
-    day = (NOW - dt.timedelta(days=0.1)).date()
-    tables.compact(spark, path, day, before_batch=3)
+    tables.compact(spark, path, before_batch=3)
     assert ids(tables.read(spark, path)) == [0, 1, 2, 3]
-    assert len(files.data_files(spark, path)) == 2
+    assert len(tables.listed(spark, path)) == 2
     tables.write_batch(aged(spark, [0.1, 0.2]), 3, path)
     assert ids(tables.read(spark, path)) == [0, 0, 1, 1, 2]
+    assert versions.vacuum(spark, path)
+    assert ids(tables.read(spark, path)) == [0, 0, 1, 1, 2]

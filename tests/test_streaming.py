@@ -46,7 +46,7 @@ def finish(queries):
 def job_tables(spark, root):
     kept = {}
     for name in ("processed_data", "anomalies", "aggregated_data"):
-        rows = tables.read(spark, f"{root}/{name}").drop(*tables.LAYOUT, "created_at", "processing_time", "processing_delay_ms")
+        rows = tables.read(spark, f"{root}/{name}").drop("created_at", "processing_time", "processing_delay_ms")
         kept[name] = sorted(map(str, rows.collect()))
     return kept
 

@@ -13,13 +13,10 @@ from tidewatch.operators.rollup import anomalies
 
 def recent(df: DataFrame, as_of=None, hours: float | None = K.RECENT_HOURS) -> DataFrame:
     """Rows of the last hours, of all time for None; rows without a time are in
-    neither. A table partitioned by event month reads only the partitions that
-    can hold them."""
+    neither."""
     if hours is None:
         return df.filter(F.col("timestamp").isNotNull())
     since = before(as_of, hours=hours)
-    if "event_month" in df.columns:
-        df = df.filter(F.col("event_month") >= F.trunc(since, "month"))
     return df.filter(F.col("timestamp") >= since)
 
 

@@ -12,7 +12,7 @@ from tidewatch.operators import alerts, cooldown, detect, enrich, lifecycle, rea
 from tidewatch.plans import oracles as O
 from tidewatch.plans import views
 from tidewatch.session import shared_dir
-from tidewatch.sources import archive, messages, snapshots, tables
+from tidewatch.sources import archive, files, messages, snapshots, tables
 from tidewatch.streaming import alerting, job, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1013,14 +1013,18 @@ new AS (SELECT entity, value, timestamp FROM entities WHERE timestamp >= {EVENT_
 )
 def upsert_latest(spark, sf_dir):
     """The state of the first days, brought up to date with the last ones."""
+    return lifecycle.upsert(*_states(spark, sf_dir), "entity", event_clock(spark, sf_dir))
+
+
+def _states(spark, sf_dir):
+    """The latest reading of each entity in the first days, and in the last ones."""
     rows = views.sensors(spark, sf_dir).withColumn("entity", F.concat("sensor_id", F.lit("/"), "sensor_type"))
     clock = event_clock(spark, sf_dir)
     first = rows.filter(F.col("timestamp") < clock - F.expr("interval 26 days"))
     last = rows.filter(F.col("timestamp") >= clock - F.expr("interval 4 days"))
     order = ["timestamp", "id"]
     table = series.latest_per_key(first, ["entity"], order).select("entity", "value", "location", "timestamp")
-    changes = series.latest_per_key(last, ["entity"], order).select("entity", "value", "timestamp")
-    return lifecycle.upsert(table, changes, "entity", event_clock(spark, sf_dir))
+    return table, series.latest_per_key(last, ["entity"], order).select("entity", "value", "timestamp")
 
 
 @query(
@@ -1062,6 +1066,34 @@ def archive_old_table(spark, sf_dir):
     return wall_clock(tables.read(spark, f"{root}/processed_data").select(*rows.columns))
 
 
+@query(STORED, "SELECT id, location, value, timestamp FROM stored ORDER BY timestamp DESC, id DESC LIMIT 100")
+def data_newest(spark, sf_dir):
+    """The newest rows of a stored table, from the newest of its files."""
+    path = f"{shared_dir(spark, 'tables')}/processed_data"
+    rows = _stored(spark, sf_dir)
+    moments = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("timestamp", "created_at")})
+    tables.insert(moments.repartitionByRange(64, "timestamp"), path)
+    return wall_clock(tables.read_newest(spark, path, 100, ["id"]).select("id", "location", "value", "timestamp"))
+
+
+@query(
+    STATES,
+    f"""SELECT coalesce(o.entity, n.entity) AS entity,
+               CASE WHEN n.entity IS NULL THEN o.value ELSE n.value END AS value, o.location,
+               CASE WHEN n.entity IS NULL THEN o.timestamp ELSE n.timestamp END AS timestamp,
+               CASE WHEN n.entity IS NOT NULL THEN {EVENT_CLOCK} END AS updated_at
+        FROM old o FULL JOIN new n ON o.entity = n.entity""",
+)
+def upsert_files(spark, sf_dir):
+    """`upsert_latest` on a stored table: files without a changed entity stay as they are."""
+    path = f"{shared_dir(spark, 'tables')}/states"
+    table, changes = _states(spark, sf_dir)
+    moment = {"timestamp": F.col("timestamp").cast("timestamp")}
+    tables.insert(table.withColumns(moment).repartitionByRange("entity"), path, keys=["entity"])
+    tables.upsert_files(spark, path, changes.withColumns(moment), "entity", event_clock(spark, sf_dir).cast("timestamp"))
+    return wall_clock(tables.read(spark, path).drop("created_at"))
+
+
 @query(STORED, f"SELECT * FROM stored WHERE NOT ({OLD})")
 def retention_table(spark, sf_dir):
     """The table after rows of more than a week were removed from its files."""
@@ -1194,24 +1226,28 @@ def _event_stream(spark, sf_dir):
 
 
 def _event_batches(spark, sf_dir, late=None, parts=4):
-    """The events as a stream of one micro-batch for each quarter of the time; the rows of `late` come last."""
+    """The events as a stream of several micro-batches in order of time; the rows of `late` come last.
+
+    Every task writes files of its range of time. A file stream takes files by their age,
+    so each is dated after the one before.
+    """
     events = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     late = F.lit(False) if late is None else late
-    first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    quarter = F.floor((F.col("ts").cast("double") - first.timestamp()) / ((last - first).total_seconds() / parts + 1))
-    folder = shared_dir(spark, "events")
-    for part in range(parts):
-        events.filter(~late & (quarter == part)).coalesce(1).write.mode("append").parquet(folder)
-    events.filter(late).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return views.sensor_from_events(stream)
+    root, found = shared_dir(spark, "events"), []
+    for place, rows in enumerate((events.filter(~late), events.filter(late))):
+        rows.repartitionByRange("ts").write.option("maxRecordsPerFile", 1_000_000).parquet(f"{root}/{place}")
+        found += files.data_files(spark, f"{root}/{place}")
+    for age, name in enumerate(found):
+        files.set_age(spark, name, age)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(found) // parts))
+    return views.sensor_from_events(stream.parquet(f"{root}/*"))
 
 
 def _run(spark, df, time="timestamp"):
     """Run a stream to the end of its input into a stored table and read that."""
     root = shared_dir(spark, "stream")
     sinks.table_sink(df, f"{root}/table", f"{root}/checkpoint", time, {"availableNow": True}).awaitTermination()
-    return wall_clock(tables.read(spark, f"{root}/table").drop(*tables.LAYOUT, "created_at"))
+    return wall_clock(tables.read(spark, f"{root}/table").drop("created_at"))
 
 
 @query(
@@ -1348,7 +1384,7 @@ def stream_job_processed(spark, sf_dir):
 def stream_job_summaries(spark, sf_dir):
     """The job's table of one-minute summaries."""
     rows = tables.read(spark, f"{_job(spark, sf_dir)}/aggregated_data")
-    kept = wall_clock(rows.drop(*tables.LAYOUT, "created_at"))
+    kept = wall_clock(rows.drop("created_at"))
     return rounded(
         kept,
         ["avg_value", "stddev_value", "avg_engagement", "avg_price", "avg_price_change_pct", "anomaly_rate"],

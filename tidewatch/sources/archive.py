@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tidewatch import constants as K
 from tidewatch.functions.text import restore_target
 from tidewatch.operators.lifecycle import not_older_than, older_than, reconcile
-from tidewatch.sources import files, tables
+from tidewatch.sources import files, tables, versions
 from tidewatch.sources.messages import JSON_TIMES
 
 MANIFEST = (
@@ -49,22 +49,22 @@ def archive_old(
     """Archive a table's rows older than `days`, then remove them.
 
     The files that can hold such rows are listed once. Exactly their old rows
-    are archived, and exactly these files are removed or, on the day of the
-    cutoff, replaced by their younger rows; rows stored meanwhile lie in other
-    files and stay. Removal waits until the archive reads back with every row
-    written; with a `key`, rows whose key the archive lacks stay as well.
+    are archived, and exactly these files leave the table, their younger rows
+    written anew, in one version; rows stored meanwhile lie in other files and
+    stay. Removal waits until the archive reads back with every row written;
+    with a `key`, rows whose key the archive lacks stay as well.
     `before_removal` is called between the two steps. Returns the manifest
     entry, None if nothing is old.
     """
     path = f"{root}/{name}"
     cutoff = as_of - dt.timedelta(days=days)
-    whole, partly = tables.files_until(spark, path, cutoff.date())
+    whole, partly = tables.files_until(spark, path, cutoff)
     if not whole and not partly:
         return None
     listed = tables.read_files(spark, path, [*whole, *partly])
     stamp = as_of.strftime("%Y%m%d%H%M%S")
-    target = f"{archive_root}/archives/{name}/{stamp}"
-    rows = older_than(listed, days, as_of).drop(*tables.LAYOUT)
+    target = _free_place(spark, archive_root, f"{archive_root}/archives/{name}/{stamp}")
+    rows = older_than(listed, days, as_of)
     written = write_archive(rows, target)
     if not written:
         files.remove(spark, target)
@@ -78,16 +78,23 @@ def archive_old(
     entry.write.mode("append").json(f"{archive_root}/manifest")
     if before_removal:
         before_removal()
-    if key:
-        tables.replace_files(spark, path, [*whole, *partly], reconcile(listed, stored, key, days, as_of))
-        return entry
-    if partly:
-        tables.replace_files(spark, path, partly, not_older_than(tables.read_files(spark, path, partly), days, as_of))
-    for old in whole:
-        files.remove(spark, old)
+    kept = reconcile(listed, stored, key, days, as_of) if key else not_older_than(listed, days, as_of)
+    tables.replace_files(spark, path, [*whole, *partly], kept)
+    versions.vacuum(spark, path)
     return entry
 
 
+def _free_place(spark: SparkSession, archive_root: str, path: str) -> str:
+    """Where an archive can be written: what a failed run left there goes, what the manifest names stays."""
+    known = {row["path"] for row in manifest(spark, archive_root).collect()} if files.exists(spark, f"{archive_root}/manifest") else set()
+    place, number = path, 1
+    while place in known:
+        number += 1
+        place = f"{path}-{number}"
+    files.remove(spark, place)
+    return place
+
+
 def manifest(spark: SparkSession, archive_root: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(f"{archive_root}/manifest")
 
@@ -105,7 +112,7 @@ def restore(
     Rows whose key the table holds already stay out, so it can run again."""
     target = f"{root}/{name or restore_target(archive_path, prefix='')}"
     rows = read_archive(spark, archive_path, schema)
-    if files.folders(spark, target):
+    if tables.listed(spark, target):
         rows = rows.join(tables.read(spark, target).select(key), key, "left_anti")
     tables.insert(rows, target, time)
     return target

@@ -1,12 +1,14 @@
-"""Stored tables: Parquet folders by creation day and event month.
+"""Stored tables: Parquet files under committed versions.
 
-Age rules go by `created_at` and drop whole `created_date` folders; reads go
-by `timestamp` and skip `event_month` folders. Months, as a batch that reaches
-far back would otherwise write a folder for every day.
+A change of a table is one new version, whatever it does: append, a repeated
+micro-batch, compaction, removal by age, keyed changes. Each file is known by its
+least and greatest event time and creation time, so that age rules drop whole files,
+recency reads open only files that can hold such rows, and the newest rows are found in
+the newest files. Backfills are written in order of time, which keeps these ranges apart.
 """
 
 import datetime as dt
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,119 +16,200 @@ from pyspark.sql import types as T
 
 from tidewatch import constants as K
 from tidewatch.functions.text import stored_name
-from tidewatch.operators.lifecycle import not_older_than, with_created
-from tidewatch.sources import files
+from tidewatch.operators.lifecycle import not_older_than, upsert, with_created
+from tidewatch.sources import versions
+from tidewatch.sources.versions import NO_BATCH, File
 
-LAYOUT = ("created_date", "event_month", "batch_id")
-NO_BATCH = -1
+CREATED = "created_at"
 
 
-def dated(df: DataFrame, time: str, as_of=None) -> DataFrame:
-    """Rows with their creation time and what they are stored under."""
-    created = with_created(df, as_of)
-    return created.withColumns(
-        {"created_date": F.to_date("created_at"), "event_month": F.trunc(F.col(time), "month")}
-    )
+def zones_of(df: DataFrame, time: str | None, others: Sequence[str] = ()) -> list[str]:
+    wanted = [time, CREATED, *others]
+    return [name for i, name in enumerate(wanted) if name in df.columns and name not in wanted[:i]]
 
 
-def insert(df: DataFrame, path: str, time: str = "timestamp", as_of=None) -> None:
-    rows = dated(df, time, as_of).withColumn("batch_id", F.lit(NO_BATCH))
-    rows.write.mode("append").partitionBy(*LAYOUT).parquet(path)
+def insert(df: DataFrame, path: str, time: str = "timestamp", as_of=None, keys: Sequence[str] = ()) -> None:
+    """Append rows. Files are known by their range of `keys` too, for keyed changes."""
+    rows = with_created(df, as_of)
+    added = versions.write_files(rows, path, zones_of(rows, time, keys))
+    versions.commit(df.sparkSession, path, rows.schema, added)
 
 
 def write_batch(
     df: DataFrame, batch_id: int, path: str, time: str = "timestamp", backfill: bool = False
 ) -> None:
-    """Write a micro-batch under its number. A batch that runs again after a
-    failure replaces what it wrote before, so no row is stored twice. For that
-    the stream itself sets `created_at`: its clock repeats with the batch.
+    """Write a micro-batch. A batch that runs again after a failure takes the place of
+    what it wrote before, in one version, so no row is stored twice. For that the
+    stream itself sets `created_at`: its clock repeats with the batch.
 
-    A live batch covers a month or two and is written as it lies. A backfill
-    covers many: it is first brought into time order over the tasks, or every
-    task would write a file for every month. The hash splits rows of one time.
+    A live batch covers a short time and is written as it lies. A backfill is first
+    brought into time order over the tasks; the hash splits rows of one time.
     """
-    rows = dated(df, time).withColumn("batch_id", F.lit(batch_id))
+    rows = with_created(df)
     kept = rows.persist() if backfill else None  # finding the ranges reads the rows once more
     try:
         if backfill:
-            rows = rows.repartitionByRange("event_month", time, F.xxhash64(*df.columns))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*LAYOUT).parquet(path)
+            rows = rows.repartitionByRange(time, F.xxhash64(*df.columns))
+        added = versions.write_files(rows, path, zones_of(rows, time), batch_id)
     finally:
         if kept is not None:
             kept.unpersist()
+    versions.commit(df.sparkSession, path, rows.schema, added, lambda file: file.batch == batch_id)
+
+
+def listed(spark: SparkSession, path: str) -> tuple[File, ...]:
+    """The files of the newest version."""
+    now = versions.newest(spark, path)
+    return now.files if now else ()
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A stored table; with its schema named, also one nothing was written to."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    now = versions.newest(spark, path)
+    if now is None:
+        if schema is None:
+            raise FileNotFoundError(f"no table was stored at {path}")
+        return spark.createDataFrame([], schema)
+    return versions.read_files(spark, schema or now.schema, now.files)
 
 
-def read_named(spark: SparkSession, root: str, name: str, prefix: str = "tidewatch_") -> DataFrame:
-    """A stored table by its name, with or without the prefix that tables carry."""
-    return read(spark, f"{root}/{stored_name(name, prefix)}")
+def read_since(spark: SparkSession, path: str, since: dt.datetime, time: str = "timestamp") -> DataFrame:
+    """Rows of a time or later, from the files that can hold any."""
+    now = versions.newest(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"no table was stored at {path}")
+    first = versions.micros(since)
+    chosen = [file for file in now.files if time not in file.high or _or(file.high[time], first - 1) >= first]
+    return versions.read_files(spark, now.schema, chosen).where(F.col(time) >= F.lit(since))
 
 
-def files_until(spark: SparkSession, path: str, day: dt.date) -> tuple[list[str], list[str]]:
-    """Files of the days before a day, and of that day itself, as they are now.
+def _or(value, default):
+    return default if value is None else value
 
-    Days are folders, so only those up to the day are listed."""
-    days = [found for found in day_folders(spark, path) if found <= day]
-    listed = {found: files.data_files(spark, f"{path}/created_date={found}") for found in days}
-    return [name for found in days if found < day for name in listed[found]], listed.get(day, [])
 
+def newest_files(found: Sequence[File], time: str, rows: int) -> list[File]:
+    """The fewest files, latest first, that hold `rows` rows."""
+    order = sorted(found, key=lambda file: _or(file.high.get(time), -(2**63)), reverse=True)
+    taken: list[File] = []
+    for file in order:
+        if sum(f.rows for f in taken) >= rows:
+            break
+        taken.append(file)
+    return taken
 
-def read_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Certain files of a table, with the columns their folders stand for."""
-    return spark.read.option("basePath", path).parquet(*names)
 
+def read_newest(spark: SparkSession, path: str, limit: int, tie: Sequence[str] = (), time: str = "timestamp") -> DataFrame:
+    """The `limit` newest rows, by time and then by `tie`, both descending.
 
-def replace_files(spark: SparkSession, path: str, names: list[str], kept: DataFrame) -> None:
-    """Put the rows of `kept` in the place of certain files.
+    The latest files that hold enough rows give a time that the last row wanted cannot
+    lie before; every file that reaches it is read, and no other. Rows without a time
+    come last.
+    """
+    now = versions.newest(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"no table was stored at {path}")
+    order = [F.desc(time), *[F.desc(name) for name in tie]]
+    first = newest_files(now.files, time, limit)
+    chosen = list(now.files)
+    if limit and first:
+        times = versions.read_files(spark, now.schema, first).select(time).where(F.col(time).isNotNull())
+        edge = times.orderBy(F.desc(time)).limit(limit).agg(F.count(time), F.unix_micros(F.min(time).cast("timestamp"))).first()
+        if edge[0] == limit:
+            chosen = [file for file in now.files if time not in file.high or _or(file.high[time], edge[1] - 1) >= edge[1]]
+    return versions.read_files(spark, now.schema, chosen).orderBy(*order).limit(limit)
 
-    They are written beside the table, out of readers' sight, then moved into
-    it, and only then do the files go: a failure on the way loses nothing, and
-    files that come meanwhile are not touched."""
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"
-    try:
-        kept.write.partitionBy(*LAYOUT).parquet(staged)
-        files.move_below(spark, staged, path)
-    finally:
-        files.remove(spark, staged)
-    for name in names:
-        files.remove(spark, name)
 
+def read_named(spark: SparkSession, root: str, name: str, prefix: str = "tidewatch_") -> DataFrame:
+    """A stored table by its name, with or without the prefix that tables carry."""
+    return read(spark, f"{root}/{stored_name(name, prefix)}")
+
+
+def files_until(spark: SparkSession, path: str, cutoff: dt.datetime) -> tuple[list[File], list[File]]:
+    """Files whose rows were all created before a moment, and files of which some were."""
+    end, whole, partly = versions.micros(cutoff), [], []
+    for file in listed(spark, path):
+        low, high = file.low.get(CREATED), file.high.get(CREATED)
+        if low is not None and low < end:
+            (whole if high < end else partly).append(file)
+    return whole, partly
 
-def compact(spark: SparkSession, path: str, day: dt.date, before_batch: int) -> None:
-    """Put the files that the batches before `before_batch` wrote for a day into
-    few. Batches that may still run again must not be among them: name the
-    first one that the stream has not yet committed."""
-    names = [
-        name
-        for name in files.data_files(spark, f"{path}/created_date={day}")
-        if int(name.split("/batch_id=", 1)[1].split("/", 1)[0]) < before_batch
-    ]
-    if len(names) > 1:
-        rows = read_files(spark, path, names).withColumn("batch_id", F.lit(NO_BATCH))
-        replace_files(spark, path, names, rows.hint("rebalance", "event_month"))
 
+def read_files(spark: SparkSession, path: str, chosen: Sequence[File]) -> DataFrame:
+    """Certain files of a table."""
+    now = versions.newest(spark, path)
+    return versions.read_files(spark, now.schema, chosen)
 
-def day_folders(spark: SparkSession, path: str) -> list[dt.date]:
-    names = [name for name in files.folders(spark, path) if name.startswith("created_date=")]
-    return [dt.date.fromisoformat(name.split("=", 1)[1]) for name in names]
+
+def replace_files(spark: SparkSession, path: str, removed: Sequence[File], kept: DataFrame, time: str | None = "timestamp") -> None:
+    """Put the rows of `kept` in the place of certain files, in one version.
+
+    Files that come meanwhile are not touched. If another writer has replaced one of
+    them meanwhile, nothing is changed and it is an error.
+    """
+    names = list(removed[0].high) if removed else zones_of(kept, time)
+    added = versions.write_files(kept, path, [name for name in names if name in kept.columns])
+    versions.commit(spark, path, kept.schema, [file for file in added if file.rows], removed=removed)
+
+
+def compact(spark: SparkSession, path: str, before_batch: int, time: str = "timestamp") -> None:
+    """Put the files that the batches before `before_batch` wrote into few, in order of
+    time. Batches that may still run again must not be among them: name the first one
+    that the stream has not yet committed."""
+    chosen = [file for file in listed(spark, path) if file.batch < before_batch]
+    if len(chosen) > 1:
+        rows = read_files(spark, path, chosen)
+        replace_files(spark, path, chosen, rows.repartitionByRange(time, F.xxhash64(*rows.columns)).sortWithinPartitions(time))
+
+
+def upsert_files(
+    spark: SparkSession, path: str, changes: DataFrame, key: str, as_of=None, insert_missing: bool = True, order: Sequence[str] = ()
+) -> list[File]:
+    """`lifecycle.upsert` on a stored table: only files that hold a changed key are rewritten.
+
+    Files whose range of keys meets no change are left unread. Of the others the key column
+    alone is read to find those that hold a changed key; these are joined with the changes
+    and rewritten, keys that no file holds come with them. Returns the files replaced.
+    A NULL key is in no range, so files are searched for it whatever their range.
+    """
+    now = versions.newest(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"no table was stored at {path}")
+    ends = changes.agg(F.min(key), F.max(key), F.count_if(F.col(key).isNull())).first()
+
+    def may_hold(file: File) -> bool:
+        if ends[2] or key not in file.low:
+            return True
+        low, high = file.low[key], file.high[key]
+        return low is not None and ends[0] is not None and low <= ends[1] and ends[0] <= high
+
+    near = [file for file in now.files if may_hold(file)]
+    wanted = changes.select(F.col(key).alias("_wanted")).distinct()
+    keys = versions.read_files(spark, now.schema, near).select(key, "_metadata.file_path") if near else None
+    touched = set()
+    if keys is not None:
+        held = keys.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
+        touched = {row[0] for row in held.select("file_path").distinct().collect()}
+    chosen = [file for file in near if file.name in touched]
+    rows = versions.read_files(spark, now.schema, chosen)
+    changed = upsert(rows, changes, key, as_of, insert_missing, order)
+    zones = list(now.files[0].high) if now.files else [key]
+    added = versions.write_files(changed, path, [name for name in zones if name in changed.columns])
+    versions.commit(spark, path, changed.schema, [file for file in added if file.rows], removed=chosen)
+    return chosen
 
 
 def remove_older(spark: SparkSession, path: str, days: float, as_of: dt.datetime) -> None:
-    """Remove rows created more than `days` before `as_of`: whole days by their
-    folder, and of the day of the cutoff the files that hold such rows now."""
-    day = (as_of - dt.timedelta(days=days)).date()
-    _, partly = files_until(spark, path, day)
-    if partly:
-        replace_files(spark, path, partly, not_older_than(read_files(spark, path, partly), days, as_of))
-    for whole in day_folders(spark, path):
-        if whole < day:
-            files.remove(spark, f"{path}/created_date={whole}")
+    """Remove rows created more than `days` before `as_of`: files of only such rows leave
+    the list, files of some are rewritten without them, in one version. Then the files
+    that no version names any more are deleted."""
+    whole, partly = files_until(spark, path, as_of - dt.timedelta(days=days))
+    if whole or partly:
+        kept = not_older_than(read_files(spark, path, partly), days, as_of)
+        if partly:
+            replace_files(spark, path, [*whole, *partly], kept)
+        else:
+            versions.commit(spark, path, kept.schema, [], removed=whole)
+    versions.vacuum(spark, path)
 
 
 def enforce_retention(
