@@ -203,3 +203,45 @@ def test_cooldown_state_is_dropped_after_its_time(spark, tmp_path):
     query.awaitTermination()
     assert tables.read(spark, f"{tmp_path}/t").count() == 5
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_monitor_counts_every_batch_and_failures(spark, tmp_path):
+    """110 batches, more than a query keeps progress of; each but the first two has one row that comes too late."""
+    from tidewatch.streaming.monitor import Monitor, totals
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "1")
+    monitor, folder, batches = Monitor(), f"{tmp_path}/in", 110
+    rows = [(START + dt.timedelta(hours=i), i, i) for i in range(batches)] + [(START - dt.timedelta(days=9), -1 - i, i) for i in range(batches)]
+    made = session.createDataFrame(rows, "timestamp timestamp, id long, batch int")
+    made.repartitionByRange(batches, "batch").sortWithinPartitions("batch").write.parquet(folder)
+    from tidewatch.sources import files
+
+    for age, name in enumerate(files.data_files(session, folder)):
+        files.set_age(session, name, age)
+    session.streams.addListener(monitor)
+    try:
+        stream = session.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        counted = stream.withWatermark("timestamp", "1 minute").groupBy(F.window("timestamp", "1 minute")).count()
+        query = counted.writeStream.format("noop").queryName("counted").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert monitor.wait(query)
+        found = len(files.data_files(session, folder))
+        assert len([row for row in monitor._batches.values() if row[3]]) == found > 100
+        assert monitor.dropped_late(query) == batches - 2 > job.dropped_late_rows(query)
+
+        def fail(batch, batch_id):
+            raise ValueError("no good")
+
+        broken = stream.writeStream.foreachBatch(fail).option("checkpointLocation", f"{tmp_path}/d").start()
+        with pytest.raises(Exception, match="no good"):
+            broken.awaitTermination()
+        assert monitor.wait(broken)
+        for _ in range(2):
+            monitor.save(session, f"{tmp_path}/monitor")
+        kept = {row["query"]: row for row in totals(session, f"{tmp_path}/monitor").collect()}
+        assert kept["counted"]["sum(dropped_late)"] == batches - 2
+        assert kept["counted"]["sum(rows)"] == 2 * batches
+        assert sum(row["count(failure)"] for row in kept.values()) == 1
+    finally:
+        session.streams.removeListener(monitor)

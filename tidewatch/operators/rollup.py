@@ -96,3 +96,89 @@ def summarise_all(df: DataFrame, duration: str = K.WINDOW, watermark: str | None
         "anomaly_count",
         (F.col("anomaly_count") / F.col("row_count")).alias("anomaly_rate"),
     )
+
+
+def _summed(stream: str) -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Columns of a stream that are averaged, and those whose least or greatest is kept, by measure."""
+    averages = {
+        K.SENSOR_STREAM: {"avg_value": "value"},
+        K.SOCIAL_STREAM: {"avg_engagement": "engagement_count"},
+        K.MARKET_STREAM: {"avg_price": "price", "avg_price_change_pct": "price_change_percent"},
+    }
+    ends = {
+        K.SENSOR_STREAM: {"min_value": F.min, "max_value": F.max},
+        K.SOCIAL_STREAM: {"max_engagement": F.max},
+        K.MARKET_STREAM: {"total_volume": F.sum},
+    }
+    return averages[stream], ends[stream], {K.SENSOR_STREAM: {"stddev_value": "value"}}.get(stream, {})
+
+
+def partial_states(df: DataFrame, stream: str, duration: str = K.WINDOW) -> DataFrame:
+    """One stream's windows as states that can be merged to longer windows without the rows.
+
+    For each averaged column `n_`, `mean_` and `squares_`, the count, mean and sum of squared
+    deviations; least, greatest and summed measures as they are; the row and flag counts.
+    """
+    keys, measures, rows = _plans()[stream]
+    averages, ends, _ = _summed(stream)
+    states = []
+    for column in averages.values():
+        states += [
+            F.count(column).alias(f"n_{column}"),
+            F.avg(column).alias(f"mean_{column}"),
+            (F.var_pop(column) * F.count(column)).alias(f"squares_{column}"),
+        ]
+    return (
+        df.groupBy(F.window("timestamp", duration), *keys)
+        .agg(
+            *states,
+            *[measures[name].alias(name) for name in ends],
+            F.count(F.lit(1)).alias(rows),
+            anomalies().alias("anomaly_count"),
+        )
+        .select(F.col("window.start").alias("window_start"), "*")
+        .drop("window")
+    )
+
+
+def summarise_states(states: DataFrame, stream: str, duration: str) -> DataFrame:
+    """`summarise` over longer windows, from `partial_states` of windows that divide them.
+
+    Squared deviations of parts add up, with what their means lie apart: each part's
+    count times the square of its distance from the common mean. That mean comes with the
+    group from a first, small aggregate, so nothing cancels out.
+    """
+    keys, _, rows = _plans()[stream]
+    averages, ends, spreads = _summed(stream)
+    placed = states.withColumn("_window", F.window("window_start", duration)).withColumns(
+        {"_start": F.col("_window.start"), "_end": F.col("_window.end")}
+    ).drop("_window")
+    columns = list(averages.values())
+    group = ["_start", "_end", *keys]
+    means = placed.groupBy(*group).agg(
+        *[F.try_divide(F.sum(F.col(f"mean_{c}") * F.col(f"n_{c}")), F.sum(f"n_{c}")).alias(f"_mean_{c}") for c in columns],
+        *[F.sum(f"n_{c}").alias(f"_n_{c}") for c in columns],
+        *[how(name).alias(name) for name, how in ends.items()],
+        F.sum(rows).alias(rows),
+        F.sum("anomaly_count").alias("anomaly_count"),
+    )
+    if spreads:
+        named = means.select(*[F.col(name).alias(f"_of{name}") for name in group], *[F.col(f"_mean_{c}") for c in spreads.values()])
+        same = [placed[name].eqNullSafe(F.col(f"_of{name}")) for name in group]
+        apart = placed.join(named, same)
+        squares = apart.groupBy(*group).agg(
+            *[
+                F.sum(F.col(f"squares_{c}") + F.col(f"n_{c}") * F.pow(F.col(f"mean_{c}") - F.col(f"_mean_{c}"), F.lit(2))).alias(f"_squares_{c}")
+                for c in spreads.values()
+            ]
+        )
+        squares = squares.withColumnsRenamed({name: f"_of{name}" for name in group})
+        means = means.join(squares, [means[name].eqNullSafe(F.col(f"_of{name}")) for name in group])
+    found = {name: F.col(f"_mean_{c}") for name, c in averages.items()}
+    for name, c in spreads.items():
+        found[name] = F.when(F.col(f"_n_{c}") > 1, F.sqrt(F.col(f"_squares_{c}") / (F.col(f"_n_{c}") - 1)))
+    share = (F.col("anomaly_count") / F.col(rows)).alias("anomaly_rate")
+    measures = [found[name].alias(name) if name in found else F.col(name) for name in _plans()[stream][1]]
+    return means.select(
+        F.col("_start").alias("window_start"), F.col("_end").alias("window_end"), *keys, *measures, rows, "anomaly_count", share
+    )

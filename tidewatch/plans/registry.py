@@ -4,6 +4,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidewatch import constants as K
@@ -170,6 +171,16 @@ def sensor_hour_agg(spark, sf_dir):
     return _sensor_windows(spark, sf_dir, "1 hour")
 
 
+@query(O.SENSORS, sensor_windows_sql("1 hour"))
+def sensor_hour_from_minutes(spark, sf_dir):
+    """Hours from the stored states of minutes, without the readings."""
+    path = f"{shared_dir(spark, 'states')}/minutes"
+    readings = views.sensors(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    tables.insert(rollup.partial_states(readings, K.SENSOR_STREAM), path, "window_start")
+    hours = rollup.summarise_states(tables.read(spark, path), K.SENSOR_STREAM, "1 hour")
+    return rounded(wall_clock(hours), ["avg_value", "stddev_value", "anomaly_rate"])
+
+
 @query(O.POSTS, social_windows_sql("1 minute"))
 def social_window_agg(spark, sf_dir):
     return _social_windows(spark, sf_dir, K.WINDOW)
@@ -1225,18 +1236,19 @@ def _event_stream(spark, sf_dir):
     return views.sensor_from_events(events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def _event_batches(spark, sf_dir, late=None, parts=4):
+def _event_batches(spark, sf_dir, late=None, parts=4, root=None):
     """The events as a stream of several micro-batches in order of time; the rows of `late` come last.
 
     Every task writes files of its range of time. A file stream takes files by their age,
-    so each is dated after the one before.
+    so each is dated after the one before. Files that `root` holds already are followed.
     """
     events = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     late = F.lit(False) if late is None else late
-    root, found = shared_dir(spark, "events"), []
-    for place, rows in enumerate((events.filter(~late), events.filter(late))):
-        rows.repartitionByRange("ts").write.option("maxRecordsPerFile", 1_000_000).parquet(f"{root}/{place}")
-        found += files.data_files(spark, f"{root}/{place}")
+    root = f"{root or shared_dir(spark, 'events')}/events"
+    found = files.data_files(spark, root)
+    for place, rows in enumerate(() if found else (events.filter(~late), events.filter(late))):
+        rows.repartitionByRange(4 * parts, "ts").write.option("maxRecordsPerFile", 1_000_000).parquet(f"{root}/{place}")
+        found = files.data_files(spark, root)
     for age, name in enumerate(found):
         files.set_age(spark, name, age)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(found) // parts))
@@ -1301,6 +1313,34 @@ def stream_zscore_batches(spark, sf_dir):
     return _scored(_run(spark, scored))
 
 
+@query(O.SENSORS, f"SELECT {ZSCORE_COLUMNS} FROM ({zscore_sql('location')})")
+def stream_restart(spark, sf_dir):
+    """Scores of a stream that dies once: after its second batch is stored and before that is on record.
+
+    Another session goes on from the checkpoint with the state as it was before that batch,
+    which runs again and takes the place of what it had stored.
+    """
+    root = shared_dir(spark, "restart")
+
+    def start(session, dies_after=None):
+        def store(batch, batch_id):
+            tables.write_batch(batch, batch_id, f"{root}/table")
+            if batch_id == dies_after:
+                raise ConnectionError("the job is lost")
+
+        scored = state.score_stream(_event_batches(session, sf_dir, root=root), "location", "value", ["timestamp", "id"])
+        writer = lifecycle.with_created(scored).writeStream.outputMode("append").foreachBatch(store)
+        return writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+    try:
+        start(spark, dies_after=1).awaitTermination()
+    except StreamingQueryException as lost:
+        if "the job is lost" not in str(lost):
+            raise
+    start(spark.newSession()).awaitTermination()
+    return _scored(wall_clock(tables.read(spark, f"{root}/table").drop("created_at")))
+
+
 @query(O.SENSORS, f"SELECT {MA_COLUMNS} FROM ({moving_average_sql('location')})")
 def stream_moving_average(spark, sf_dir):
     scored = state.score_stream(
@@ -1348,7 +1388,7 @@ def _job(spark, sf_dir) -> str:
     log.withColumn("ingest_time", F.col("ingest_time").cast("timestamp")).write.parquet(f"{root}/log")
     stream = messages.stream_files(spark, f"{root}/log")
     running = job.start_job(
-        stream, f"{root}/tables", f"{root}/checkpoints", {"availableNow": True}, backfill=True
+        stream, f"{root}/tables", f"{root}/checkpoints", {"availableNow": True}
     )
     for part in running.values():
         part.awaitTermination()
