@@ -9,23 +9,29 @@ from tidewatch.session import written_once
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`node`, `root` for every node of the links; equal roots mean connected.
 
-    Each round every node joins its smallest neighbour, the links are renamed to
-    what their ends joined, and links within one node go. Nodes that had a
-    smaller neighbour are gone after a round, so few rounds are needed. A round
-    takes minima that combine before the shuffle; no node's neighbours are ever
-    gathered. Rounds are cut by tables in the shared folder. Null ends are no
-    nodes; self links and repeated links change nothing.
+    Each round ranks all nodes anew by a hash. Every node joins its first
+    neighbour, or none if it comes before them all; the links are renamed to
+    what their ends joined, and links within one node go. Whatever the order of
+    the given numbers, a rank is as good as random, so a constant share of the
+    nodes goes in a round and few rounds are needed. A round takes minima that combine
+    before the shuffle; no node's neighbours are ever gathered. Rounds are cut by
+    tables in the shared folder. Null ends are no nodes; self links and repeated links
+    change nothing. A root is any node of its component.
     """
     given = links.select(a, b).dropna().select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     links = written_once(given.distinct(), "components-links")
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = links.where("a <> b")
-    names = None
+    names, rounds = None, 0
     while not links.isEmpty():
+        rounds += 1
+        ranked = [F.struct(F.xxhash64(end, F.lit(rounds)).alias("rank"), F.col(end).alias("node")) for end in ("a", "b")]
+        ends = F.array(*[F.struct(F.col(end).alias("node"), F.least(*ranked).alias("first")) for end in ("a", "b")])
         joined = written_once(
-            links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a"), F.struct(F.col("b").alias("node"), "a"))).alias("x"))
+            links.select(F.explode(ends).alias("x"))
             .groupBy(F.col("x.node").alias("node"))
-            .agg(F.min("x.a").alias("next")),
+            .agg(F.min("x.first").alias("first"))
+            .select("node", F.col("first.node").alias("next")),
             "components-joined",
         )
         links = (

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.sampling import at_most
 from tidewatch.llm.tables import map_batches, with_columns
 
 DEPTH = 3
@@ -173,17 +174,13 @@ def identify(
 ) -> DataFrame:
     """`doc_id`, `lang_pred`, `score` of every row.
 
-    Learns from the rows where `learn` holds and `lang` is not null, at most about
-    `rows_per_language` of each language, chosen by a hash of the key. Text is
-    lower-cased. Repeated rows are scored and counted as often as they occur;
-    an empty table gives no rows; other columns are ignored.
+    Learns from the rows where `learn` holds and `lang` is not null, at most
+    `rows_per_language` of each language, chosen by a hash of key and text; rows that
+    repeat both teach once. Text is lower-cased. Repeated rows are scored as often as
+    they occur; an empty table gives no rows; other columns are ignored.
     """
     known = docs.where(learn & F.col(lang).isNotNull())
-    sizes = {row[0]: row[1] for row in known.groupBy(lang).count().collect()}
-    share = F.lit(0)
-    for name, count in sizes.items():
-        share = F.when(F.col(lang) == name, int(1_000_000 * min(1.0, rows_per_language / count))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < share)
+    sample = at_most(known.select(key, text, lang), [key, text], rows_per_language, F.col(lang))
     trees = learn_trees(sample, text, lang)
     given = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return predict(given, trees).select("doc_id", "lang_pred", "score")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.sampling import known_labels, labelled_sample
-from tidewatch.llm.tables import map_batches, texts_of, with_columns
+from tidewatch.llm.tables import map_batches, texts_of, unused, with_columns
 from tidewatch.session import written_once
 
 ACCEPT = 0.7
@@ -210,6 +210,28 @@ def with_quality(docs: DataFrame, ranking: Ranking, text: str = "text", name: st
     return with_columns(docs, of_batch, {name: "double"})
 
 
+def judge(
+    docs: DataFrame, labels: DataFrame, learn: Column, name: str, rows: int = 12_000, label: str = "quality", key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The table, all columns as given, with each text's score, learned as `score` does.
+
+    Every text is measured once: the table is written with its worth, which the
+    threshold is taken from and which the score is made of.
+    """
+    ranking = learn_ranking(labelled_sample(docs, labels, label, learn, rows, key, text))
+    valued = written_once(worths(docs, ranking, text, name), "quality-documents")
+    judged = valued.select(F.col(key).alias("doc_id"), F.col(name).alias("worth"))
+    judged = judged.join(known_labels(labels, label, learn, key), F.col("doc_id") == F.col("key")).select("worth", "label")
+    if ranking.weights.any():
+        ranking = parted(ranking, judged)
+    own = unused(valued, "worth")
+
+    def of_batch(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array(ranking.scaled(np.asarray(batch.column(own))))]
+
+    return with_columns(valued.withColumnRenamed(name, own), of_batch, {name: "double"}).drop(own)
+
+
 def learned(
     docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 12_000, label: str = "quality", key: str = "doc_id", text: str = "text"
 ) -> Ranking:

@@ -17,9 +17,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidewatch.llm.tables import map_batches
 from tidewatch.llm.sampling import at_most
+from tidewatch.llm.tables import map_batches
 from tidewatch.llm.tokens import behind, encoder, in_order, steps
 from tidewatch.session import ship_package
 
@@ -42,6 +43,14 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> list[np.ndarra
     return [np.append(part, np.uint32(end_id)) for part in np.split(ids, np.cumsum(counts)[:-1])]
 
 
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """The bytes, 2 or 4, that hold every id of the vocabulary and the end id."""
+    greatest = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    if end_id < 0 or greatest >= 1 << 32:
+        raise ValueError("ids are unsigned numbers of at most 32 bits")
+    return 2 if greatest < 1 << 16 else 4
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, samples: int, size: int) -> bytes:
     """A dictionary trained on the serialized ids of about `samples` documents.
 
@@ -58,7 +67,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
                 pieces += [data[start : start + PIECE_BYTES] for start in starts[:: -(-len(starts) // PIECES)]]
         return pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["piece"])
 
-    chosen = at_most(docs.select("doc_id", "text"), "doc_id", samples, docs.count())
+    chosen = at_most(docs.select("doc_id", "text"), ["doc_id", "text"], samples)
     pieces = sorted(row["piece"] for row in map_batches(chosen.select("text"), cut, "piece binary").toLocalIterator())
     if sum(map(len, pieces)) > 8 * size:
         try:
@@ -75,19 +84,24 @@ def write(
     end_id: int,
     key: str = "doc_id",
     text: str = "text",
-    width: int = 2,
+    width: int | None = None,
     samples: int = 2000,
     dictionary_bytes: int = 65536,
 ) -> None:
     """Write a file set in ascending order of the key.
 
     `samples` bounds the documents that the dictionary is trained on; all are
-    encoded. `width` is the bytes of an id: 2 for vocabularies below 65,536. A
-    null text is the empty one; null keys come first; repeated rows are written
-    as often as they occur. An empty table gives a file set without documents.
+    encoded. `width` is the bytes of an id, 2 or 4: by default the least that holds all
+    ids of the vocabulary and the end id; a width that does not is an error. A null text
+    is the empty one; null keys come first; repeated rows are written as often as they
+    occur. An empty table gives a file set without documents.
     """
     spark = docs.sparkSession
     ship_package(spark)
+    least = id_bytes(tokenizer, end_id)
+    width = least if width is None else width
+    if width not in (2, 4) or width < least:
+        raise ValueError(f"ids of this vocabulary need {least} bytes, not {width}")
     rows = in_order(docs, key, text)
     given = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dictionary = train_dictionary(given, tokenizer, end_id, width, samples, dictionary_bytes)
