@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the quality threshold go; learned from labelled documents among those given."""
-    ranking = quality.learned(docs, table(spark, sf_dir, "labels"), remainder("key", 4) != 2)
     name = unused(docs, "score")
-    return quality.with_quality(docs, ranking, name=name).where(F.col(name) >= ACCEPT).drop(name)
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), remainder("key", 4) != 2, name)
+    return judged.where(F.col(name) >= ACCEPT).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
