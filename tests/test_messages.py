@@ -21,14 +21,15 @@ def envelope(spark):
         ("k0", GOOD, K.SENSOR_STREAM, 0, 0, T0),
         ("k1", GOOD[:40], K.SENSOR_STREAM, 0, 1, T0),
         ("k2", None, K.SENSOR_STREAM, 0, 2, T0),
-        ("k3", '{"sensor_id":"s2"}', K.SENSOR_STREAM, 1, 3, T0),
+        ("k3", '{"sensor_id":"s2","timestamp":"2024-01-02T03:04:05"}', K.SENSOR_STREAM, 1, 3, T0),
         ("k4", GOOD, "unheard-of", 1, 4, T0),
         ("k5", '{"user_id":"u","timestamp":"2024-01-02T03:04:05","topic":"tech","engagement_count":3}',
          K.SOCIAL_STREAM, 0, 0, T0),
-        (None, '{"symbol":"AB","price":1.5,"topic":"not a market field"}', K.MARKET_STREAM, 0, 0, T0),
+        (None, '{"symbol":"AB","price":1.5,"timestamp":"2024-01-02T03:04:05","topic":"not a market field"}', K.MARKET_STREAM, 0, 0, T0),
         ("k7", GOOD, None, 0, 5, T0),
         ("k8", '{"sensor_id":"s3","value":"high"}', K.SENSOR_STREAM, 1, 6, T0),
         ("k9", "[1]x", K.SENSOR_STREAM, 1, 7, T0),
+        ("k10", '{"sensor_id":"s4","value":1.5}', K.SENSOR_STREAM, 1, 8, T0),
     ]
     return spark.createDataFrame(rows, schemas.ENVELOPE)
 
@@ -52,6 +53,7 @@ def test_dead_letters_say_why_and_keep_the_text(envelope):
         "k7": ("unknown stream", GOOD),
         "k8": ("malformed value", '{"sensor_id":"s3","value":"high"}'),
         "k9": ("malformed value", "[1]x"),
+        "k10": ("no time", '{"sensor_id":"s4","value":1.5}'),
     }
 
 

@@ -931,21 +931,26 @@ def route_by_topic(spark, sf_dir):
     ENVELOPE,
     f"""SELECT CASE WHEN key LIKE '%9' THEN 'other-data' ELSE stream END AS stream, key, partition, "offset",
                ingest_time, CASE WHEN key LIKE '%9' THEN 'unknown stream' WHEN key LIKE '%3' THEN 'no value'
-                                 ELSE 'malformed value' END AS error
-        FROM envelope WHERE key LIKE '%9' OR key LIKE '%3' OR key LIKE '%7'""",
+                                 WHEN key LIKE '%5' THEN 'no time' ELSE 'malformed value' END AS error,
+               CASE WHEN key NOT LIKE '%3' THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS text_time,
+               CASE WHEN key NOT LIKE '%3' THEN key NOT LIKE '%7' END AS whole
+        FROM envelope WHERE key LIKE '%9' OR key LIKE '%3' OR key LIKE '%7' OR key LIKE '%5'""",
 )
 def dead_letter(spark, sf_dir):
-    """Messages damaged by key: unknown stream, no value, cut short."""
+    """Messages damaged by key: unknown stream, no value, cut short, no time; of their text the time and the end."""
     key, value = F.col("key"), F.col("value")
     damaged = views.envelope(spark, sf_dir).withColumns(
         {
             "stream": F.when(key.endswith("9"), "other-data").otherwise(F.col("stream")),
             "value": F.when(key.endswith("3"), None)
             .when(key.endswith("7"), F.substring(value, F.lit(1), F.length(value) - 5))
+            .when(key.endswith("5"), F.replace(value, F.lit('"timestamp"'), F.lit('"time"')))
             .otherwise(value),
         }
     )
-    return wall_clock(messages.dead_letters(damaged).drop("value"))
+    time = F.regexp_extract("value", '"time(?:stamp)?":"([^"]*)"', 1)
+    dead = messages.dead_letters(damaged).withColumns({"text_time": time, "whole": F.endswith("value", F.lit("}"))})
+    return wall_clock(dead.drop("value"))
 
 
 def sensor_json_sql(extra: str = "") -> str:
@@ -1313,6 +1318,26 @@ def stream_zscore_batches(spark, sf_dir):
     return _scored(_run(spark, scored))
 
 
+@query(
+    O.TICKS,
+    """SELECT symbol, timestamp, price, volume, order_id FROM ticks
+       QUALIFY row_number() OVER (PARTITION BY symbol
+         ORDER BY timestamp DESC, order_id DESC, line DESC, supplier DESC, volume DESC, total DESC) = 1""",
+)
+def stream_latest_per_key(spark, sf_dir):
+    """`latest_per_key` kept up to date by a stream: each micro-batch changes the files of its keys."""
+    root = shared_dir(spark, "latest")
+    lines = views.table(spark, sf_dir, "lineitem")
+    lines.repartition(16).write.parquet(f"{root}/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/lines")
+    query = sinks.latest_sink(
+        views.ticks_of(stream), f"{root}/table", "symbol", views.MARKET_ORDER, f"{root}/checkpoint", {"availableNow": True}
+    )
+    query.awaitTermination()
+    rows = tables.read(spark, f"{root}/table")
+    return wall_clock(rows.select("symbol", "timestamp", "price", "volume", "order_id"))
+
+
 @query(O.SENSORS, f"SELECT {ZSCORE_COLUMNS} FROM ({zscore_sql('location')})")
 def stream_restart(spark, sf_dir):
     """Scores of a stream that dies once: after its second batch is stored and before that is on record.

@@ -94,9 +94,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks_of(table(spark, sf_dir, "lineitem"))
+
+
+def ticks_of(lines: DataFrame) -> DataFrame:
     """Order lines as prices of parts. (order, line) is not unique, so
     MARKET_ORDER takes in more columns to tell all rows of a part apart."""
-    lines = table(spark, sf_dir, "lineitem")
     return lines.select(
         F.col("l_partkey").alias("part_id"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"),

@@ -112,11 +112,13 @@ def _first(streams: Sequence[str], field: str) -> Column:
 
 
 def problem() -> Column:
-    """Why a parsed message is bad; NULL for a good one."""
+    """Why a parsed message is bad; NULL for a good one. One without a time would be
+    in no window, no read by recency and no age rule, so it is bad."""
     return (
         F.when(~F.coalesce(F.col("stream").isin(*K.STREAMS), F.lit(False)), F.lit("unknown stream"))
         .when(F.col("value").isNull(), F.lit("no value"))
         .when(_first(K.STREAMS, CORRUPT).isNotNull(), F.lit("malformed value"))
+        .when(_first(K.STREAMS, "timestamp").isNull(), F.lit("no time"))
     )
 
 
@@ -158,7 +160,8 @@ def decode_one(df: DataFrame, stream: str) -> DataFrame:
     rows = df.filter((F.col("stream") == stream) & F.col("value").isNotNull())
     # out of a generator, for the same reason as above
     rows = rows.select(*HEAD, F.explode(F.array(parsed)).alias("_payload"))
-    return rows.filter(F.col(f"_payload.{CORRUPT}").isNull()).select(
+    sound = F.col(f"_payload.{CORRUPT}").isNull() & F.col("_payload.timestamp").isNotNull()
+    return rows.filter(sound).select(
         *HEAD, *[F.col(f"_payload.{name}").alias(name) for name in schema.fieldNames()]
     )
 

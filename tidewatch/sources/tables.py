@@ -8,7 +8,7 @@ the newest files. Backfills are written in order of time, which keeps these rang
 """
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,7 +148,7 @@ def replace_files(spark: SparkSession, path: str, removed: Sequence[File], kept:
     """
     names = list(removed[0].high) if removed else zones_of(kept, time)
     added = versions.write_files(kept, path, [name for name in names if name in kept.columns])
-    versions.commit(spark, path, kept.schema, [file for file in added if file.rows], removed=removed)
+    versions.commit(spark, path, kept.schema, added, removed=removed)
 
 
 def compact(spark: SparkSession, path: str, before_batch: int, time: str = "timestamp") -> None:
@@ -161,15 +161,15 @@ def compact(spark: SparkSession, path: str, before_batch: int, time: str = "time
         replace_files(spark, path, chosen, rows.repartitionByRange(time, F.xxhash64(*rows.columns)).sortWithinPartitions(time))
 
 
-def upsert_files(
-    spark: SparkSession, path: str, changes: DataFrame, key: str, as_of=None, insert_missing: bool = True, order: Sequence[str] = ()
+def merge_files(
+    spark: SparkSession, path: str, changes: DataFrame, key: str, merge: Callable[[DataFrame], DataFrame]
 ) -> list[File]:
-    """`lifecycle.upsert` on a stored table: only files that hold a changed key are rewritten.
+    """Put `merge` of the rows of the files that hold a changed key in the place of these files.
 
     Files whose range of keys meets no change are left unread. Of the others the key column
-    alone is read to find those that hold a changed key; these are joined with the changes
-    and rewritten, keys that no file holds come with them. Returns the files replaced.
-    A NULL key is in no range, so files are searched for it whatever their range.
+    alone is read to find those that hold a changed key; no other file is opened or
+    replaced. Returns the files replaced. A NULL key is in no range, so files are
+    searched for it whatever their range.
     """
     now = versions.newest(spark, path)
     if now is None:
@@ -183,21 +183,27 @@ def upsert_files(
         return low is not None and ends[0] is not None and low <= ends[1] and ends[0] <= high
 
     near = [file for file in now.files if may_hold(file)]
-    wanted = changes.select(F.col(key).alias("_wanted")).distinct()
-    keys = versions.read_files(spark, now.schema, near).select(key, "_metadata.file_path") if near else None
-    touched = set()
-    if keys is not None:
-        held = keys.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
-        touched = {row[0] for row in held.select("file_path").distinct().collect()}
-    chosen = [file for file in near if file.name in touched]
-    rows = versions.read_files(spark, now.schema, chosen)
-    changed = upsert(rows, changes, key, as_of, insert_missing, order)
+    held = set()
+    if near:
+        wanted = changes.select(F.col(key).alias("_wanted")).distinct()
+        keys = versions.read_files(spark, now.schema, near).select(key, "_metadata.file_path")
+        found = keys.join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
+        held = {row[0] for row in found.select("file_path").distinct().collect()}
+    chosen = [file for file in near if file.name in held]
+    changed = merge(versions.read_files(spark, now.schema, chosen))
     zones = list(now.files[0].high) if now.files else [key]
     added = versions.write_files(changed, path, [name for name in zones if name in changed.columns])
-    versions.commit(spark, path, changed.schema, [file for file in added if file.rows], removed=chosen)
+    versions.commit(spark, path, changed.schema, added, removed=chosen)
     return chosen
 
 
+def upsert_files(
+    spark: SparkSession, path: str, changes: DataFrame, key: str, as_of=None, insert_missing: bool = True, order: Sequence[str] = ()
+) -> list[File]:
+    """`lifecycle.upsert` on a stored table, by `merge_files`; keys that no file holds come in a new one."""
+    return merge_files(spark, path, changes, key, lambda rows: upsert(rows, changes, key, as_of, insert_missing, order))
+
+
 def remove_older(spark: SparkSession, path: str, days: float, as_of: dt.datetime) -> None:
     """Remove rows created more than `days` before `as_of`: files of only such rows leave
     the list, files of some are rewritten without them, in one version. Then the files

@@ -1,12 +1,13 @@
 """Sinks of the streaming job."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidewatch import constants as K
 from tidewatch.operators.lifecycle import with_created
+from tidewatch.operators.series import latest_per_key
 from tidewatch.sources import messages, tables
 
 
@@ -31,6 +32,32 @@ def table_sink(
     return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
 
 
+def latest_sink(
+    df: DataFrame, path: str, key: str, order: Sequence[str], checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep a stored table of the last row of each key along `order`.
+
+    A micro-batch is reduced to one row a key; the files that hold these keys are
+    rewritten with the later of both, in one version. A repeated batch changes nothing.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        changes = latest_per_key(batch, [key], order).persist()
+        try:
+            if tables.listed(spark, path):
+                tables.merge_files(
+                    spark, path, changes, key, lambda rows: latest_per_key(rows.unionByName(changes, True), [key], order)
+                )
+            else:
+                tables.insert(changes.repartitionByRange(key), path, order[0], keys=[key])
+        finally:
+            changes.unpersist()
+
+    writer = with_created(df).writeStream.outputMode("append").foreachBatch(store)
+    return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
+
+
 def fan_out_sink(
     df: DataFrame,
     write_parts: Callable[[DataFrame, int], None],
