@@ -4,37 +4,40 @@ Vectors are put in levels by length, each up to twice as long as the next, so th
 in a level the direction says most about the inner product and a few long vectors
 change nothing for the others. Rows and queries are scaled to length one. Several
 times, each time turned another way and shifted, a few of the turned components,
-less their mean, give every vector a place on a Hilbert curve. The places of a
-level are cut into ranges of equal numbers of vectors. A query visits, in every
-level and on each curve, its own range and the neighbouring ones; what it meets in
-any of them is merged and ranked by exact inner products.
-
-How far a query reaches is set by the data: some queries are compared with all
-rows, and the reach is the least that finds `FOUND` of their nearest. Where vectors
-have no structure that is most of the rows.
-
-Equal vectors are one to the index. A range is dealt out to tasks in portions of
-bounded size, and the queries that visit it stream past them.
+less their mean, give every vector a place on a Hilbert curve. One range partitioning
+by Spark puts the rows of every level and curve in order and numbers them. A query
+meets, in every level and on each curve, the rows up to `reach` numbers before and
+after it; what it meets on any of them is merged and ranked by exact inner products.
+
+How many of the curves are used and how far a query reaches is set by the data, in
+rows: some queries are compared with all rows, and of the numbers of curves, each
+with the least reach that finds `FOUND` of their nearest, the one is taken that
+compares the fewest rows. Where vectors have no structure that may be all of them, along one curve.
+
+Equal vectors are one to the index. The numbered rows are dealt out in ranges of `ROWS`
+rows, whatever the size of the table, with the queries that reach into them; no
+bounds of ranges are held anywhere.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.tables import map_batches
 from tidewatch.session import ship_package, written_once
 
-CURVES, COMPONENTS, BITS = 8, 8, 6
-RANGES = 20  # of each curve and level, whatever the number of vectors
+CURVES, COMPONENTS, BITS = 16, 4, 15  # at most so many curves
 LEVELS = 16  # by length; the last one has all that are shorter
-LEAST = 256  # vectors to either side that a query reaches at least
-FOUND, TRIED = 0.95, 256  # the share of the nearest that the reach finds, and the queries it is set by
-PORTION = 16_384  # vectors in a task's hands at once
+ROWS = 4096  # rows of a range: what a task holds at once
+STEP = 128  # queries whose numbers lie so close, or closer than they reach, are compared together
+FOUND, TRIED = 0.93, 256  # the share of the nearest that the reach finds, and the queries it is set by
+TOGETHER = 256  # queries compared at once
 PAIRS = 65_536  # pairs whose inner products are summed at once
-FIT = 4096  # vectors that the scale of the curves is fitted on
+FIT = 4096  # vectors, about, that the scale of the curves is fitted on
 
 
 def hilbert_keys(places: np.ndarray, bits: int) -> np.ndarray:
@@ -88,46 +91,6 @@ class Curves:
         return np.stack([hilbert_keys(places[:, k::CURVES], BITS) for k in range(CURVES)], axis=1)
 
 
-class Ranges:
-    """The ranges of each level and curve: bounds, how many vectors each holds, and how far a query reaches.
-
-    Bounds that many equal places make the same are one, so no range is empty by them.
-    """
-
-    def __init__(self, bounds: dict[int, list[list[int]]], sizes: dict[int, int], least: int):
-        self.bounds = {level: [np.unique(b).astype(np.int64) for b in found] for level, found in bounds.items()}
-        self.least = {level: -(-RANGES * least // size) for level, size in sizes.items()}
-        self.portions: dict[int, int] = {}
-        self.reach = 0
-
-    def of(self, level: int, keys: np.ndarray) -> np.ndarray:
-        """For places by vector (row) and curve (column) the ranges of a level."""
-        return np.stack([np.searchsorted(self.bounds[level][k], keys[:, k]) for k in range(CURVES)], axis=1)
-
-    def own(self, levels: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The ranges of rows, each in its own level, as numbers of their own."""
-        out = np.zeros(keys.shape, np.int64)
-        for level in np.unique(levels):
-            here = levels == level
-            out[here] = self.number(level, np.arange(CURVES), self.of(level, keys[here]))
-        return out
-
-    @staticmethod
-    def number(level: int, curve: int | np.ndarray, place: int | np.ndarray) -> int | np.ndarray:
-        return (level * CURVES + curve) * RANGES + place
-
-    def visited(self, keys: np.ndarray) -> list[list[int]]:
-        """The ranges that each query meets, of all levels and curves."""
-        out: list[list[int]] = [[] for _ in keys]
-        for level in self.bounds:
-            reach = max(self.reach, self.least[level])
-            for found, at in zip(out, self.of(level, keys), strict=True):
-                for curve, place in enumerate(at.tolist()):
-                    last = len(self.bounds[level][curve])
-                    found += [self.number(level, curve, p) for p in range(max(0, place - reach), min(last, place + reach) + 1)]
-        return out
-
-
 def matrix(batch: pa.RecordBatch, column: str, dimensions: int, kind: type = float) -> np.ndarray:
     return np.asarray(batch.column(column).flatten(), kind).reshape(-1, dimensions)
 
@@ -164,40 +127,106 @@ def best_of(queries: np.ndarray, rows: np.ndarray, numbers: np.ndarray, wanted:
     return query[keep], row[keep], score[keep]
 
 
-def reach_of(rows: DataFrame, queries: DataFrame, ranges: Ranges, dimensions: int, nearest: int) -> int:
-    """The least reach that meets `FOUND` of the nearest rows of `TRIED` queries, which are compared with all rows."""
-    tried = queries.orderBy(F.xxhash64("class"), "class").limit(TRIED).select("class", "vector", "keys").collect()
-    if not tried:
-        return 0
-    asked, names = np.array([row["vector"] for row in tried]), np.array([row["class"] for row in tried])
-    places = {level: ranges.of(level, np.array([row["keys"] for row in tried])) for level in ranges.bounds}
+def numbered(items: DataFrame) -> DataFrame:
+    """`curve`, `level`, `class`, `asks`, `at`: how many rows come before each point of a curve and level.
+
+    Points are rows (`asks` 0) and queries (1); a query comes after the row that it is itself. One range
+    partitioning orders them, tasks count what they hold, and the counts of whole tasks are added.
+    """
+    order = ["curve", "level", "key", "class", "asks"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carried = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.asarray(batch.column("curve")) * LEVELS + np.asarray(batch.column("level"))
+            rows = 1 - np.asarray(batch.column("asks"))
+            before = np.cumsum(rows) - rows
+            first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+            lengths = np.diff(np.append(first, len(group)))
+            local = before - np.repeat(before[first], lengths) + np.where(group == last, carried, 0)
+            last, carried = group[-1], local[-1] + rows[-1]
+            columns = [*(batch.column(name) for name in ("curve", "level", "class", "asks")), pa.array(local, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.full(len(group), part), pa.int32())], ["curve", "level", "class", "asks", "local", "part"]
+            )
+
+    sorted_items = items.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "curve int, level int, class long, asks int, local long, part int"
+    counted = written_once(sorted_items.mapInArrow(count, schema), "neighbours-places")
+    earlier = Window.partitionBy("curve", "level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy("curve", "level", "part").agg(F.sum(1 - F.col("asks")).alias("n"))
+    starts = parts.select("curve", "level", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return counted.join(starts, ["curve", "level", "part"]).select(
+        "curve", "level", "class", "asks", (F.col("local") + F.col("start")).alias("at")
+    )
+
+
+def exact_nearest(rows: DataFrame, tried: list, dimensions: int, nearest: int) -> list[tuple[int, int]]:
+    """(query class, row class) of the true nearest of a few queries, which are compared with all rows."""
+    asked, names = np.array([row["vector"] for row in tried], float), np.array([row["class"] for row in tried])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)]
+        kept = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers, levels = np.asarray(batch.column("class")), np.asarray(batch.column("level"))
+            numbers = np.asarray(batch.column("class"))
             query, row, score = best_of(asked, matrix(batch, "vector", dimensions), numbers, nearest + 1)
-            keys, levels = matrix(batch, "keys", CURVES, np.int64)[row], levels[row]
-            away = np.zeros(len(row), int)
-            for level in np.unique(levels):
-                here = levels == level
-                away[here] = np.abs(ranges.of(level, keys[here]) - places[level][query[here]]).min(axis=1)
-            kept = [np.concatenate(x) for x in zip(kept, (query, numbers[row], score, away), strict=True)]
+            kept = [np.concatenate(x) for x in zip(kept, (query, numbers[row], score), strict=True)]
             order = np.lexsort((kept[1], -kept[2], kept[0]))
             kept = [x[order] for x in kept]
             first = np.arange(len(order)) - np.searchsorted(kept[0], kept[0]) <= nearest
             kept = [x[first] for x in kept]
         other = kept[1] != names[kept[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in kept], ["query", "class", "score", "away"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in kept], ["query", "class", "score"])
 
-    found = rows.select("class", "vector", "level", "keys").mapInArrow(compared, "query long, class long, score double, away long")
+    found = rows.select("class", "vector").mapInArrow(compared, "query long, class long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest)
-    counts = {row["away"]: row["n"] for row in best.groupBy("away").agg(F.count("*").alias("n")).collect()}
-    met = np.cumsum([counts.get(away, 0) for away in range(RANGES)])
-    return int(np.searchsorted(met, FOUND * met[-1]))
+    return [(int(names[row["query"]]), row["class"]) for row in best.select("query", "class").collect()]
+
+
+def reach_of(pairs: list[tuple[int, int]], places: DataFrame, sizes: dict[int, int], nearest: int) -> tuple[int, int]:
+    """How many curves to use and how far to reach, by the places of pairs that should be found.
+
+    The pairs are bounded by `TRIED` and `nearest`; the places of these alone come to the driver.
+    """
+    least = nearest + 1  # so that every query meets enough rows to answer
+    if not pairs:
+        return 1, least
+    wanted = [(int(x), 1) for x in {query for query, _ in pairs}] + [(int(x), 0) for x in {row for _, row in pairs}]
+    spark = places.sparkSession
+    known = F.broadcast(spark.createDataFrame(wanted, "class long, asks int"))
+    points: dict[int, tuple[int, dict[int, int]]] = {}
+    probes: dict[tuple[int, int], dict[int, int]] = {}
+    for row in places.join(known, ["class", "asks"]).collect():
+        if row["asks"]:
+            probes.setdefault((row["class"], row["level"]), {})[row["curve"]] = row["at"]
+        else:
+            points.setdefault(row["class"], (row["level"], {}))[1][row["curve"]] = row["at"]
+    away = np.zeros((len(pairs), CURVES), np.int64)
+    for i, (query, row) in enumerate(pairs):
+        level, at = points[row]
+        probe = probes[query, level]
+        away[i] = [probe[k] - at[k] if at[k] < probe[k] else at[k] - probe[k] + 1 for k in range(CURVES)]
+    nearer = np.sort(np.minimum.accumulate(away, axis=1), axis=0)
+    reaches = np.maximum(nearer[int(np.ceil(FOUND * len(pairs))) - 1], least)
+    met = [sum(min(n, 2 * int(reach) + max(int(reach), STEP) // 2) for n in sizes.values()) for reach in reaches]
+    curves = int(np.argmin(np.arange(1, CURVES + 1) * met)) + 1
+    return curves, int(reaches[curves - 1])
+
+
+def windows(at: np.ndarray, start: int, size: int, reach: int) -> Iterator[tuple[int, int, int, int]]:
+    """For the sorted numbers of queries: runs of them, and the rows of a range of `size` rows from `start` that each run meets."""
+    first = 0
+    while first < len(at):
+        last = min(int(np.searchsorted(at, at[first] + max(reach, STEP))), first + TOGETHER)
+        low, high = max(0, at[first] - reach - start), min(size, at[last - 1] + reach - start)
+        if low < high:
+            yield first, last, int(low), int(high)
+        first = last
 
 
 def search(
@@ -215,8 +244,9 @@ def search(
     spark = vectors.sparkSession
     ship_package(spark)
     kind = vectors.schema[key].dataType.simpleString()
+    stored = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     valid = (
-        vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+        vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast(stored).alias("vector"))
         .where(F.col("vec_id").isNotNull())
         .where(usable(F.col("vector")))
         .withColumn("asked", asked)
@@ -227,19 +257,19 @@ def search(
     valid = valid.where(F.size("vector") == dimensions)
 
     # Equal vectors: one class, its smallest ids (one more than asked for), and whether any of it asks.
-    numbered = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    some = valid.distinct().withColumn("n", numbered).where(F.col("n") <= nearest + 1)
+    first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    some = valid.distinct().withColumn("n", first).where(F.col("n") <= nearest + 1)
     flags = valid.groupBy("vector").agg(F.bool_or("asked").alias("asks"))
     grouped = some.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).join(flags, "vector")
     # Classes are numbered by their first ids, so tasks that know the number alone settle ties as the ids do.
     ordered = grouped.orderBy(F.get("ids", F.lit(0))).withColumn("class", F.monotonically_increasing_id())
     classes = written_once(ordered, "neighbours-classes")
 
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     stats = classes.agg(F.count("*").alias("n"), F.max(square).alias("longest")).first()
-    share = min(1.0, FIT / stats["n"])
-    fit = classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * share)).select("vector").collect()
-    curves = Curves(np.array([row["vector"] for row in fit or classes.limit(1).select("vector").collect()]))
+    bound = min((1 << 63) - 1, (FIT << 64) // stats["n"] - (1 << 63))  # hashes of all 64 bits, so no share is too small
+    fit = classes.where(F.xxhash64("class") <= bound).select("vector").collect()
+    curves = Curves(np.array([row["vector"] for row in fit or classes.limit(1).select("vector").collect()], float))
 
     def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = curves.keys(matrix(batch, "vector", dimensions))
@@ -248,76 +278,60 @@ def search(
     shorter = F.log2(F.lit(stats["longest"]) / square) / 2
     level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.floor(shorter))).cast("int")
     levelled = classes.select("class", "vector", "asks", level.alias("level"))
-    schema = "class long, vector array<double>, asks boolean, level int, keys array<long>"
+    schema = f"class long, vector {stored}, asks boolean, level int, keys array<long>"
     rows = written_once(map_batches(levelled, placed, schema), "neighbours-keys")
     queries = rows.where("asks")
 
-    shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = rows.groupBy("level").agg(
-        F.count("*").alias("n"),
-        *(F.percentile_approx(F.get("keys", F.lit(k)), shares, 10_000).alias(f"b{k}") for k in range(CURVES)),
-    ).collect()
-    ranges = Ranges(
-        {row["level"]: [row[f"b{k}"] for k in range(CURVES)] for row in cuts},
-        {row["level"]: row["n"] for row in cuts},
-        max(LEAST, 2 * nearest),
+    sizes = {row["level"]: row["n"] for row in rows.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    key_of_curve = F.posexplode("keys").alias("curve", "key")
+    points = rows.select("level", "class", F.lit(0).alias("asks"), key_of_curve)
+    every = F.explode(F.array(*map(F.lit, sizes))).alias("level")
+    probes = queries.select("class", "keys", every).select("level", "class", F.lit(1).alias("asks"), key_of_curve)
+    places = numbered(points.unionByName(probes))
+    tried = queries.orderBy(F.xxhash64("class"), "class").limit(TRIED).select("class", "vector").collect()
+    pairs = exact_nearest(rows, tried, dimensions, nearest) if tried else []
+    used, reach = reach_of(pairs, places, sizes, nearest)
+
+    # Rows go to the range that their number lies in, queries to all that they reach into.
+    end = F.element_at(F.create_map(*(F.lit(x) for item in sizes.items() for x in item)), F.col("level"))
+    reached = F.sequence(
+        F.floor(F.greatest(F.col("at") - reach, F.lit(0)) / ROWS), F.floor((F.least(F.col("at") + reach, end) - 1) / ROWS)
     )
-    ranges.reach = reach_of(rows, queries, ranges, dimensions, nearest)
-
-    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = ranges.own(np.asarray(batch.column("level")), matrix(batch, "keys", CURVES, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(found, return_counts=True)], ["range", "n"])
-
-    held = map_batches(rows.select("level", "keys"), counted, "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
-    ranges.portions = {row["range"]: -(-row["n"] // PORTION) for row in held.collect()}
-
-    def dealt_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = ranges.own(np.asarray(batch.column("level")), matrix(batch, "keys", CURVES, np.int64))
-        spread = np.asarray(batch.column("class")).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-        portions = np.vectorize(ranges.portions.__getitem__, otypes=[np.int64])(found)
-        lots = found << 32 | spread.astype(np.int64)[:, None] % portions
-        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vector"), pa.array(list(lots), pa.list_(pa.int64()))], ["class", "vector", "lots"])
-
-    def dealt_queries(batch: pa.RecordBatch) -> pa.RecordBatch:
-        visited = ranges.visited(matrix(batch, "keys", CURVES, np.int64))
-        lots = [[r << 32 | portion for r in found for portion in range(ranges.portions.get(r, 0))] for found in visited]
-        return pa.RecordBatch.from_arrays([batch.column("class"), batch.column("vector"), pa.array(lots, pa.list_(pa.int64()))], ["class", "vector", "lots"])
-
-    schema = "class long, vector array<double>, lots array<long>"
-    lots = map_batches(rows.select("class", "vector", "level", "keys"), dealt_rows, schema)
-    visits = map_batches(queries.select("class", "vector", "keys"), dealt_queries, schema)
-    both = lots.withColumn("asks", F.lit(0)).unionByName(visits.withColumn("asks", F.lit(1)))
-    dealt = both.select("class", "vector", F.explode("lots").alias("lot"), "asks").repartition("lot").sortWithinPartitions("lot", "asks")
+    own = F.array(F.floor(F.col("at") / ROWS))
+    lots = places.where(F.col("curve") < used).select(
+        "class", "curve", "level", "asks", "at", F.explode(F.when(F.col("asks") == 0, own).otherwise(reached)).alias("range")
+    )
+    lot = ["curve", "level", "range"]
+    dealt = lots.join(rows.select("class", "vector"), "class").repartition(*lot).sortWithinPartitions(*lot, "asks", "at")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, ids, table = None, [], [], None
+        current, held, ids, table, numbers = None, [], [], None, None
         for batch in batches:
-            keys = np.column_stack([np.asarray(batch.column(name)) for name in ("lot", "asks")])
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([np.asarray(batch.column(name)) for name in (*lot, "asks")])
             edges = np.flatnonzero(np.any(np.diff(keys, axis=0) != 0, axis=1)) + 1
-            for start, end in zip([0, *edges], [*edges, len(keys)], strict=True):
-                part = batch.slice(start, end - start)
-                name, asks = keys[start]
-                data, numbers = matrix(part, "vector", dimensions), np.asarray(part.column("class"))
+            for start, stop in zip([0, *edges], [*edges, len(keys)], strict=True):
+                part = batch.slice(start, stop - start)
+                name, asks = tuple(keys[start, :3]), keys[start, 3]
+                data, classed = matrix(part, "vector", dimensions), np.asarray(part.column("class"))
                 if name != current:
                     current, held, ids, table = name, [], [], None
                 if not asks:
                     held.append(data)
-                    ids.append(numbers)
-                    continue
-                if not held:
+                    ids.append(classed)
                     continue
                 if table is None:
-                    table, numbered = np.concatenate(held), np.concatenate(ids)
-                for first in range(0, len(data), 256):
-                    query, row, score = best_of(data[first : first + 256], table, numbered, nearest + 1)
+                    table, numbers = np.concatenate(held), np.concatenate(ids)
+                for first, last, low, high in windows(np.asarray(part.column("at")), name[2] * ROWS, len(table), reach):
+                    query, row, score = best_of(data[first:last], table[low:high], numbers[low:high], nearest + 1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers[first : first + 256][query]), pa.array(numbered[row]), pa.array(score)],
+                        [pa.array(classed[first:last][query]), pa.array(numbers[low:high][row]), pa.array(score)],
                         ["query", "class", "score"],
                     )
 
-    met = dealt.mapInArrow(meet, "query long, class long, score double").groupBy("query", "class").agg(
-        F.max("score").alias("score")
-    )
+    met = dealt.select(*lot, "asks", "at", "class", "vector").mapInArrow(meet, "query long, class long, score double")
+    met = met.groupBy("query", "class").agg(F.max("score").alias("score"))
     members = classes.select("class", "ids")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     best = (
