@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tidewatch import constants as K
 from tidewatch import schemas
-from tidewatch.operators import cooldown, detect, rollup
+from tidewatch.operators import alerts, cooldown, detect, rollup
 from tidewatch.plans import views
 from tidewatch.sources import messages, tables
-from tidewatch.streaming import job, sinks, state
+from tidewatch.streaming import alerting, chained, job, sinks, state
 
 NOW = {"availableNow": True}
 START = dt.datetime(2024, 1, 1)
@@ -186,6 +186,43 @@ def test_cooldown_carries_over_batches(spark, tmp_path):
     assert got == {row["id"] for row in cooldown.cooldown(df, "key", ["timestamp", "id"], 15).collect()}
 
 
+def test_chained_alerts_equal_batch_after_a_restart(spark, tmp_path):
+    """Scoring and cooldown in one query, which stops after half of the files and goes on from its checkpoint."""
+    random = np.random.default_rng(7)
+    values = random.normal(50, 5, (2, 300))
+    values[:, 40::23] += 90
+    data = {"a": values[0].tolist(), "b": values[1].tolist(), "dirty": [None if i % 5 == 2 else 900.0 * (i % 47 == 46) + i % 4 for i in range(120)]}
+    df = readings(spark, data, f"{tmp_path}/first", 4).withColumns({"source": F.lit("s"), "number": F.lit(1), "_x": F.lit(2), "a b": F.lit(3)})
+    order, edge = ["timestamp", "id"], START + dt.timedelta(minutes=75)
+    timeless = df.limit(3).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    sent = alerts.score_to_alerts(df, "key", "value", order).collect()
+    for rows in (df.filter(F.col("timestamp") < edge).union(timeless), df.filter(F.col("timestamp") >= edge)):
+        write_in_order([rows], f"{tmp_path}/log")
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+        alerting.start_chained(stream, "key", "value", order, f"{tmp_path}/t", f"{tmp_path}/c", trigger=NOW).awaitTermination()
+    got = tables.read(spark, f"{tmp_path}/t").collect()
+    assert sorted((r.id, r.alert_key, round(r.anomaly_score, 9)) for r in got) == sorted((r.id, r.alert_key, round(r.anomaly_score, 9)) for r in sent)
+    assert {(r["_x"], r["a b"], r.number) for r in got} == {(2, 3, 1)}
+    assert 3 < len(sent) and {r.key for r in sent} == set(data)
+    assert spark.conf.get(chained.PROVIDER) != chained.ROCKSDB  # the session keeps its own state store
+
+
+def test_chained_cooldown_forgets_quiet_keys(spark, tmp_path):
+    parts = [[("a", 0), ("b", 0)], [("b", 40)], [("b", 80)], [("b", 120)]]
+    frames = [
+        spark.createDataFrame([(k, START + dt.timedelta(minutes=m), i) for i, (k, m) in enumerate(part)], "key string, timestamp timestamp, id long")
+        for part in parts
+    ]
+    write_in_order(frames, f"{tmp_path}/log")
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
+    sent = chained.cooled_down(stream.withWatermark("timestamp", K.WATERMARK), "key", ["timestamp", "id"], 15)
+    with chained.rocksdb_state(spark):
+        query = sinks.table_sink(sent, f"{tmp_path}/t", f"{tmp_path}/c", trigger=NOW)
+    query.awaitTermination()
+    assert tables.read(spark, f"{tmp_path}/t").count() == 5
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] > 0
+
+
 def test_cooldown_state_is_dropped_after_its_time(spark, tmp_path):
     """A key that went quiet leaves no state once the watermark passes its cooldown."""
     parts = [[("a", 0), ("b", 0)], [("b", 40)], [("b", 80)], [("b", 120)]]

@@ -1382,15 +1382,18 @@ def stream_cooldown(spark, sf_dir):
     return sent.select("alert_key", "id", "timestamp", "severity")
 
 
-@query(
+STREAMED_ALERTS = (
     END_TO_END
     + cooldown_sql(
         "source || ':' || location", 15,
         f"id, alert_key, timestamp, round(score, 6) AS anomaly_score, severity_label, {SUBJECT} AS subject,"
         f" {sensor_message_sql('score')} AS alert_text",
-    ),
-    recursive=True,
+    )
 )
+STREAMED_COLUMNS = ["id", "alert_key", "timestamp", "anomaly_score", "severity_label", "subject", "alert_text"]
+
+
+@query(STREAMED_ALERTS, recursive=True)
 def stream_alerts(spark, sf_dir):
     """Scored, cooled down and written as alerts by two streaming queries."""
     root, now, order = shared_dir(spark, "alerting"), {"availableNow": True}, ["timestamp", "id"]
@@ -1402,8 +1405,20 @@ def stream_alerts(spark, sf_dir):
     )
     sent.awaitTermination()
     kept = wall_clock(tables.read(spark, f"{root}/alerts"))
-    columns = ["id", "alert_key", "timestamp", "anomaly_score", "severity_label", "subject", "alert_text"]
-    return rounded(kept.select(*columns), ["anomaly_score"])
+    return rounded(kept.select(*STREAMED_COLUMNS), ["anomaly_score"])
+
+
+@query(STREAMED_ALERTS, recursive=True)
+def stream_alerts_chained(spark, sf_dir):
+    """Scored, cooled down and written as alerts by one streaming query of several micro-batches."""
+    root, order = shared_dir(spark, "alerting"), ["timestamp", "id"]
+    sent = alerting.start_chained(
+        _event_batches(spark, sf_dir), "location", "value", order, f"{root}/alerts", f"{root}/checkpoint",
+        trigger={"availableNow": True},
+    )
+    sent.awaitTermination()
+    kept = wall_clock(tables.read(spark, f"{root}/alerts"))
+    return rounded(kept.select(*STREAMED_COLUMNS), ["anomaly_score"])
 
 
 def _job(spark, sf_dir) -> str:
