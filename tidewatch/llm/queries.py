@@ -90,8 +90,9 @@ FROM marked GROUP BY conv_id
 
 @query
 def op3_license_scan(spark, sf_dir):
-    """The license notices in every document: at least 0.8 of a notice's five-word shingles in a window."""
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.notices(spark))
+    """Licenses in every document: notices and whole texts of which 0.8 is in a window, and licenses named by tags."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.notices(spark)).unionByName(licenses.scan_tags(docs))
 
 
 def quoted(text: str) -> str:
@@ -100,22 +101,34 @@ def quoted(text: str) -> str:
 
 ORACLES["op3_license_scan"] = (
     "WITH templates(template_id, license, text) AS (VALUES "
-    + ", ".join(f"({quoted(k)}, {quoted(a)}, {quoted(t)})" for k, (a, t) in licenses.NOTICES.items())
+    + ", ".join(f"({quoted(name)}, {quoted(license_name)}, {quoted(text)})" for name, license_name, text in licenses.template_rows())
     + r"""),
 template_words AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM templates),
 wanted AS (SELECT DISTINCT template_id, license, array_to_string(words[p : p + 4], ' ') AS shingle
   FROM (SELECT *, unnest(range(1, len(words) - 3)) AS p FROM template_words)),
 sizes AS (SELECT template_id, count(*) AS size, (2 ** ceil(log2(count(*))))::INT AS step FROM wanted GROUP BY template_id),
+rivals AS (SELECT a.template_id, b.template_id AS rival FROM wanted a JOIN wanted b USING (shingle) JOIN sizes z ON z.template_id = a.template_id
+  WHERE a.license <> b.license GROUP BY a.template_id, b.template_id, z.size HAVING count(*)::DOUBLE / z.size >= 0.8),
 doc_words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
 places AS (SELECT doc_id, p - 1 AS place, array_to_string(words[p : p + 4], ' ') AS shingle
   FROM (SELECT *, unnest(range(1, len(words) - 3)) AS p FROM doc_words)),
 found AS (SELECT doc_id, place, template_id, license, shingle, size, step FROM places JOIN wanted USING (shingle) JOIN sizes USING (template_id)),
 windows AS (SELECT *, (place // step) * step AS start FROM found UNION ALL SELECT *, (place // step - 1) * step FROM found WHERE place >= step),
-shares AS (SELECT doc_id, template_id, license, start, count(DISTINCT shingle)::DOUBLE / any_value(size) AS containment
-  FROM windows GROUP BY ALL)
+shares AS (SELECT doc_id, template_id, license, step, start, count(DISTINCT shingle)::DOUBLE / any_value(size) AS containment
+  FROM windows GROUP BY doc_id, template_id, license, step, start HAVING count(DISTINCT shingle)::DOUBLE / any_value(size) >= 0.8),
+beaten AS (SELECT s.doc_id, s.template_id, s.start FROM shares s JOIN rivals r ON r.template_id = s.template_id
+  JOIN found f ON f.doc_id = s.doc_id AND f.template_id = r.rival AND f.place >= s.start - 2 * s.step AND f.place < s.start + 4 * s.step
+  GROUP BY s.doc_id, s.template_id, s.start, s.containment, r.rival
+  HAVING count(DISTINCT f.shingle)::DOUBLE / any_value(f.size) > s.containment),
+pieces AS (SELECT doc_id, string_split(text, 'SPDX-License-Identifier:') AS pieces FROM documents WHERE contains(text, 'SPDX-License-Identifier:')),
+tags AS (SELECT doc_id, i, regexp_replace(regexp_extract(pieces[i + 1], '{expression}', 1), '[ \t]WITH[ \t]+\(*{identifier}', '', 'g') AS named,
+    list_sum(list_transform(pieces[1 : i], lambda p: len(regexp_extract_all(lower(p), '[\p{L}\p{N}]+')))) + 3 * (i - 1) AS place
+  FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces))) AS i FROM pieces)),
+named AS (SELECT doc_id, place, unnest(regexp_extract_all(named, '{identifier}')) AS license FROM tags)
 SELECT doc_id, template_id, license, max(containment) AS containment, min(start)::INTEGER AS first_word
-FROM shares WHERE containment >= 0.8 GROUP BY ALL
-"""
+FROM shares ANTI JOIN beaten USING (doc_id, template_id, start) GROUP BY ALL
+UNION ALL SELECT doc_id, 'spdx-tag', license, 1.0::DOUBLE, min(place)::INTEGER FROM named WHERE license NOT IN ('AND', 'OR') GROUP BY doc_id, license
+""".replace("{expression}", licenses.EXPRESSION).replace("{identifier}", licenses.IDENTIFIER)
 )
 
 
