@@ -10,6 +10,8 @@ it off again. A role's own line breaks and backslashes are escaped as well.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PIECE = 4096  # characters of a formatted text that are sought through for a span
+GROUP = 128  # turns whose places are counted together
 START, END, JOIN = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 LEARNED = "assistant"
 
@@ -103,59 +105,91 @@ def format_conversations(
             ),
         )
     )
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda done, x: F.struct(
-            (done["at"] + x["before"] + x["length"] + x["after"]).alias("at"),
-            F.when(
-                x["learned"],
-                F.concat(
-                    done["spans"],
-                    F.array(F.struct((done["at"] + x["before"]).alias("start"), x["length"].alias("length"))),
-                ),
-            )
-            .otherwise(done["spans"])
-            .alias("spans"),
-        ),
-        lambda done: done["spans"],
+    measured = computed(pieces, "conv_id", formatted.alias("formatted"), lengths.alias("lengths"))
+    grouped = computed(measured, "conv_id", "formatted", groups_of(F.col("lengths")).alias("groups"))
+    offsets = F.aggregate(
+        "groups",
+        F.array(F.lit(0)),
+        lambda done, group: F.concat(done, F.array(F.element_at(done, -1) + group["at"])),
     )
-    return pieces.select("conv_id", formatted.alias("formatted"), placed.alias("loss"))
+    placed = computed(grouped, "conv_id", "formatted", "groups", offsets.alias("offsets"))
+    loss = F.flatten(
+        F.transform(
+            "groups",
+            lambda group, i: F.transform(
+                group["spans"],
+                lambda span: F.struct((F.get("offsets", i) + span["start"]).alias("start"), span["length"].alias("length")),
+            ),
+        )
+    )
+    return placed.select("conv_id", "formatted", loss.alias("loss"))
+
+
+def computed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """A projection that later steps cannot take apart and compute again for every element."""
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("row")).select("row.*")
+
+
+def groups_of(lengths: Column) -> Column:
+    """For every `GROUP` turns: how far they reach, and the learned spans counted from their first."""
+
+    def step(done: Column, x: Column) -> Column:
+        span = F.struct((done["at"] + x["before"]).alias("start"), x["length"].alias("length"))
+        return F.struct(
+            (done["at"] + x["before"] + x["length"] + x["after"]).alias("at"),
+            F.when(x["learned"], F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    firsts = F.sequence(F.lit(1), F.size(lengths), F.lit(GROUP))
+    return F.transform(firsts, lambda i: F.aggregate(F.slice(lengths, i, GROUP), start, step))
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation, as they were given."""
-    blocks = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda block: block != "")
+    blocks = F.transform(
+        F.filter(F.split(formatted, r"<\|im_start\|>"), lambda block: block != ""),
+        lambda block: F.struct(
+            unescape_role(F.regexp_extract(block, r"^([^\n]*)\n", 1)).alias("role"),
+            F.split(F.regexp_extract(block, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1), r"<\|im_sep\|>").alias("texts"),
+        ),
+    )
     return F.flatten(
         F.transform(
             blocks,
             lambda block: F.transform(
-                F.split(
-                    F.regexp_extract(block, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1), r"<\|im_sep\|>"
-                ),
-                lambda text: F.struct(
-                    unescape_role(F.regexp_extract(block, r"^([^\n]*)\n", 1)).alias("role"),
-                    unescape(text).alias("text"),
-                ),
+                block["texts"], lambda text: F.struct(block["role"].alias("role"), unescape(text).alias("text"))
             ),
         )
     )
 
 
-def read_loss(formatted: Column, loss: Column) -> Column:
-    """The texts below the loss mask, unescaped, end to end."""
-    return F.array_join(
-        F.transform(loss, lambda span: unescape(F.substring(formatted, span["start"] + 1, span["length"]))), ""
-    )
+def pieces_of(formatted: Column) -> Column:
+    """A text cut every `PIECE` characters, so that a span is not sought from the text's start."""
+    return F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
+
+
+def read_loss(pieces: Column, loss: Column) -> Column:
+    """The texts below the loss mask, unescaped, end to end; `pieces` is a column that holds the cut text."""
+
+    def text_of(span: Column) -> Column:
+        first = F.floor(span["start"] / PIECE).cast("int")
+        last = F.floor((span["start"] + span["length"]) / PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return unescape(F.substring(held, span["start"] - first * PIECE + 1, span["length"]))
+
+    return F.array_join(F.transform(loss, text_of), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What a formatted conversation reads back as: turns, learned text and sizes."""
-    read = formatted.select(
+    cut = computed(formatted, "conv_id", "formatted", "loss", pieces_of(F.col("formatted")).alias("pieces"))
+    read = computed(
+        cut,
         "conv_id",
         "formatted",
         read_turns(F.col("formatted")).alias("turns"),
-        read_loss(F.col("formatted"), F.col("loss")).alias("learned"),
+        read_loss(F.col("pieces"), F.col("loss")).alias("learned"),
     )
     told = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
