@@ -5,6 +5,7 @@ import json
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 import sequential
 from pyspark.sql import functions as F
@@ -186,6 +187,88 @@ def test_cooldown_carries_over_batches(spark, tmp_path):
     assert got == {row["id"] for row in cooldown.cooldown(df, "key", ["timestamp", "id"], 15).collect()}
 
 
+def test_a_key_comes_sorted_and_in_pieces_after_a_restart_too(spark, tmp_path):
+    """Spark sorts a micro-batch by key and order above its one shuffle; with another number of partitions than the checkpoint's there are two."""
+    values = np.random.default_rng(3).normal(50, 5, 700)
+    values[::50] += 90
+    rows = [("a", START + dt.timedelta(seconds=30 * i), i, float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "key string, timestamp timestamp, id long, value double")
+    halves = [df.filter("id < 300").orderBy(F.rand(1)), df.filter("id >= 300").orderBy(F.rand(2))]
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    for half, partitions in zip(halves, (5, 3)):
+        session.conf.set("spark.sql.shuffle.partitions", partitions)
+        write_in_order([half], f"{tmp_path}/log")
+        stream = session.readStream.schema(df.schema).parquet(f"{tmp_path}/log")
+        scored = state.score_stream(stream, "key", "value", ["timestamp", "id"])
+        query = sinks.table_sink(scored, f"{tmp_path}/t", f"{tmp_path}/c", trigger=NOW)
+        query.awaitTermination()
+        plan = query._jsq.streamingQuery().lastExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == (1 if partitions == 5 else 2)
+        assert [line for line in plan.splitlines() if "Sort [key" in line and "timestamp" in line]
+    out = {row["id"]: row for row in tables.read(spark, f"{tmp_path}/t").collect()}
+    assert len(out) == len(values)
+    for i, (score, flag) in enumerate(sequential.zscore(values.tolist())):
+        assert out[i]["anomaly_score"] == pytest.approx(score, abs=1e-9) and out[i]["is_anomaly"] == flag
+
+
+def test_steps_hold_one_frame_of_a_key():
+    """What a frame gives comes out before the next one is asked for."""
+
+    class Held:
+        value = ()
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return bool(self.value)
+
+        def put(self, value):
+            self.value = value
+
+        update = put
+
+    class Handle(Held):
+        timers = ()
+
+        def getListState(self, *_):
+            return Held()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            self.timers = (*self.timers, at)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    asked = []
+
+    def frames():
+        for i in range(3):
+            asked.append(i)
+            times = [(3 * i + j) * 60_000_000 for j in range(3)]
+            yield pd.DataFrame({"c0": times, "number": [1.0, 2.0, 3.0], "micros": times})
+
+    for step in (chained.Scorer(["c0"], "c0", 4, 3.0), chained.Cooldown(["c0"], 120_000_000)):
+        asked.clear()
+        step.init(Handle())
+        found = step.handleInputRows("k", frames(), Clock())
+        first = next(found)
+        assert asked == [0]
+        rest = pd.concat([first, *found])
+        assert asked == [0, 1, 2]
+        if isinstance(step, chained.Cooldown):
+            assert rest["c0"].tolist() == [i * 120_000_000 for i in range(5)] and step.last.get() == (480_000_000,)
+            assert step.handle.timers == (600_001,)
+        else:
+            assert len(rest) == 9 and step.held.get() == [(3.0,), (1.0,), (2.0,), (3.0,)]
+    with pytest.raises(RuntimeError, match="out of the order"):
+        list(state.rising(iter([pd.DataFrame({"t": [2, 3]}), pd.DataFrame({"t": [1]})]), "t"))
+
+
 def test_chained_alerts_equal_batch_after_a_restart(spark, tmp_path):
     """Scoring and cooldown in one query, which stops after half of the files and goes on from its checkpoint."""
     random = np.random.default_rng(7)
