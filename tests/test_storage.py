@@ -1,12 +1,15 @@
 """Tables, keyed changes, retention, archives, snapshots, objects."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import lifecycle
+from tidewatch.plans import views
 from tidewatch.sources import archive, files, objects, snapshots, tables, versions
+from tidewatch.streaming import sinks
 
 NOW = dt.datetime(2024, 3, 1, 12, 0, 0)
 SCHEMA = "id long, timestamp timestamp, value double, created_at timestamp"
@@ -364,3 +367,22 @@ def test_compaction_keeps_rows_and_spares_open_batches(spark, tmp_path):
     assert ids(tables.read(spark, path)) == [0, 0, 1, 1, 2]
     assert versions.vacuum(spark, path)
     assert ids(tables.read(spark, path)) == [0, 0, 1, 1, 2]
+
+
+def test_stored_files_are_zstandard(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.lit(NOW).alias("timestamp"), F.lit("much the same text").alias("text"))
+    tables.insert(rows, f"{tmp_path}/t")
+    assert {file.name.endswith(".zstd.parquet") for file in tables.listed(spark, f"{tmp_path}/t")} == {True}
+    assert tables.read(spark, f"{tmp_path}/t").select("id", "text").exceptAll(rows.select("id", "text")).count() == 0
+    sinks.write_feed(rows, 7, f"{tmp_path}/feed")
+    assert all(name.endswith(".txt.gz") for name in files.data_files(spark, f"{tmp_path}/feed") if "part-" in name)
+    feed = spark.read.text(f"{tmp_path}/feed/batch_id=7")
+    assert feed.count() == 1000 and json.loads(feed.first()[0])["text"] == "much the same text"
+
+
+def test_price_updates_shuffle_the_order_lines_once(spark, sf_dir):
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = views.market(session, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the lines and the parts

@@ -13,7 +13,7 @@ from tidewatch.operators import alerts, cooldown, detect, enrich, lifecycle, rea
 from tidewatch.plans import oracles as O
 from tidewatch.plans import views
 from tidewatch.session import shared_dir
-from tidewatch.sources import archive, files, messages, snapshots, tables
+from tidewatch.sources import archive, files, messages, snapshots, tables, versions
 from tidewatch.streaming import alerting, job, sinks, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1425,7 +1425,8 @@ def _job(spark, sf_dir) -> str:
     """The whole streaming job over the message log, written out as files."""
     root = shared_dir(spark, "job")
     log = views.envelope(spark, sf_dir)
-    log.withColumn("ingest_time", F.col("ingest_time").cast("timestamp")).write.parquet(f"{root}/log")
+    log = log.withColumn("ingest_time", F.col("ingest_time").cast("timestamp"))
+    log.write.option("compression", versions.COMPRESSION).parquet(f"{root}/log")
     stream = messages.stream_files(spark, f"{root}/log")
     running = job.start_job(
         stream, f"{root}/tables", f"{root}/checkpoints", {"availableNow": True}

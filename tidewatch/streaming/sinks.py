@@ -79,8 +79,8 @@ def fan_out_sink(
 
 
 def write_feed(df: DataFrame, batch_id: int, path: str) -> None:
-    """JSON messages of a micro-batch as text files, for sites without a broker."""
-    messages.json_feed(df).write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+    """JSON messages of a micro-batch as gzipped text files, for sites without a broker."""
+    messages.json_feed(df).write.mode("overwrite").option("compression", "gzip").text(f"{path}/batch_id={batch_id}")
 
 
 def send_feed(df: DataFrame, servers: str, topic: str) -> None:
