@@ -115,10 +115,9 @@ def ticks_of(lines: DataFrame) -> DataFrame:
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price updates: ticks with their change and their part's sector."""
-    moved = series.price_change(
-        ticks(spark, sf_dir), "symbol", "price", MARKET_ORDER
-    )
+    """Price updates: ticks with their change and their part's sector. A symbol is its
+    part's number in other words; by the number, changes and sectors take one shuffle."""
+    moved = series.price_change(ticks(spark, sf_dir), "part_id", "price", MARKET_ORDER)
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_type").alias("sector")
     )
