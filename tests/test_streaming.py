@@ -135,6 +135,21 @@ def test_failed_query_stops_the_others(spark, tmp_path):
     assert not any(query.isActive for query in queries.values())
 
 
+def test_a_foreign_failure_before_does_not_count(spark, tmp_path):
+    write_in_order([spark.createDataFrame([sensor_message(START)], schemas.ENVELOPE)], f"{tmp_path}/log")
+    stream = messages.stream_files(spark, f"{tmp_path}/log")
+
+    def fail(batch, batch_id):
+        raise ValueError("another job")
+
+    lost = stream.writeStream.foreachBatch(fail).option("checkpointLocation", f"{tmp_path}/c1").start()
+    with pytest.raises(Exception, match="another job"):
+        lost.awaitTermination()
+    sink = sinks.table_sink(messages.decode(stream), f"{tmp_path}/t", f"{tmp_path}/c2", trigger=NOW)
+    job.await_all(spark, {"good": sink})
+    assert tables.read(spark, f"{tmp_path}/t").count() == 1
+
+
 def readings(spark, per_key, path, parts):
     rows = []
     for key, values in per_key.items():

@@ -54,11 +54,11 @@ def start_job(
 
 
 def await_all(spark: SparkSession, queries: dict[str, StreamingQuery]) -> None:
-    """Wait until all queries end; the first failure stops the others."""
+    """Wait until all queries end; the first failure stops the others. Only these count:
+    the session also tells of other queries, among them ones that failed before."""
     try:
-        while any(query.isActive for query in queries.values()):
-            spark.streams.awaitAnyTermination()
-            spark.streams.resetTerminated()
+        while not all([query.awaitTermination(1) for query in queries.values()]):
+            pass
     finally:
         stop_all(queries)
 
