@@ -130,3 +130,15 @@ def test_cuts_cost_the_least(plain):
         padding = sum(0 if n >= packing.GRID and n & (n - 1) == 0 else 512 - n for n in sizes.tolist())
         price = dict(zip(places.tolist(), costs.tolist(), strict=True))
         assert padding + sum(price[c] + packing.SEQUENCE for c in cuts.tolist()) == least_cost(places.tolist(), costs.tolist(), 512)
+
+
+def test_encoder_keeps_no_offsets(plain):
+    """Ids come by the library's call that computes nothing else."""
+    encoder = Encoder(PATH)
+
+    class Fast:
+        encode_batch_fast = encoder.tokenizer.encode_batch_fast
+
+    encoder.tokenizer = Fast()
+    ids, counts = encoder.encode(ODD)
+    assert ids.tolist() == [id for text in ODD for id in plain(text)] and counts.tolist() == [len(plain(text)) for text in ODD]

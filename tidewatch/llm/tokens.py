@@ -8,6 +8,7 @@ met first are kept for the texts to come. Texts with other white space beside a
 blank, or with a special token, are encoded whole.
 """
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -33,6 +34,7 @@ class Encoder:
     """Encodes lists of texts with a tokenizer file, as the tokenizers library does."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):
@@ -51,7 +53,7 @@ class Encoder:
         return self.closes
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)  # keeps no offsets
 
     def learn(self, parts: list[str]) -> None:
         """Place new parts' ids, each with a blank before it, behind the known ones: one text of all is encoded."""
