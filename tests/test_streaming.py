@@ -109,6 +109,90 @@ def test_late_rows_are_dropped_and_closed_windows_stay(spark, tmp_path):
     assert tables.read(spark, f"{tmp_path}/t/processed_data").count() == 9
 
 
+@pytest.mark.parametrize("backfill", [False, True])
+def test_job_keeps_no_copy_of_a_batch_beside_its_tables(spark, tmp_path, monkeypatch, backfill):
+    """Batches of good and bad messages, of bad ones only and of good ones only; nothing stays persisted while they are written."""
+    values = [[1.0, 200.0, None], [None, None], [300.0]]
+    frames = [
+        [
+            ("k", "{broken", K.SENSOR_STREAM, i, j, START) if v is None else sensor_message(START + dt.timedelta(minutes=i), v)
+            for j, v in enumerate(part)
+        ]
+        for i, part in enumerate(values)
+    ]
+    write_in_order([spark.createDataFrame(rows, schemas.ENVELOPE) for rows in frames], f"{tmp_path}/log")
+    before, kept, real = set(spark.sparkContext._jsc.getPersistentRDDs()), [], tables.write_batch
+
+    def watching(df, batch_id, path, *rest, **options):
+        if "aggregated" not in path:
+            kept.append(set(spark.sparkContext._jsc.getPersistentRDDs()) - before)
+        return real(df, batch_id, path, *rest, **options)
+
+    monkeypatch.setattr(tables, "write_batch", watching)
+    stream = messages.stream_files(spark, f"{tmp_path}/log", 1)
+    finish({"events": job.start_job(stream, f"{tmp_path}/t", f"{tmp_path}/c", NOW, backfill=backfill)["events"]})
+    assert len(kept) == 9 and (backfill or not any(kept))
+    stored = {name: tables.read(spark, f"{tmp_path}/t/{name}") for name in ("processed_data", "anomalies", K.ERROR_STREAM)}
+    assert sorted(row["value"] for row in stored["processed_data"].collect()) == [1.0, 200.0, 300.0]
+    flagged = stored["anomalies"].collect()
+    assert sorted(row["value"] for row in flagged) == [200.0, 300.0]
+    assert set(flagged) <= set(stored["processed_data"].collect())
+    bad = stored[K.ERROR_STREAM].collect()
+    assert sorted((row["partition"], row["offset"]) for row in bad) == [(0, 2), (1, 0), (1, 1)]
+    assert {(row["value"], row["error"]) for row in bad} == {("{broken", "malformed value")}
+    feed = [json.loads(row["value"]) for row in spark.read.text(f"{tmp_path}/t/{K.ANOMALY_STREAM}").collect()]
+    assert sorted(message["value"] for message in feed) == [200.0, 300.0] and "created_at" not in feed[0]
+
+
+def test_a_job_without_bad_messages_has_an_empty_table_of_them(spark, tmp_path):
+    write_in_order([spark.createDataFrame([sensor_message(START)], schemas.ENVELOPE)], f"{tmp_path}/log")
+    finish(job.start_job(messages.stream_files(spark, f"{tmp_path}/log"), f"{tmp_path}/t", f"{tmp_path}/c", NOW))
+    bad = tables.read(spark, f"{tmp_path}/t/{K.ERROR_STREAM}")
+    assert bad.count() == 0 and {*messages.HEAD, "value", "error", "created_at"} == set(bad.columns)
+
+
+def test_the_shuffles_of_the_log_are_gone_when_the_job_starts(spark, sf_dir, monkeypatch):
+    from tidewatch.plans import registry
+    from tidewatch.session import CLEANUP
+
+    def shuffles():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [found.apply(i).getName() for i in range(found.size())]
+        return {name for name in names if name.startswith("shuffle_")}
+
+    class Started(Exception):
+        pass
+
+    before, setting, left = shuffles(), spark.conf.get(CLEANUP, None), []
+
+    def start(*_):
+        until = time.time() + 10
+        while (new := shuffles() - before) and time.time() < until:
+            time.sleep(0.2)
+        left.append(new)
+        raise Started
+
+    monkeypatch.setattr(job, "start_job", start)
+    with pytest.raises(Started):
+        registry._job(spark, sf_dir)
+    assert left == [set()] and spark.conf.get(CLEANUP, None) == setting
+
+
+def test_the_log_holds_every_message_once(spark, sf_dir, tmp_path):
+    from tidewatch.plans import registry
+
+    registry.write_log(spark, sf_dir, f"{tmp_path}/log")
+    whole = views.envelope(spark, sf_dir).withColumn("ingest_time", F.col("ingest_time").cast("timestamp"))
+    written = spark.read.schema(schemas.ENVELOPE).parquet(f"{tmp_path}/log")
+    assert written.exceptAll(whole).count() == whole.exceptAll(written).count() == 0 < whole.count()
+
+
+def test_the_shuffle_of_the_order_lines_carries_no_texts(spark, sf_dir):
+    plan = views.market(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    lines = plan[plan.index("Exchange hashpartitioning(part_id") :]
+    assert "l_partkey" in lines and " AS symbol" not in lines and " AS symbol" in plan
+
+
 def test_errors_table(spark, tmp_path):
     rows = [sensor_message(START), ("k", "{broken", K.SENSOR_STREAM, 0, 1, START)]
     write_in_order([spark.createDataFrame(rows, schemas.ENVELOPE)], f"{tmp_path}/log")

@@ -93,6 +93,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_symbol(number: str) -> Column:
+    return F.concat(F.lit("P"), F.col(number).cast("string"))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_of(table(spark, sf_dir, "lineitem"))
 
@@ -102,7 +106,7 @@ def ticks_of(lines: DataFrame) -> DataFrame:
     MARKET_ORDER takes in more columns to tell all rows of a part apart."""
     return lines.select(
         F.col("l_partkey").alias("part_id"),
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"),
+        part_symbol("l_partkey").alias("symbol"),
         F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"),
         (F.col("l_quantity") * 400).cast("long").alias("volume"),
         F.col("l_shipdate").alias("timestamp"),
@@ -116,8 +120,11 @@ def ticks_of(lines: DataFrame) -> DataFrame:
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price updates: ticks with their change and their part's sector. A symbol is its
-    part's number in other words; by the number, changes and sectors take one shuffle."""
-    moved = series.price_change(ticks(spark, sf_dir), "part_id", "price", MARKET_ORDER)
+    part's number in other words; by the number, changes and sectors take one shuffle,
+    which carries no texts."""
+    numbers = ticks(spark, sf_dir).drop("symbol", "source")
+    moved = series.price_change(numbers, "part_id", "price", MARKET_ORDER)
+    moved = moved.withColumn("symbol", part_symbol("part_id"))
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("part_id"), F.col("p_type").alias("sector")
     )
@@ -153,14 +160,22 @@ def _message(df: DataFrame, stream: str, key: str, number: Column) -> DataFrame:
     )
 
 
-def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three tables as one message stream, two seconds behind event time."""
+def envelopes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Each of the three tables as messages, two seconds behind event time."""
     number = F.col("order_id") * 10 + F.col("line")
-    return (
-        _message(sensors(spark, sf_dir), K.SENSOR_STREAM, "sensor_id", F.col("id"))
-        .unionByName(_message(posts(spark, sf_dir), K.SOCIAL_STREAM, "user_id", F.col("id")))
-        .unionByName(_message(market(spark, sf_dir), K.MARKET_STREAM, "symbol", number))
-    )
+    return [
+        _message(sensors(spark, sf_dir), K.SENSOR_STREAM, "sensor_id", F.col("id")),
+        _message(posts(spark, sf_dir), K.SOCIAL_STREAM, "user_id", F.col("id")),
+        _message(market(spark, sf_dir), K.MARKET_STREAM, "symbol", number),
+    ]
+
+
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three tables as one message stream."""
+    first, *others = envelopes(spark, sf_dir)
+    for part in others:
+        first = first.unionByName(part)
+    return first
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

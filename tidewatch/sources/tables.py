@@ -37,8 +37,8 @@ def insert(df: DataFrame, path: str, time: str = "timestamp", as_of=None, keys:
 
 def write_batch(
     df: DataFrame, batch_id: int, path: str, time: str = "timestamp", backfill: bool = False
-) -> None:
-    """Write a micro-batch. A batch that runs again after a failure takes the place of
+) -> list[File]:
+    """Write a micro-batch and say in which files. A batch that runs again after a failure takes the place of
     what it wrote before, in one version, so no row is stored twice. For that the
     stream itself sets `created_at`: its clock repeats with the batch.
 
@@ -55,6 +55,7 @@ def write_batch(
         if kept is not None:
             kept.unpersist()
     versions.commit(df.sparkSession, path, rows.schema, added, lambda file: file.batch == batch_id)
+    return added
 
 
 def listed(spark: SparkSession, path: str) -> tuple[File, ...]:

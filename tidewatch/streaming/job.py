@@ -1,6 +1,6 @@
 """The streaming job: decode, enrich, summarise, and feed the sinks."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -8,7 +8,7 @@ from tidewatch import constants as K
 from tidewatch.operators.enrich import enrich_all
 from tidewatch.operators.reads import flagged
 from tidewatch.operators.rollup import summarise_all
-from tidewatch.sources import messages, tables
+from tidewatch.sources import messages, tables, versions
 from tidewatch.streaming import sinks
 
 
@@ -22,9 +22,10 @@ def start_job(
 ) -> dict[str, StreamingQuery]:
     """Start the job over a message stream and return its queries by name.
 
-    - events: reads and parses each message once and writes the enriched rows,
-      the flagged ones, these again as JSON messages, and the messages that
-      cannot be decoded;
+    - events: reads and parses each message once and writes the enriched rows; the
+      flagged ones come from the files just stored, and these again as JSON messages.
+      A micro-batch is not kept beside them: only one that holds messages that cannot
+      be decoded is read and parsed once more, for these;
     - aggregated: one-minute summaries, emitted when the watermark closes them.
 
     Each query has its own checkpoint and continues from it after a restart.
@@ -32,13 +33,17 @@ def start_job(
     """
 
     def write_parts(batch: DataFrame, batch_id: int) -> None:
-        created = F.col("created_at")
-        enriched = enrich_all(messages.good(batch), created)
-        tables.write_batch(enriched, batch_id, f"{root}/processed_data", backfill=backfill)
-        anomalies = flagged(enriched)
-        tables.write_batch(anomalies, batch_id, f"{root}/anomalies", backfill=backfill)
-        tables.write_batch(messages.bad(batch), batch_id, f"{root}/{K.ERROR_STREAM}", "ingest_time")
-        feed = anomalies.drop("created_at")
+        spark, seen = batch.sparkSession, Observation()
+        counted = batch.observe(seen, F.count_if(F.col("error").isNotNull()).alias("bad"))
+        enriched = enrich_all(messages.good(counted), F.col("created_at"))
+        added = tables.write_batch(enriched, batch_id, f"{root}/processed_data", backfill=backfill)
+        anomalies = flagged(versions.read_files(spark, enriched.schema, added))
+        stored = tables.write_batch(anomalies, batch_id, f"{root}/anomalies", backfill=backfill)
+        bad = messages.bad(batch)
+        if added and not seen.get["bad"]:  # without any good row the count may have been planned away
+            bad = bad.limit(0)
+        tables.write_batch(bad, batch_id, f"{root}/{K.ERROR_STREAM}", "ingest_time")
+        feed = versions.read_files(spark, anomalies.schema, stored).drop("created_at")
         if kafka_servers:
             sinks.send_feed(feed, kafka_servers, K.ANOMALY_STREAM)
         else:

@@ -64,17 +64,10 @@ def fan_out_sink(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Feed several sinks from one read of the stream: each micro-batch is kept
-    while `write_parts` writes what it takes from it."""
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            write_parts(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    writer = with_created(df).writeStream.outputMode("append").foreachBatch(store)
+    """Feed several sinks from one stream. A micro-batch is read and computed anew each
+    time that `write_parts` uses it: a copy kept meanwhile would take as much of the
+    executors' disks as all that is written of it."""
+    writer = with_created(df).writeStream.outputMode("append").foreachBatch(write_parts)
     return triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
 
 
